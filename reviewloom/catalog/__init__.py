@@ -1,0 +1,17 @@
+"""The registered queries and their oracle statements."""
+
+from __future__ import annotations
+
+
+def _modules():
+    from reviewloom.catalog import text_queries
+
+    return [text_queries]
+
+
+def queries() -> dict:
+    return {name: run for module in _modules() for name, run in module.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for module in _modules() for name, sql in module.ORACLE.items()}
