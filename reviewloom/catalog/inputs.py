@@ -14,7 +14,10 @@ VECTOR_CATEGORIES = K.CATEGORIES[:10]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A given table, spread over the cores when its file has fewer row groups than there are cores."""
+    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:

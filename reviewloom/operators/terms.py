@@ -16,8 +16,13 @@ from reviewloom.functions import text as T
 
 
 def by_document(df: DataFrame, doc: str, *columns: str) -> DataFrame:
-    """Only the needed columns, hash-partitioned by document id."""
-    return df.select(doc, *columns).repartition(doc)
+    """Only the needed columns, hash-partitioned by document id.
+
+    The partition count is fixed at ``spark.sql.shuffle.partitions``: adaptive coalescing judges by
+    bytes of text, and n-grams make about ten times as many bytes of it.
+    """
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.select(doc, *columns).repartition(count, doc)
 
 
 def ngrams(df: DataFrame, text: str = "review_text", lo: int = 1, hi: int = 3,
