@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from reviewloom.catalog import text_queries
+    from reviewloom.catalog import text_queries, vector_queries
 
-    return [text_queries]
+    return [text_queries, vector_queries]
 
 
 def queries() -> dict:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,12 +125,9 @@ def category_centroids(seed_vectors: DataFrame, weighted: bool = False, unit_inp
     """
     vector = V.l2_normalize(F.col("vector")) if unit_inputs else V.as_double(F.col("vector"))
     weight = F.col("score") if weighted else F.lit(1.0)
-    parts = seed_vectors.select("category", "category_ord", weight.alias("w"),
-                                F.posexplode(vector).alias("at", "x"))
-    means = parts.groupBy("category", "category_ord", "at").agg(
-        (F.sum(F.col("w") * F.col("x")) / F.sum("w")).alias("x"))
-    centroid = F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"])
-    grouped = means.groupBy("category", "category_ord").agg(centroid.alias("centroid"))
+    mean = Summarizer.mean(array_to_vector(vector), weight.cast("double"))
+    grouped = seed_vectors.groupBy("category", "category_ord").agg(
+        vector_to_array(mean).alias("centroid"))
     if unit_output:
         grouped = grouped.withColumn("centroid", V.l2_normalize(F.col("centroid")))
     return grouped
