@@ -57,7 +57,7 @@ def neighbour_counts(blocks: DataFrame, eps: float, id_type: str, key_type: str)
             parts.append((right["id"].to_numpy(), n_right))
         ids, counts = (np.concatenate(c) for c in zip(*parts))
         key = left["group_key"].iloc[0] if len(left) else (right["group_key"].iloc[0] if len(right) else None)
-        return pd.DataFrame({"group_key": [key] * len(ids), "id": ids, "n": counts.astype("int64")})
+        return NB._frame(group_key=[key] * len(ids), id=ids, n=counts.astype("int64"))
 
     found = NB.block_map(blocks, kernel, f"group_key {key_type}, id {id_type}, n long")
     return found.groupBy("group_key", "id").agg(F.sum("n").alias("n"))
@@ -69,12 +69,12 @@ def core_edges(blocks: DataFrame, eps: float, id_type: str, key_type: str) -> Da
         i, j, d = NB.within(NB._matrix(left["vector"]), NB._matrix(right["vector"]), eps)
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         if not len(i):
-            return pd.DataFrame({"group_key": [], "src": [], "dst": []})
+            return NB._frame(group_key=[], src=[], dst=[])
         low = _local_components(a, b, i, j, same)
         ids = a if same else np.concatenate([a, b])
         linked = low != ids
         key = left["group_key"].iloc[0]
-        return pd.DataFrame({"group_key": [key] * int(linked.sum()), "src": ids[linked], "dst": low[linked]})
+        return NB._frame(group_key=[key] * int(linked.sum()), src=ids[linked], dst=low[linked])
 
     return NB.block_map(blocks, kernel, f"group_key {key_type}, src {id_type}, dst {id_type}")
 
@@ -133,8 +133,7 @@ def cluster_dbscan(points: DataFrame, eps: float = 0.45, min_samples: int = 5,
         key = left["group_key"].iloc[0] if len(left) else None
         out = pd.DataFrame({"id": np.concatenate(ids), "label": np.concatenate(found)})
         out = out.groupby("id", as_index=False)["label"].min()
-        out.insert(0, "group_key", [key] * len(out))
-        return out
+        return NB._frame(group_key=[key] * len(out), id=out["id"].to_numpy(), label=out["label"].to_numpy())
 
     known = flagged.select("group_key", "id", "vector").join(labels, ["group_key", "id"], "left").withColumn(
         "label", F.coalesce("label", F.lit(-1)))

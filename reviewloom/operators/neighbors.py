@@ -24,6 +24,16 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, 1))
 
 
+def _frame(**columns) -> pd.DataFrame:
+    """A result frame whose strings stay plain objects."""
+    def series(values):
+        values = np.asarray(values)
+        plain = values.dtype.kind in "OUS" or not len(values)
+        return pd.Series(values, dtype=object if plain else values.dtype)
+
+    return pd.DataFrame({name: series(values) for name, values in columns.items()})
+
+
 def pick_pivots(points: DataFrame, n: int, block_rows: int = BLOCK_ROWS) -> np.ndarray:
     """At most ``MAX_PIVOTS`` vectors, the lowest by hash of their id."""
     count = min(MAX_PIVOTS, max(1, n // block_rows))
@@ -135,8 +145,7 @@ def eps_join(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> Dat
             once = a < b
             a, b, d, i = a[once], b[once], d[once], i[once]
         low, high = np.where(a < b, a, b), np.where(a < b, b, a)
-        return pd.DataFrame({"group_key": left["group_key"].to_numpy()[i], "a": low, "b": high,
-                             "dist": d})
+        return _frame(group_key=left["group_key"].to_numpy()[i], a=low, b=high, dist=d)
 
     rows = points.select("group_key", "id", "vector")
     return block_map(blocked(rows, eps, block_rows=block_rows), pairs,
@@ -162,9 +171,9 @@ def knn_join(points: DataFrame, k: int = 8, block_rows: int = BLOCK_ROWS) -> Dat
             order = order[others[order] != ids[r]][:k]
             out.append((np.repeat(ids[r], len(order)), others[order], sims[r][order]))
         if not out:
-            return pd.DataFrame({"group_key": [], "src": [], "dst": [], "sim": []})
+            return _frame(group_key=[], src=[], dst=[], sim=[])
         src, dst, sim = (np.concatenate(c) for c in zip(*out))
-        return pd.DataFrame({"group_key": [key] * len(src), "src": src, "dst": dst, "sim": sim})
+        return _frame(group_key=[key] * len(src), src=src, dst=dst, sim=sim)
 
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         sims = _matrix(left["vector"]) @ _matrix(right["vector"]).T if len(right) else np.zeros((len(left), 0))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -162,9 +164,6 @@ def older_scores(vectors: DataFrame, seed_vectors: DataFrame, categories: list[s
     A dictionary holds at most ``terms_per_category`` terms per category, so the term matrix that
     the tasks share is bounded; a longer one is an error. Each Arrow batch is one matrix product.
     """
-    import numpy as np
-    import pandas as pd
-
     categories = categories or K.CATEGORIES
     cap = len(categories) * terms_per_category
     entries = (seed_vectors.where(F.col("category").isin(categories))
