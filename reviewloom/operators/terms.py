@@ -144,23 +144,73 @@ def unit_weights(raw: DataFrame, keys: list[str], *extra: str) -> DataFrame:
     return raw.select(*keys, "term", (F.col("raw") / length).alias("weight"), *extra)
 
 
+def feature_stop_words() -> list[str]:
+    """The English stop list without its negations."""
+    return [w for w in K.english_stop_words() if w not in ("no", "not", "nor")]
+
+
+def feature_counts(texts: DataFrame, doc: str, text: str, ngram_max: int = 2,
+                   stop_words: list[str] | None = None, keep_empty: bool = False) -> DataFrame:
+    """Term counts per document with accents stripped and negation kept."""
+    stop_words = feature_stop_words() if stop_words is None else stop_words
+    source = by_document(texts, doc, text).select(doc, T.strip_accents(F.col(text)).alias("text"))
+    return term_counts(ngrams(source, "text", 1, ngram_max, stop_words, keep_empty=keep_empty), doc)
+
+
+def vocabulary(tf: DataFrame, n_docs: Column, max_features: int = 15000, max_df: float = 0.92,
+               min_df: int = 5) -> DataFrame:
+    """The most frequent terms within the document-frequency limits: (term, df, idf).
+
+    At most ``max_features`` rows, so users of this table broadcast it.
+    """
+    stats = tf.where(F.col("term").isNotNull()).groupBy("term").agg(
+        F.sum("tf").alias("total"), F.count("*").alias("df"))
+    return (stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+            .orderBy(F.desc("total"), F.asc("term")).limit(max_features)
+            .select("term", "df", smooth_idf(n_docs, F.col("df")).alias("idf")))
+
+
+def sublinear_weights(tf: DataFrame, words: DataFrame, doc: str) -> DataFrame:
+    """Unit-length ``(1 + ln tf) * idf`` of the vocabulary terms: (doc, term, weight, df)."""
+    raw = tf.join(F.broadcast(words), "term").select(
+        doc, "term", "df", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("raw"))
+    return unit_weights(raw, [doc], "df")
+
+
 def text_features(texts: DataFrame, doc: str = "review_id", text: str = "review_text",
                   max_features: int = 15000, ngram_max: int = 2, max_df: float = 0.92,
                   min_df: int = 5, stop_words: list[str] | None = None) -> DataFrame:
-    """Sublinear TF-IDF over a capped vocabulary, accents stripped, negation kept.
+    """Sublinear TF-IDF over the capped vocabulary: (doc, term, weight, df).
 
-    Columns ``(doc, term, weight, df)``. The vocabulary has at most ``max_features`` rows, so it is
-    broadcast and the document-term rows are never shuffled by term.
+    The document-term rows are never shuffled by term.
     """
-    if stop_words is None:
-        stop_words = [w for w in K.english_stop_words() if w not in ("no", "not", "nor")]
-    source = by_document(texts, doc, text).select(doc, T.strip_accents(F.col(text)).alias("text"))
-    tf = term_counts(ngrams(source, "text", 1, ngram_max, stop_words), doc)
+    tf = feature_counts(texts, doc, text, ngram_max, stop_words)
     n_docs = texts.agg(F.count("*").alias("n")).scalar()
-    stats = tf.groupBy("term").agg(F.sum("tf").alias("total"), F.count("*").alias("df"))
-    vocabulary = (stats.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
-                  .orderBy(F.desc("total"), F.asc("term")).limit(max_features)
-                  .select("term", "df", smooth_idf(n_docs, F.col("df")).alias("idf")))
-    raw = tf.join(F.broadcast(vocabulary), "term").select(
-        doc, "term", "df", ((1 + F.log(F.col("tf"))) * F.col("idf")).alias("raw"))
-    return unit_weights(raw, [doc], "df")
+    return sublinear_weights(tf, vocabulary(tf, n_docs, max_features, max_df, min_df), doc)
+
+
+def theme_scores(texts: DataFrame, themes: DataFrame, names: list[str], doc: str = "review_id",
+                 text: str = "review_text", max_features: int = 15000, max_df: float = 0.92,
+                 min_df: int = 5) -> DataFrame:
+    """Cosine of every text to every seed theme in the feature space: (doc, theme_*...).
+
+    ``themes``: category, text. The theme weights are one array per vocabulary term, so scoring all
+    themes is one broadcast join and one aggregation that stays within the document's partition.
+    """
+    tf = feature_counts(texts, doc, text, keep_empty=True)
+    n_docs = texts.agg(F.count("*").alias("n")).scalar()
+    words = vocabulary(tf, n_docs, max_features, max_df, min_df)
+    theme_source = themes.select("category", T.strip_accents(F.col("text")).alias("text"))
+    theme_tf = term_counts(ngrams(theme_source, "text", 1, 2, feature_stop_words()), "category")
+    theme_weights = sublinear_weights(theme_tf, words, "category").groupBy("term").agg(F.array(*[
+        F.coalesce(F.sum(F.when(F.col("category") == c, F.col("weight"))), F.lit(0.0)) for c in names
+    ]).alias("themes"))
+    lexicon = words.join(theme_weights, "term", "left")
+    raw = (1 + F.log(F.col("tf"))) * F.col("idf")
+    # The left join keeps documents without a vocabulary term at zero.
+    scored = tf.join(F.broadcast(lexicon), "term", "left").groupBy(doc).agg(
+        F.sqrt(F.sum(raw * raw)).alias("length"),
+        *[F.sum(raw * F.col("themes")[i]).alias(f"d{i}") for i in range(len(names))])
+    return scored.select(doc, *[
+        F.coalesce(F.try_divide(F.col(f"d{i}"), F.col("length")), F.lit(0.0)).alias(f"theme_{c}")
+        for i, c in enumerate(names)])
