@@ -9,20 +9,25 @@ from pyspark.sql import functions as F
 from reviewloom import constants as K
 from reviewloom.operators import segments as S
 from reviewloom.operators import terms as N
+from reviewloom.session import materialize
 
 VECTOR_CATEGORIES = K.CATEGORIES[:10]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table, spread over the cores when its file has fewer row groups than there are cores."""
-    scan = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def text_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given text table, spread over the cores when its file has fewer row groups than cores."""
+    scan = table(spark, sf_dir, name)
     cores = spark.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
 
 
 def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as the first platform: the first line is the upside, the rest the downside."""
-    documents = table(spark, sf_dir, "documents")
+    documents = text_table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
     at = F.instr("text", "\n")
     return documents.join(labels, "doc_id", "left").select(
@@ -38,7 +43,7 @@ def raw_a(spark: SparkSession, sf_dir: str) -> DataFrame:
 def raw_b(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as the second platform: assistant turns are the downside."""
     assistant = F.col("role") == "assistant"
-    return table(spark, sf_dir, "conversations").select(
+    return text_table(spark, sf_dir, "conversations").select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("source_row_id"),
         F.col("role").alias("Company"),
         F.when(~assistant, F.col("text")).alias("Likes"),
@@ -72,7 +77,8 @@ def ranked_seeds(keywords: DataFrame, per_category: int = 4) -> DataFrame:
 
 
 def corpus_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranked_seeds(N.keyword_table(segments(spark, sf_dir)))
+    """The dictionary of the corpus as a stage of its own: a few rows, written once."""
+    return materialize(ranked_seeds(N.keyword_table(segments(spark, sf_dir))), "seeds")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

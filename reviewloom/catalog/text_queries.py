@@ -241,16 +241,13 @@ FROM conf""")
 def hr_rule_scores(spark, sf_dir):
     segments = I.segments(spark, sf_dir)
     labelled = C.label_scores(C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir)), "tfidf")
-    rows = segments.join(labelled.select("review_id", "hr_score"), "review_id")
-    scored = C.hr_rule_score(rows, "hr_score", sum(FACTOR_PHRASES.values(), []), HR_WORDS)
-    conf = scored.withColumn("classification_confidence", S.hr_confidence(F.col("hr_rule_score")))
-    flags = S.confidence_filter(conf).select("review_id", F.lit(True).alias("confident"))
-    queue = S.borderline_queue(conf).select("review_id", F.lit(True).alias("borderline"))
-    return conf.join(flags, "review_id", "left").join(queue, "review_id", "left").select(
+    scored = C.hr_rule_score(segments, labelled, sum(FACTOR_PHRASES.values(), []), HR_WORDS)
+    conf = scored.withColumn("confidence", S.hr_confidence(F.col("hr_rule_score")))
+    return conf.select(
         "review_id", F.round("hr_rule_score", 6).alias("hr_rule_score"),
-        F.round("classification_confidence", 6).alias("confidence"),
-        F.coalesce("confident", F.lit(False)).alias("confident"),
-        F.coalesce("borderline", F.lit(False)).alias("borderline"))
+        F.round("confidence", 6).alias("confidence"),
+        S.is_confident(F.col("confidence")).alias("confident"),
+        S.is_borderline(F.col("confidence")).alias("borderline"))
 
 
 @register("keep_one_side", """

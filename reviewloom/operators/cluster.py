@@ -180,8 +180,8 @@ def micro_count(n: int, cap: int = 384) -> int:
     return max(12, min(cap, int((max(n, 2) / 2.0) ** 0.5)))
 
 
-def _kmeans(points: DataFrame, k: int, seed: int, weight: str | None) -> DataFrame:
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol="label")
+def _kmeans(points: DataFrame, k: int, seed: int, weight: str | None, name: str) -> DataFrame:
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=name)
     if weight:
         model = model.setWeightCol(weight)
     ready = points.withColumn("_v", array_to_vector(V.as_double(F.col("vector"))))
@@ -193,7 +193,7 @@ def cluster_kmeans(points: DataFrame, min_cluster_size: int = 15, seed: int = 42
     n = points.count()
     if n < 2:
         return points.select("group_key", "id", F.lit(-1).alias("label"))
-    return _kmeans(points, kmeans_count(n, min_cluster_size), seed, None).select("group_key", "id", "label")
+    return _kmeans(points, kmeans_count(n, min_cluster_size), seed, None, "label").select("group_key", "id", "label")
 
 
 def micro_clusters(points: DataFrame, cap: int = 384, seed: int = 42,
@@ -203,7 +203,7 @@ def micro_clusters(points: DataFrame, cap: int = 384, seed: int = 42,
     k = min(n, micro_count(n, cap))
     if k < 2:
         return points.withColumn("micro_id", F.lit(0))
-    return _kmeans(points, k, seed, weight).withColumnRenamed("label", "micro_id")
+    return _kmeans(points, k, seed, weight, "micro_id")
 
 
 def assign_nearest(points: DataFrame, centroids: DataFrame, max_centroids: int = 1024) -> DataFrame:

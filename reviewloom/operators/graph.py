@@ -60,7 +60,7 @@ def micro_graph(profiles: DataFrame, sizes: DataFrame, k: int = 8, min_weight: f
     """
     from reviewloom.functions import vectors as V
 
-    parts = [F.transform(V.l2_normalize(F.col(c)), lambda x, s=w ** 0.5: x * s)
+    parts = [V.scale(V.l2_normalize(F.col(c)), (w / sum(weights)) ** 0.5)
              for c, w in zip(("semantic", "seed", "metric"), weights)]
     points = profiles.select(F.lit("all").alias("group_key"), "id", F.concat(*parts).alias("vector"))
     edges = NB.symmetric_edges(NB.knn_join(points, k)).where(F.round("sim", 9) >= min_weight)

@@ -256,19 +256,21 @@ def phrase_overlap(df: DataFrame, phrases: list[str], doc: str = "review_id",
     return rows.select(doc, T.phrases_present(F.col("_p"), phrases).cast("int").alias("phrase_overlap"))
 
 
-def hr_rule_score(df: DataFrame, tfidf_hr: str, phrases: list[str], signals: list[str] | None = None,
-                  doc: str = "review_id", text: str = "review_text") -> DataFrame:
-    """0.35 signal share + 0.25 phrase share + 0.40 TF-IDF HR score, from one pass per text.
+def hr_rule_score(texts: DataFrame, tfidf_hr: DataFrame, phrases: list[str],
+                  signals: list[str] | None = None, doc: str = "review_id",
+                  text: str = "review_text") -> DataFrame:
+    """0.35 signal share + 0.25 phrase share + 0.40 TF-IDF HR score: (doc, hr_rule_score).
 
-    A share is a count divided by the largest count in the corpus.
+    A share is a count divided by the largest count in the corpus. ``tfidf_hr``: doc, hr_score.
     """
     signals = signals or K.HR_SIGNALS
-    rows = df.select(doc, F.col(tfidf_hr).alias("_t"), T.padded(F.col(text)).alias("_p"))
-    counted = rows.select(doc, "_t", T.phrase_hits(F.col("_p"), signals).alias("_s"),
+    rows = texts.select(doc, T.padded(F.col(text)).alias("_p"))
+    counted = rows.select(doc, T.phrase_hits(F.col("_p"), signals).alias("_s"),
                           T.phrases_present(F.col("_p"), phrases).alias("_o"))
     top = counted.agg(F.struct(F.max("_s").alias("s"), F.max("_o").alias("o")).alias("m")).scalar()
-    wide = counted.withColumn("_m", top)
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
-    score = (0.35 * share(F.col("_s"), F.col("_m")["s"]) + 0.25 * share(F.col("_o"), F.col("_m")["o"])
-             + 0.40 * F.col("_t"))
-    return wide.select(doc, score.alias("hr_rule_score"))
+    rules = counted.withColumn("_m", top).select(
+        doc, (0.35 * share(F.col("_s"), F.col("_m")["s"])
+              + 0.25 * share(F.col("_o"), F.col("_m")["o"])).alias("_rules"))
+    return rules.join(tfidf_hr.select(doc, "hr_score"), doc).select(
+        doc, (F.col("_rules") + 0.40 * F.col("hr_score")).alias("hr_rule_score"))

@@ -152,14 +152,22 @@ def hr_confidence(score: Column) -> Column:
     return F.greatest(s, 1 - s)
 
 
+def is_confident(confidence: Column, minimum: float = 0.70) -> Column:
+    return F.round(confidence, 9) >= minimum
+
+
+def is_borderline(confidence: Column, low: float = 0.40, high: float = 0.70) -> Column:
+    return F.round(confidence, 9).between(low, high)
+
+
 def confidence_filter(df: DataFrame, minimum: float = 0.70,
                       column: str = "classification_confidence") -> DataFrame:
-    return df.where(F.round(column, 9) >= minimum)
+    return df.where(is_confident(F.col(column), minimum))
 
 
 def borderline_queue(df: DataFrame, low: float = 0.40, high: float = 0.70,
                      column: str = "classification_confidence") -> DataFrame:
-    return df.where(F.round(column, 9).between(low, high))
+    return df.where(is_borderline(F.col(column), low, high))
 
 
 def score_at_least(df: DataFrame, threshold: float = K.SEED_THRESHOLD, column: str = "score") -> DataFrame:
