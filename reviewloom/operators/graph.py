@@ -120,17 +120,21 @@ def graph_communities(edges: DataFrame, nodes: DataFrame, resolutions: list[floa
         # One row per resolution.
         totals = F.broadcast(materialize(level_edges.groupBy("resolution").agg(
             (2 * F.sum("weight")).alias("m2")), "louvain-total"))
-        quiet, moved_any = 0, False
+        quiet, visited = 0, set()
         for turn in range(max_rounds):
             following = materialize(_move(state, directed, totals, turn % 2), "louvain-state")
-            moves = following.where("moved").count()
+            moves, place = following.agg(
+                F.count_if("moved"), F.sum(F.xxhash64("resolution", "node", "c") % 1000003)).first()
             discard(state)
             state = following.drop("moved")
-            moved_any = moved_any or moves > 0
             quiet = 0 if moves else quiet + 1
-            if quiet == 2:
+            # Stop when settled, or when two halves keep swapping the same communities.
+            if quiet == 2 or (moves and (turn % 2, place) in visited):
                 break
-        if not moved_any:
+            visited.add((turn % 2, place))
+        before, after = state.agg(
+            F.count("*"), F.count_distinct("resolution", "c")).first()
+        if after == before:
             break
         mapping = state.select("resolution", F.col("node").alias("community"), F.col("c").alias("_to"))
         members = materialize(
