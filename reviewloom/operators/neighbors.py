@@ -120,7 +120,7 @@ def within(left: np.ndarray, right: np.ndarray, eps: float) -> tuple[np.ndarray,
 
 def block_map(blocks: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     """Apply ``kernel(left, right, same)`` to every block pair; ``same`` marks a block with itself."""
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         _, _, bi, bj = key
         left = frame[frame["role"] == 0]
         if bi == bj:
