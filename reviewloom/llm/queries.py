@@ -10,6 +10,13 @@ from reviewloom.llm.common import table
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewloom.llm import ngram_join
+
+    return ngram_join.similar_components(table(spark, sf_dir, "documents")).select(
+        F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewloom.llm import chat
 
@@ -50,11 +57,29 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op2_chat_format, op6_maglev_sharding, op8_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op6_maglev_sharding, op8_quality_rules, op10_source_mixing)}
 
 _ESCAPED = r"replace(replace(replace(coalesce({}, ''), '\', '\\'), '#', '\#'), '</', '<\/')"
 
 ORACLE = {
+    "op1_ngram_join": r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+), sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)] END) AS s FROM words
+), items AS (SELECT doc_id, hash(unnest(s)) AS h FROM sets
+), met AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM items a JOIN items b ON a.h = b.h AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT x, y FROM met JOIN sets p ON p.doc_id = x JOIN sets q ON q.doc_id = y
+  WHERE 100 * common >= 75 * (len(p.s) + len(q.s) - common)
+), ways AS MATERIALIZED (SELECT x, y FROM links UNION ALL SELECT y, x FROM links
+), reach AS (
+  SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, b.y FROM reach r JOIN ways b ON r.y = b.x
+)
+SELECT d.doc_id, len(s)::BIGINT AS n_shingles, (SELECT min(y) FROM reach r WHERE r.x = d.doc_id) AS component_id FROM sets d""",
     "op2_chat_format": rf"""
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
