@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import table
 
+TOKENIZER = "word_bpe_49k.json"
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
@@ -40,6 +41,15 @@ def op6_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(documents, "doc_id", SHARDS).select("doc_id", "slot", "shard")
 
 
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from reviewloom.llm import packing
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewloom.llm import quality
 
@@ -57,7 +67,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op6_maglev_sharding, op8_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op10_source_mixing)}
 
 _ESCAPED = r"replace(replace(replace(coalesce({}, ''), '\', '\\'), '#', '\#'), '</', '<\/')"
 
