@@ -300,13 +300,15 @@ def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, nodes: int = NODES)
     ranked = dealt.join(before, ["length", "dealt"]).withColumn("rank", F.col("before") - 1 + F.row_number().over(
         W.partitionBy("length", "dealt").orderBy("row", "piece")))
 
+    columns = pieces.columns
+
     def place(batches):
         for batch in batches:
             length, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             sequence, offset = layout(length, rank)
             yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in pieces.columns], pa.array(sequence), pa.array(offset)],
-                names=[*pieces.columns, "sequence_id", "offset"])
+                [*[batch.column(c) for c in columns], pa.array(sequence), pa.array(offset)],
+                names=[*columns, "sequence_id", "offset"])
 
     fields = ", ".join(f"{n} {t}" for n, t in pieces.dtypes)
     return ranked.select(*pieces.columns, "rank").mapInArrow(place, f"{fields}, sequence_id long, offset long")
