@@ -24,6 +24,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that are no part of a letter: letters are A-Z, a-z and everything outside ASCII.
+NOT_LETTER = np.ones(256, bool)
+NOT_LETTER[[*range(65, 91), *range(97, 123), *range(128, 256)]] = False
 LOWER_ASCII = np.arange(256, dtype=np.uint8)
 LOWER_ASCII[65:91] += 32
 
@@ -104,10 +107,10 @@ def spans(data: np.ndarray, gap: np.ndarray, bounds: np.ndarray) -> tuple[np.nda
 
 
 def texts(column: pa.Array | pa.ChunkedArray, table: np.ndarray | None = None,
-          gaps: np.ndarray = IS_SPACE) -> Iterator[Texts]:
+          gaps: np.ndarray = IS_SPACE, latin: bool = False) -> Iterator[Texts]:
     """A string column as runs of rows of about ``CHUNK_BYTES``; null counts as empty.
 
-    ``table`` maps every byte (for lower case) before anything else.
+    ``table`` maps every byte (for lower case) before anything else; ``latin`` also lower-cases U+00C0 to U+00DE.
     """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
@@ -124,6 +127,10 @@ def texts(column: pa.Array | pa.ChunkedArray, table: np.ndarray | None = None,
         data = payload[offsets[at]:offsets[to]]
         if table is not None:
             data = table[data]
+        if latin and len(data):
+            upper = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+            data = data.copy()
+            data[upper] += 0x20
         bounds = offsets[at:to + 1] - offsets[at]
         begins, ends = spans(data, gaps[data], bounds)
         yield Texts(range(at, to), data, bounds, begins, ends, np.searchsorted(begins, bounds))

@@ -34,6 +34,13 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewloom.llm import toxicity
+
+    return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 def op6_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewloom.llm import sharding
 
@@ -67,7 +74,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op3_toxicity, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op10_source_mixing)}
 
 _ESCAPED = r"replace(replace(replace(coalesce({}, ''), '\', '\\'), '#', '\#'), '</', '<\/')"
 
