@@ -310,12 +310,20 @@ def _pairs_of(rows, runs):
     x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
     for lo, hi in runs:
         drawn = [np.frombuffer(s, np.uint8).astype(np.int64) for s in blobs[lo:hi]]
+        # All at the coarsest resolution among them, for a first look at many at once; 255 may stand for more.
+        width = min(map(len, drawn))
+        folded = [d.reshape(width, -1) for d in drawn]
+        coarse = np.array([f.sum(axis=1) for f in folded], np.int32)
+        sure = np.array([~(f == 255).any(axis=1) for f in folded])
         for i in range(lo, hi):
             rest = np.arange(i + 1, hi)
             rest = rest[(root[rest] != root[i]) & (NUM * np.maximum(size[rest], size[i]) <= DEN * np.minimum(size[rest], size[i]))]
             if x[lo] != y[lo]:
                 rest = rest[block[rest] != block[i]]
-            for k in rest:
+            if not len(rest):
+                continue
+            apart = (np.abs(coarse[rest - lo] - coarse[i - lo]) * (sure[rest - lo] & sure[i - lo])).sum(axis=1)
+            for k in rest[apart <= difference(size[i], size[rest])]:
                 if may_link(drawn[i - lo], drawn[k - lo], int(size[i]), int(size[k])):
                     found.add((int(min(digest[i], digest[k])), int(max(digest[i], digest[k]))))
     if found:

@@ -41,6 +41,15 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewloom.llm import line_dedup
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.drop_lines(documents).select(
+        "doc_id", F.col("dropped_lines").cast("long"), F.length("text").cast("long").alias("kept_chars"),
+        F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op6_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewloom.llm import sharding
 
@@ -74,7 +83,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op3_toxicity, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op3_toxicity, op4_line_dedup, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op10_source_mixing)}
 
 _ESCAPED = r"replace(replace(replace(coalesce({}, ''), '\', '\\'), '#', '\#'), '</', '<\/')"
 
