@@ -72,6 +72,13 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewloom.llm import langid
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return langid.identify(documents, langid.train(documents))
+
+
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewloom.llm import mixing
 
@@ -83,7 +90,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op3_toxicity, op4_line_dedup, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op3_toxicity, op4_line_dedup, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op9_language_id, op10_source_mixing)}
 
 _ESCAPED = r"replace(replace(replace(coalesce({}, ''), '\', '\\'), '#', '\#'), '</', '<\/')"
 
