@@ -50,6 +50,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op5_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reviewloom.llm import ann
+
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.search(ann.build_index(vectors), vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op6_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewloom.llm import sharding
 
@@ -90,7 +97,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("repeats") * F.col("size")).cast("long").alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op3_toxicity, op4_line_dedup, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op9_language_id, op10_source_mixing)}
+QUERIES = {f.__name__: f for f in (op1_ngram_join, op2_chat_format, op3_toxicity, op4_line_dedup, op5_graph_ann, op6_maglev_sharding, op7_best_fit_packing, op8_quality_rules, op9_language_id, op10_source_mixing)}
 
 _ESCAPED = r"replace(replace(replace(coalesce({}, ''), '\', '\\'), '#', '\#'), '</', '<\/')"
 
