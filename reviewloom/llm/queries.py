@@ -11,6 +11,13 @@ TOKENIZER = "word_bpe_49k.json"
 SHARDS = [f"shard-{k:03d}" for k in range(64)]
 
 
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    """Where the installed vocabulary file is; every worker opens it there."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reviewloom.llm import ngram_join
 
@@ -65,11 +72,9 @@ def op6_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
     from reviewloom.llm import packing
 
-    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER)).select(
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).select(
         "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
