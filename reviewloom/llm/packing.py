@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -19,40 +20,56 @@ DEALT = 64
 #: Search nodes after which the best packing so far is taken, and fillings tried per node.
 NODES, FILLINGS = 4_000, 8
 #: Distinct words whose ids a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 600_000
 
 
 # ---- tokens
 
-class Words:
-    """Ids of whole texts, word by word.
+class Words(dict):
+    """Ids (little-endian unsigned 32-bit) by word, and of whole texts word by word.
 
     Sound for tokenizers whose pre-tokenizer never joins across ASCII white space and drops it: the ids of a text are those
-    of its words one after another. Each distinct word goes through the tokenizer itself once per worker, as long as it is
-    remembered.
+    of its words one after another. A word is put through the tokenizer itself when it is met, unless it is a Latin
+    letter run in another case or before punctuation, for a tokenizer that ignores case and parts letters from
+    punctuation; ``REMEMBERED`` words are remembered, the first met, which hold the frequent ones.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        # Letters parted from punctuation, case ignored: checked on the tokenizer rather than assumed.
+        parts = self.tokenizer.encode_batch(["Ab", "ab", "ab,.", ",."], add_special_tokens=False)
+        self.simple = parts[0].ids == parts[1].ids and parts[2].ids == parts[1].ids + parts[3].ids
+
+    def _encode(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        out = self._composed(word)
+        if out is None:
+            out = self._encode(word)
+        if len(self) < REMEMBERED:
+            self[word] = out
+        return out
+
+    def _composed(self, word: str) -> bytes | None:
+        core = word.rstrip(".,;:!?")
+        plain = core.lower()
+        if not self.simple or plain == word or not core.isalpha():
+            return None
+        try:  # in Latin-1 nothing composes, and letters and their cases are the same to every library
+            core.encode("latin-1")
+        except UnicodeEncodeError:
+            return None
+        tail = word[len(core):]
+        return self[plain] + self[tail] if tail else self[plain]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
         for space in "\t\n\x0b\x0c\r":
             text = text.replace(space, " ")
-        words = text.split(" ")
-        known = self.known
-        new = {w for w in set(words) if w not in known}
-        if new:
-            if len(known) + len(new) > REMEMBERED:
-                known = self.known = {}
-                new = set(words)
-            new = list(new)
-            for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(known.__getitem__, words))
+        return b"".join(map(self.__getitem__, text.split(" ")))
 
 
 _WORDS: dict[str, Words] = {}
