@@ -23,6 +23,7 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewloom.llm.common import LOWER_ASCII, KeyFilter, arrow, constants, keep, mix, span_hashes, texts
@@ -32,7 +33,9 @@ SHINGLE = 5
 #: Jaccard threshold as a fraction.
 NUM, DEN = 3, 4
 #: Rounds of star edges before the remaining pairs are enumerated.
-STAR_ROUNDS = 2
+STAR_ROUNDS = 3
+#: Pairs that a component proposes in a round.
+PROPOSALS = 4
 #: Most members of a block of a large signature group.
 BLOCK = 1024
 
@@ -101,27 +104,32 @@ def signatures(own: np.ndarray) -> np.ndarray:
 
 
 def sketch(own: np.ndarray) -> bytes:
-    """How many shingles fall in each of ``2**s`` equal ranges of the hash, about four to a range."""
-    s = max(3, math.ceil(math.log2(max(1, len(own)) / 4)))
-    counts = np.bincount((own >> np.uint64(64 - s)).astype(np.int64), minlength=1 << s)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()
+    """How many shingles fall in each of ``2**s`` equal ranges of the hash, about one to a range: two bits each, 3 for more."""
+    s = max(3, math.ceil(math.log2(max(1, len(own)))))
+    counts = np.minimum(np.bincount((own >> np.uint64(64 - s)).astype(np.int64), minlength=1 << s), 3).astype(np.uint8)
+    four = counts.reshape(-1, 4)
+    return (four[:, 0] | four[:, 1] << 2 | four[:, 2] << 4 | four[:, 3] << 6).tobytes()
 
 
-def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
-    """False only if the sets differ too much: ranges of hashes that differ in their counts differ in shingles.
+def counts_of(drawn: bytes) -> np.ndarray:
+    packed = np.frombuffer(drawn, np.uint8)
+    return np.stack([packed >> k & 3 for k in (0, 2, 4, 6)], 1).ravel().astype(np.int8)
 
-    A count of 255 may stand for more, so it only says "at least".
-    """
+
+def fold(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of ``width`` wider ranges, and where they are exact enough to be compared (at their own width all are:
+    3 says "at least", and what differs from it differs at least so much)."""
+    parts = counts.reshape(width, -1)
+    return parts.sum(1, dtype=np.int16), (parts < 3).all(1) | (parts.shape[1] == 1)
+
+
+def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
+    """False only if the sets differ too much: ranges of hashes that differ in their counts differ in shingles."""
     if NUM * max(size_a, size_b) > DEN * min(size_a, size_b):
         return False
-    most = difference(size_a, size_b)
-    if len(a) == len(b):
-        return int(np.abs(a - b).sum()) <= most
-    if len(a) > len(b):
-        a, b = b, a
-    fold = b.reshape(len(a), -1)
-    full = (a == 255) | (fold == 255).any(axis=1)
-    return int((np.abs(a - fold.sum(axis=1)) * ~full).sum()) <= most
+    width = min(len(a), len(b))
+    (x, sure_x), (y, sure_y) = fold(a, width), fold(b, width)
+    return int((np.abs(x - y) * (sure_x & sure_y)).sum()) <= difference(size_a, size_b)
 
 
 def _read_sets(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -191,8 +199,7 @@ def _sketch_filter(batches):
     for batch in batches:
         a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
         sa, sb = batch.column(4), batch.column(5)
-        ok = np.array([may_link(np.frombuffer(sa[i].as_py(), np.uint8).astype(np.int64),
-                                np.frombuffer(sb[i].as_py(), np.uint8).astype(np.int64), int(na[i]), int(nb[i]))
+        ok = np.array([may_link(counts_of(sa[i].as_py()), counts_of(sb[i].as_py()), int(na[i]), int(nb[i]))
                        for i in range(len(a))], bool)
         yield arrow({"a": a[ok], "b": b[ok]}, {"a": pa.int64(), "b": pa.int64()})
 
@@ -276,13 +283,23 @@ def _open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(counts.where("low <> high"), "sig")
 
 
-def _stars(opened: DataFrame) -> DataFrame:
-    """For every component the component it shares most signatures with among their smallest, by one pair of sets."""
-    hub = opened.where("root = low").groupBy("sig").agg(F.min("digest").alias("hub"))
-    met = opened.where("root <> low").join(hub, "sig")
-    counted = met.groupBy("root", "low", "digest", "hub").agg(F.count("*").alias("shared"))
-    best = counted.groupBy("root").agg(F.max(F.struct("shared", "digest", "hub")).alias("best"))
-    return best.select(F.least("best.digest", "best.hub").alias("a"), F.greatest("best.digest", "best.hub").alias("b")).distinct()
+def _stars(opened: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
+    """Up to ``PROPOSALS`` untried pairs for every component that is not the largest in one of its signatures: the pairs
+    with up to three members of the largest one that share most signatures."""
+    sizes = opened.groupBy("sig", "root").agg(F.count("*").alias("many"))
+    largest = sizes.groupBy("sig").agg(F.max(F.struct("many", -F.col("root"))).alias("top")).select(
+        "sig", (-F.col("top.col2")).alias("hub_root"))
+    rows = opened.select("sig", "digest", "root").join(largest, "sig")
+    mixed = F.struct(F.xxhash64("digest", F.lit(turn)).alias("h"), "digest")
+    hubs = rows.where("root = hub_root").groupBy("sig").agg(F.array_distinct(F.array(
+        F.min("digest"), F.min(mixed)["digest"], F.max(mixed)["digest"])).alias("hubs"))
+    met = rows.where("root <> hub_root").join(hubs, "sig").select("root", "digest", F.explode("hubs").alias("hub"))
+    pairs = met.groupBy("root", "digest", "hub").agg(F.count("*").alias("shared")).select(
+        "root", F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), "shared")
+    if tried is not None:
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    order = W.partitionBy("root").orderBy(F.desc("shared"), "a", "b")
+    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROPOSALS).select("a", "b").distinct()
 
 
 def _block_pairs(batches):
@@ -309,12 +326,11 @@ def _pairs_of(rows, runs):
     size, blobs = rows["n"].to_numpy(), rows["sketch"].to_numpy()
     x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
     for lo, hi in runs:
-        drawn = [np.frombuffer(s, np.uint8).astype(np.int64) for s in blobs[lo:hi]]
-        # All at the coarsest resolution among them, for a first look at many at once; 255 may stand for more.
+        drawn = [counts_of(s) for s in blobs[lo:hi]]
+        # All at the coarsest resolution among them, for a look at many at once.
         width = min(map(len, drawn))
-        folded = [d.reshape(width, -1) for d in drawn]
-        coarse = np.array([f.sum(axis=1) for f in folded], np.int32)
-        sure = np.array([~(f == 255).any(axis=1) for f in folded])
+        folded = [fold(d, width) for d in drawn]
+        coarse, sure = np.array([f for f, _ in folded]), np.array([f for _, f in folded])
         for i in range(lo, hi):
             rest = np.arange(i + 1, hi)
             rest = rest[(root[rest] != root[i]) & (NUM * np.maximum(size[rest], size[i]) <= DEN * np.minimum(size[rest], size[i]))]
@@ -359,9 +375,13 @@ def similar_components(documents: DataFrame, id_column: str = "doc_id", text_col
     links = tried = None
     for turn in range(STAR_ROUNDS + 1):
         opened = keep(_open_groups(groups, roots), "join-open")
-        pairs = _stars(opened) if turn < STAR_ROUNDS else _remaining(opened, join.about)
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if turn < STAR_ROUNDS:
+            pairs = _stars(opened, tried, turn)
+        else:
+            # Written before the join, which would otherwise be applied to the pairs of every signature.
+            pairs = keep(_remaining(opened, join.about), "join-remaining")
+            if tried is not None:
+                pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
         seen = join.verify(pairs)
         tried = seen if tried is None else tried.unionByName(seen)
         links = tried.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
