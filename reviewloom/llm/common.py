@@ -185,6 +185,17 @@ def cross_fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string")) % 3
 
 
+def sample(rows: DataFrame, most: int, *key: str) -> DataFrame:
+    """About ``most`` of the rows (all, if there are fewer): those whose hash of ``key`` lies below a bound.
+
+    Which rows are taken does not depend on partitions, and nothing is gathered to choose them.
+    """
+    many = rows.count()
+    if many <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(*key, F.lit(29)), F.lit(1 << 40)) < int((1 << 40) * most / many))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

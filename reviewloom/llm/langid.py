@@ -130,10 +130,10 @@ def _frequencies(batches):
 
 def _sparse(batches):
     for batch in batches:
-        got = [counts(t.as_py() or "") for t in batch.column(1)]
+        got = [counts(t.as_py() or "") for t in batch.column(2)]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([u.astype(np.int32) for u, _ in got], pa.list_(pa.int32())),
-             pa.array([t.astype(np.float32) for _, t in got], pa.list_(pa.float32()))], names=["lang", "used", "times"])
+            [batch.column(0), batch.column(1), pa.array([u.astype(np.int32) for u, _ in got], pa.list_(pa.int32())),
+             pa.array([t.astype(np.float32) for _, t in got], pa.list_(pa.float32()))], names=["lang", "order", "used", "times"])
 
 
 def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang: str = "lang",
@@ -150,17 +150,19 @@ def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
     seen = np.zeros(SLOTS)
     seen[known["slot"].to_numpy(np.int64)] = known["many"]
     idf = np.log((1 + total) / (1 + seen)) + 1
-    order = F.xxhash64("text", F.lit(17))
-    ranked = rows.select("lang", order.alias("order"), "text")
-    # The rank limit is applied before rows of a language meet.
-    chosen = (ranked.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order")))
-              .where(F.col("rank") <= fitted).orderBy("rank", "order").limit(fitted).select("lang", "text"))
-    sample = chosen.mapInArrow(_sparse, "lang string, used array<int>, times array<float>").toPandas()
-    languages = tuple(sorted(set(sample["lang"])))
+    # Chosen by keys alone: the rank limit is applied before the rows of a language meet, and texts follow for the few chosen.
+    keyed = rows.select("lang", F.xxhash64("text", F.lit(17)).alias("order"))
+    chosen = (keyed.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("order")))
+              .where(F.col("rank") <= fitted).orderBy("rank", "order", "lang").limit(fitted).select("lang", "order").distinct())
+    texts = rows.withColumn("order", F.xxhash64("text", F.lit(17))).join(F.broadcast(chosen), ["lang", "order"])
+    texts = texts.select("lang", "order", "text").dropDuplicates(["lang", "order"])
+    fit = texts.mapInArrow(_sparse, "lang string, order long, used array<int>, times array<float>").toPandas()
+    fit = fit.sort_values(["order", "lang"], ignore_index=True)
+    languages = tuple(sorted(set(fit["lang"])))
     blank = Model(languages, idf, np.zeros((SLOTS, len(languages))), np.zeros(len(languages)), 1.0)
-    at = [np.asarray(u, np.int64) for u in sample["used"]]
-    x = [blank.features(u, np.asarray(t, float)) for u, t in zip(at, sample["times"])]
-    y = np.array([languages.index(v) for v in sample["lang"]])
+    at = [np.asarray(u, np.int64) for u in fit["used"]]
+    x = [blank.features(u, np.asarray(t, float)) for u, t in zip(at, fit["times"])]
+    y = np.array([languages.index(v) for v in fit["lang"]])
     kept = np.arange(len(y)) % 5 == 4
     learned = np.flatnonzero(~kept)
     weights, constant = ftrl([(at[i], x[i]) for i in learned], y[learned], len(languages))

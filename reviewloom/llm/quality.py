@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import IS_SPACE, constants, cross_fold, mix, span_hashes, spans, texts
+from reviewloom.llm.common import IS_SPACE, constants, cross_fold, mix, sample, span_hashes, spans, texts
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = np.zeros(256, bool)
@@ -20,7 +20,7 @@ IS_BREAK[10] = True
 #: Bytes that begin a code point of a word.
 BEGINS_CHARACTER = ~IS_SPACE & ((np.arange(256) & 0xC0) != 0x80)
 _THREE = constants(3, 23)
-#: The most labelled rows a list is learned from, the smallest by hash of their text and label.
+#: About how many labelled rows at most a list is learned from, chosen by a hash of text and label.
 MAX_LABELLED = 50_000
 
 
@@ -175,13 +175,13 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id",
                 max_labelled: int = MAX_LABELLED, **options) -> DecisionList:
     """A list learned from labelled rows of :func:`with_statistics` outside the held-out fold.
 
-    At most ``max_labelled`` rows are used, the smallest by a hash of text and label: a sample that does not
+    About ``max_labelled`` rows at most are used, chosen by a hash of text and label: a sample that does not
     depend on partitions. Rows without a label or statistics teach nothing; a document with several labels counts
     with each.
     """
     given = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("__label")).where(
         F.col("__label").isNotNull() & (cross_fold("id") != 1))
-    rows = (stats.join(given, "id").orderBy(F.xxhash64("key", "__label"), "key", "id").limit(max_labelled)
+    rows = (sample(stats.join(given, "id"), max_labelled, "key", "__label")
             .select(*[v.alias(n) for n, v in ratios().items()], "__label")).toPandas()
     return learn({n: rows[n].to_numpy(float) for n in ratios(F.col)}, rows["__label"].to_numpy() == 1, **options)
 

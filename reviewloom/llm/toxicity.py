@@ -25,14 +25,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import LOWER_ASCII, NOT_LETTER, KeyFilter, constants, cross_fold, keep, mix, span_hashes, texts
+from reviewloom.llm.common import LOWER_ASCII, NOT_LETTER, KeyFilter, constants, cross_fold, keep, mix, sample, span_hashes, texts
 
 DISCOUNT = 0.75
 CUT = 5
 TOP = 3
-#: Expressions sent to every task, the most frequent; the others are looked up by a join.
+#: The most expressions sent to every task (12 MB), the most frequent; the others are looked up by a join.
 HEAD = 1 << 20
-#: The most rows the logistic function is fitted on, the smallest by hash.
+#: The most labels that are sent to every task (some 8 MB); more are joined by a shuffle.
+SENT_LABELS = 500_000
+#: About how many rows at most the logistic function is fitted on, chosen by hash.
 FITTED = 20_000
 #: One training text in so many is left out of the counts and used for the fit.
 LEFT_OUT = 5
@@ -143,12 +145,17 @@ class _Known:
 
 def _ratios(documents: DataFrame, weights: DataFrame, rest: float, head: int) -> DataFrame:
     """``(id, row, held_out, label, n, total, top)`` for ``documents`` (id, row, held_out, label, text)."""
-    spark = documents.sparkSession
-    first = weights.orderBy(F.desc("seen"), "key").limit(head).select("key", "weight").toPandas()
-    known = _Known(first["key"].to_numpy(np.int64).view(np.uint64), first["weight"].to_numpy(float))
-    rare = None
-    if len(first) == head:
-        rare = keep(weights.join(spark.createDataFrame(first[["key"]]), "key", "left_anti").select("key", "weight"), "toxic-rare")
+    # The most frequent expressions, as many as fit: whole steps of frequency, of which there are a few hundred.
+    step = F.floor(F.log2("seen") * 16).cast("int")
+    steps = sorted(((r["step"], r["count"]) for r in weights.groupBy(step.alias("step")).count().collect()), reverse=True)
+    least, taken = steps[0][0] + 1 if steps else 0, 0
+    for at, many in steps:
+        if taken + many > head:
+            break
+        least, taken = at, taken + many
+    first = weights.where(step >= least).select("key", F.col("weight").cast("float").alias("weight")).toArrow()
+    known = _Known(first["key"].to_numpy().view(np.uint64), first["weight"].to_numpy())
+    rare = keep(weights.where(step < least).select("key", "weight"), "toxic-rare") if taken < sum(n for _, n in steps) else None
     may = KeyFilter.of(rare, "key") if rare is not None else None
 
     def run(batches):
@@ -252,15 +259,17 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_column: str = "d
 
         return pd.Series(may(key.to_numpy().view(np.uint64)))
 
-    # Only rows that may have a label move to their labels.
+    # Labels go to the texts while they are small; beyond that only rows that may have a label move.
+    if given.count() <= SENT_LABELS:
+        given = F.broadcast(given)
     training = (rows.where(~F.col("held_out") & F.col("id").isNotNull()).where(labelled(F.xxhash64("id")))
                 .join(given, "id").withColumn("part", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(LEFT_OUT))))
     weights, rest = count_expressions(training.where("part <> 0").select("text", (F.col("label") == 1).cast("int").alias("toxic")))
-    left_out = training.where("part = 0").orderBy(F.xxhash64("row", F.lit(9)), "row").limit(FITTED)
-    sample = _ratios(left_out.select("id", "row", "held_out", "label", "text"), weights, rest, head).select(
+    left_out = sample(training.where("part = 0"), FITTED, "row")
+    fitted = _ratios(left_out.select("id", "row", "held_out", "label", "text"), weights, rest, head).select(
         *_features(), (F.col("label") == 1).cast("int").alias("y")).toPandas()
     names = ["top_ratio", "mean_ratio", "length"]
-    centre, scale, b = _fit(sample[names].to_numpy(float), sample["y"].to_numpy(float))
+    centre, scale, b = _fit(fitted[names].to_numpy(float), fitted["y"].to_numpy(float))
     scored = _ratios(rows.withColumn("label", F.lit(None).cast("int")), weights, rest, head)
     x = sum((F.col(c) - float(m)) / float(s) * float(k) for c, m, s, k in zip(names, centre, scale, b)) + float(b[-1])
     score = 1 / (1 + F.exp(-x))
