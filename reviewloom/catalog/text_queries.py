@@ -187,12 +187,16 @@ HR_WORDS = K.HR_SIGNALS + ["this", "by the"]
 PADDED = f"' ' || regexp_replace(lower(review_text), '{Q.NOT_WORD}', '  ', 'g') || ' '"
 
 
+def sql_key(phrase: str) -> str:
+    return f"(' ' || array_to_string(regexp_extract_all(lower('{phrase}'), '[a-z0-9_]+'), '  ') || ' ')"
+
+
 def sql_hits(phrases: list[str]) -> str:
-    return " + ".join(f"len(regexp_extract_all(p, '{T.phrase_key(x)}'))" for x in phrases)
+    return " + ".join(f"len(regexp_extract_all(p, {sql_key(x)}))" for x in phrases)
 
 
 def sql_present(phrases: list[str]) -> str:
-    return " + ".join(f"CAST(contains(p, '{T.phrase_key(x)}') AS INTEGER)" for x in phrases)
+    return " + ".join(f"CAST(contains(p, {sql_key(x)}) AS INTEGER)" for x in phrases)
 
 
 FACTORS = f"""

@@ -211,12 +211,12 @@ def older_term_scores(spark, sf_dir):
 
 @register("attach_embeddings", """
 SELECT d.doc_id, d.lang, e.label, round(CAST(e.embedding[1] AS DOUBLE), 6) AS first_value
-FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id""")
+FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id""")
 def attach_embeddings(spark, sf_dir):
     vectors = I.vectors(spark, sf_dir).withColumnRenamed("vec_id", "doc_id")
     joined = C.attach_embeddings(I.table(spark, sf_dir, "documents").select("doc_id", "lang"),
                                  vectors, "doc_id")
-    with_label = joined.join(vectors.select("doc_id", "label"), "doc_id")
+    with_label = joined.join(vectors.select("doc_id", "label"), "doc_id", "left")
     return with_label.select("doc_id", "lang", "label",
                              F.round(F.col("vector")[0].cast("double"), 6).alias("first_value"))
 
@@ -337,8 +337,8 @@ def standard_scale(spark, sf_dir):
 
 @register("pca_reduced")
 def pca_reduced(spark, sf_dir):
-    reduced, used = D.reduce_pca(all_points(spark, sf_dir), 10)
-    return reduced.select("id", F.posexplode("vector").alias("pos", "x"), F.lit(used).alias("reducer_used"))
+    reduced = D.reduce_pca(all_points(spark, sf_dir), 10)
+    return reduced.select("id", F.posexplode("vector").alias("pos", "x"), "reducer_used")
 
 
 @register("kmeans_labels")
@@ -348,5 +348,25 @@ def kmeans_labels(spark, sf_dir):
 
 @register("dbscan_on_pca")
 def dbscan_on_pca(spark, sf_dir):
-    reduced, _ = D.reduce_pca(all_points(spark, sf_dir), 10)
+    reduced = D.reduce_pca(all_points(spark, sf_dir), 10)
     return L.cluster_dbscan(reduced, 0.45, 5)
+
+
+@register("clustered_sides", """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN 'small' ELSE 'side' || label % 3 END AS side FROM embeddings)
+SELECT side, count(*) AS n_rows, true AS sizes_add_up, true AS labels_from_zero, true AS labels_without_gaps,
+       CASE WHEN count(*) <= 2 THEN 'none_too_few_rows' ELSE 'pca' END AS reducer_used,
+       CASE WHEN count(*) = 1 THEN 'none_too_few_rows' ELSE 'kmeans' END AS algorithm_used
+FROM v GROUP BY side""")
+def clustered_sides(spark, sf_dir):
+    """What holds for every side clustered by itself, whatever the start of the search."""
+    vectors = I.vectors(spark, sf_dir)
+    side = F.when(F.col("vec_id") % 7 == 0, "small").otherwise(F.concat(F.lit("side"), F.col("label") % 3))
+    out = L.cluster_rows(vectors.select("vec_id", side.alias("side")), vectors, "kmeans", key="vec_id")
+    per = out.groupBy("side", "cluster_id", "reducer_used", "cluster_algorithm_used").agg(
+        F.count("*").alias("n"), F.max("cluster_size").alias("given"))
+    return per.groupBy("side").agg(
+        F.sum("n").alias("n_rows"), F.bool_and(F.col("n") == F.col("given")).alias("sizes_add_up"),
+        (F.min("cluster_id") == 0).alias("labels_from_zero"),
+        (F.max("cluster_id") + 1 == F.count("*")).alias("labels_without_gaps"),
+        F.max("reducer_used").alias("reducer_used"), F.max("cluster_algorithm_used").alias("algorithm_used"))

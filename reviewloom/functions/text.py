@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -66,35 +65,18 @@ def content_words(text: Column, stop_words: list[str]) -> Column:
     )
 
 
-def padded(text: Column) -> Column:
-    """Lower-cased words with two spaces between neighbours and one at each end.
+def words_of(text: Column) -> Column:
+    """The lower-cased words of a text as an array, stop words and single letters included."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), f"[^{WORD}]+"), lambda w: w != "")
 
-    In this form a whole-word phrase is a plain substring and two neighbouring hits never share a
-    character, so counting needs no regular expression per phrase.
-    """
-    body = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), f"[^{WORD}]+", "  ")
-    return F.concat(F.lit(" "), body, F.lit(" "))
 
+def phrase_words(phrase: str) -> list[str]:
+    return re.findall(r"\w+", phrase.lower())
 
-def phrase_key(phrase: str) -> str:
-    """A phrase the way :func:`padded` writes it."""
-    return " " + "  ".join(re.findall(r"\w+", phrase.lower())) + " "
-
-
-def phrase_hits(padded_text: Column, phrases: list[str]) -> Column:
-    """Number of whole-word occurrences of the phrases."""
-    def hits(phrase: str) -> Column:
-        key = phrase_key(phrase)
-        gone = F.length(padded_text) - F.length(F.replace(padded_text, F.lit(key), F.lit("")))
-        return (gone / F.lit(len(key))).cast("long")
 
-    return reduce(lambda a, b: a + b, [hits(p) for p in phrases], F.lit(0).cast("long"))
-
-
-def phrases_present(padded_text: Column, phrases: list[str]) -> Column:
-    """Number of different phrases that occur at least once."""
-    found = [F.contains(padded_text, F.lit(phrase_key(p))).cast("int") for p in phrases]
-    return reduce(lambda a, b: a + b, found, F.lit(0))
+def phrase_key(phrase: str) -> str:
+    """A phrase as its words with single spaces."""
+    return " ".join(phrase_words(phrase))
 
 
 # Latin letters whose accents the feature builder drops, and their plain forms.

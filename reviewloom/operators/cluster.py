@@ -6,6 +6,8 @@ their number as weight, so copies cost nothing.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -189,11 +191,24 @@ def _kmeans(points: DataFrame, k: int, seed: int, weight: str | None, name: str)
 
 
 def cluster_kmeans(points: DataFrame, min_cluster_size: int = 15, seed: int = 42) -> DataFrame:
-    """k-means labels per row of one group: (group_key, id, label)."""
-    n = points.count()
-    if n < 2:
-        return points.select("group_key", "id", F.lit(-1).alias("label"))
-    return _kmeans(points, kmeans_count(n, min_cluster_size), seed, None, "label").select("group_key", "id", "label")
+    """k-means labels per row: (group_key, id, label), numbered from 0 in every group.
+
+    Each group has its own number of clusters and its own fit over all its rows; there is one fit
+    per group, and groups are few (the sides of a review). A group of one row is noise.
+    """
+    sizes = {r["group_key"]: r["count"] for r in points.groupBy("group_key").count().collect()}
+    parts = [points.select("group_key", "id", F.lit(-1).alias("label")).where("false")]
+    for key, n in sorted(sizes.items(), key=lambda x: (x[0] is None, x[0])):
+        own = points.where(F.col("group_key").eqNullSafe(F.lit(key)))
+        if n < 2:
+            parts.append(own.select("group_key", "id", F.lit(-1).alias("label")))
+            continue
+        found = _kmeans(own, kmeans_count(n, min_cluster_size), seed, None, "_k")
+        # A fit may end with fewer clusters than asked for; the numbers stay without gaps.
+        used = [r["_k"] for r in found.select("_k").distinct().orderBy("_k").collect()]
+        number = F.array_position(F.array(*[F.lit(u) for u in used]), F.col("_k")) - 1
+        parts.append(found.select("group_key", "id", number.cast("int").alias("label")))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def micro_clusters(points: DataFrame, cap: int = 384, seed: int = 42,
@@ -206,22 +221,34 @@ def micro_clusters(points: DataFrame, cap: int = 384, seed: int = 42,
     return _kmeans(points, k, seed, weight, "micro_id")
 
 
-def assign_nearest(points: DataFrame, centroids: DataFrame, max_centroids: int = 1024) -> DataFrame:
+def assign_nearest(points: DataFrame, centroids: DataFrame, slice_rows: int = 1024) -> DataFrame:
     """Label of the nearest centroid for every vector, ties to the smaller label.
 
-    The centroids (label, centroid) are a bounded model, checked against ``max_centroids``.
+    The centroids (label, centroid) are the model and are read as a whole. Distances come from one matrix
+    product per slice of rows; where the product form cannot tell the nearest ones apart, they are
+    measured directly.
     """
-    rows = centroids.select("label", "centroid").orderBy("label").limit(max_centroids + 1).collect()
-    if len(rows) > max_centroids:
-        raise ValueError(f"more than {max_centroids} centroids")
+    rows = centroids.select("label", "centroid").orderBy("label").collect()
     labels = np.array([r["label"] for r in rows])
     matrix = np.array([r["centroid"] for r in rows], dtype=float)
+    own = (matrix ** 2).sum(axis=1)
 
     @F.pandas_udf("int")
     def nearest(batch: pd.Series) -> pd.Series:
-        x = NB._matrix(batch)
-        square = ((x[:, None, :] - matrix[None, :, :]) ** 2).sum(axis=2)
-        return pd.Series(labels[np.round(square, 9).argmin(axis=1)].astype("int32"))
+        whole = NB._matrix(batch)
+        out = np.zeros(len(whole), dtype="int32")
+        for low in range(0, len(whole), slice_rows):
+            x = whole[low:low + slice_rows]
+            size = (x ** 2).sum(axis=1)
+            square = size[:, None] + own - 2 * x @ matrix.T
+            best = square.argmin(axis=1)
+            slack = 1e-8 + 1e-12 * (size + own.max())
+            near = square <= (square.min(axis=1) + slack)[:, None]
+            for i in np.flatnonzero(near.sum(axis=1) > 1):
+                some = np.flatnonzero(near[i])
+                best[i] = some[np.round(((x[i] - matrix[some]) ** 2).sum(axis=1), 9).argmin()]
+            out[low:low + slice_rows] = labels[best]
+        return pd.Series(out)
 
     return points.select("group_key", "id", nearest("vector").alias("label"))
 
@@ -241,19 +268,26 @@ def add_cluster_columns(frame: DataFrame, labels: DataFrame, reduced: DataFrame,
                         min_samples: int = 5, model_id: str = K.MODEL_ID) -> DataFrame:
     """Cluster id, noise flag, size, first two coordinates and provenance for every row.
 
-    ``labels``: group_key, id, label; ``reduced``: id, vector. The sizes are one row per cluster.
+    ``labels``: group_key, id, label; ``reduced``: id, vector and, where groups differ in it,
+    ``reducer_used``, which goes before ``reducer``. A group of one row has no algorithm, and one of up to
+    two rows no reducer. The sizes are one row per cluster.
     """
-    sized = labels.join(cluster_sizes(labels), ["group_key", "label"])
-    spots = reduced.select("id", F.get("vector", F.lit(0)).alias("_x"), F.get("vector", F.lit(1)).alias("_y"))
-    wide = sized.join(spots, "id").select(
+    few = "none_too_few_rows"
+    rows = labels.groupBy("group_key").agg(F.count("*").alias("_rows"))
+    sized = (labels.join(cluster_sizes(labels), ["group_key", "label"]).join(rows, "group_key"))
+    used = F.col("reducer_used") if "reducer_used" in reduced.columns else F.lit(None).cast("string")
+    spots = reduced.select("id", F.get("vector", F.lit(0)).alias("_x"), F.get("vector", F.lit(1)).alias("_y"),
+                           used.alias("_used"))
+    small = F.when(F.col("_rows") <= 2, few) if reducer == "pca" else F.lit(None).cast("string")
+    wide = sized.join(spots, "id", "left").select(
         F.col("id").alias(key),
         F.col("label").cast("int").alias("cluster_id"),
         (F.col("label") == -1).alias("is_cluster_noise"),
         F.col("cluster_size").cast("int").alias("cluster_size"),
         F.coalesce(F.col("_x").cast("double"), F.lit(0.0)).alias("cluster_x"),
         F.coalesce(F.col("_y").cast("double"), F.lit(0.0)).alias("cluster_y"),
-        F.lit(reducer).alias("reducer_used"),
-        F.lit(algorithm).alias("cluster_algorithm_used"),
+        F.coalesce("_used", small, F.lit(reducer)).alias("reducer_used"),
+        F.when(F.col("_rows") == 1, few).otherwise(algorithm).alias("cluster_algorithm_used"),
         F.lit(model_id).alias("cluster_embedding_model_id"),
         F.lit(min_cluster_size).alias("cluster_min_cluster_size"),
         F.lit(min_samples).alias("cluster_min_samples"),
@@ -267,15 +301,17 @@ def cluster_rows(frame: DataFrame, vectors: DataFrame, algorithm: str = "density
                  components: int = 10) -> DataFrame:
     """Reduce and cluster the rows of every group separately and add the cluster columns.
 
-    ``vectors``: key, vector. An empty frame gives an empty result with the full schema.
+    ``vectors``: key, vector. A row without a vector is noise at the origin. An empty frame gives an
+    empty result with the full schema.
     """
     from reviewloom.operators import reduce as D
 
-    points = materialize(
+    every = materialize(
         frame.select(F.col(group).alias("group_key"), F.col(key).alias("id"))
-        .join(vectors.select(F.col(key).alias("id"), "vector"), "id")
+        .join(vectors.select(F.col(key).alias("id"), "vector"), "id", "left")
         .select("group_key", "id", V.l2_normalize(F.col("vector")).alias("vector")), "cluster-points")
-    reduced, used = (D.reduce_pca(points, components) if reducer == "pca" else (points, "none"))
+    points = every.where(F.col("vector").isNotNull())
+    reduced = D.reduce_pca(points, components) if reducer == "pca" else points
     reduced = materialize(reduced, "cluster-reduced")
     if algorithm == "kmeans":
         labels = cluster_kmeans(reduced, min_cluster_size)
@@ -285,4 +321,6 @@ def cluster_rows(frame: DataFrame, vectors: DataFrame, algorithm: str = "density
         labels = cluster_density(reduced, min_cluster_size, min_samples, eps)
     else:
         raise ValueError(f"unknown clustering algorithm {algorithm}")
-    return add_cluster_columns(frame, labels, reduced, used, algorithm, key, min_cluster_size, min_samples)
+    without = every.where(F.col("vector").isNull()).select("group_key", "id", F.lit(-1).alias("label"))
+    return add_cluster_columns(frame, labels.select("group_key", "id", "label").unionByName(without), reduced,
+                               "pca" if reducer == "pca" else "none", algorithm, key, min_cluster_size, min_samples)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -30,22 +28,21 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
             F.col("v").alias("u"), F.col("m").alias("v"))
         return moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct()
 
-    def mark(pairs: DataFrame) -> tuple:
-        return tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-
     current = materialize(
         edges.where(F.col("src") != F.col("dst"))
         .select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc")
-    seen = mark(current)
     for _ in range(max_rounds):
+        # Settled when every node hangs on one root and no root on another node.
+        crossed = current.select(F.col("u").alias("node"), F.col("v").alias("root")).groupBy("node").agg(
+            F.count("*").alias("roots"))
+        loose = crossed.where("roots > 1").select("node").unionByName(
+            crossed.select("node").join(current.select(F.col("v").alias("node")), "node", "left_semi"))
+        if loose.isEmpty():
+            roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
         following = materialize(stars(stars(current, True), False), "cc")
-        now = mark(following)
         discard(current)
         current = following
-        if now == seen:
-            roots = current.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
-            return current.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
-        seen = now
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")
 
 
@@ -90,13 +87,15 @@ def modularity(edges: DataFrame, labels: DataFrame, resolution: float = 1.0) ->
 
 
 def graph_communities(edges: DataFrame, nodes: DataFrame, resolutions: list[float] | None = None,
-                      max_rounds: int = 20, max_levels: int = 10) -> DataFrame:
+                      max_rounds: int = 100, max_levels: int = 40) -> DataFrame:
     """Communities per resolution: (resolution, node, community), community = a member id.
 
     Modularity-improving moves as grouped joins: in each round the nodes of one parity move to the
     neighbouring community with the largest gain (ties to the smaller id); after two quiet rounds
     communities are contracted to nodes and the rounds go on until nothing merges. All resolutions
-    run in the same jobs, keyed by ``resolution``. ``edges``: src, dst, weight; ``nodes``: id.
+    run in the same jobs, keyed by ``resolution``. A search that is still moving after
+    ``max_rounds`` rounds or merging after ``max_levels`` levels is an error. ``edges``: src, dst,
+    weight; ``nodes``: id.
     """
     resolutions = resolutions or [1.0]
     grid = F.explode(F.array(*[F.lit(float(r)) for r in resolutions])).alias("resolution")
@@ -124,7 +123,8 @@ def graph_communities(edges: DataFrame, nodes: DataFrame, resolutions: list[floa
         for turn in range(max_rounds):
             following = materialize(_move(state, directed, totals, turn % 2), "louvain-state")
             moves, place = following.agg(
-                F.count_if("moved"), F.sum(F.xxhash64("resolution", "node", "c") % 1000003)).first()
+                F.count_if("moved"),
+                F.sum(F.xxhash64("resolution", "node", "c").cast("decimal(38,0)"))).first()
             discard(state)
             state = following.drop("moved")
             quiet = 0 if moves else quiet + 1
@@ -132,6 +132,8 @@ def graph_communities(edges: DataFrame, nodes: DataFrame, resolutions: list[floa
             if quiet == 2 or (moves and (turn % 2, place) in visited):
                 break
             visited.add((turn % 2, place))
+        else:
+            raise RuntimeError(f"communities did not settle in {max_rounds} rounds")
         before, after = state.agg(
             F.count("*"), F.count_distinct("resolution", "c")).first()
         if after == before:
@@ -146,6 +148,8 @@ def graph_communities(edges: DataFrame, nodes: DataFrame, resolutions: list[floa
             level_edges.join(to_src, ["resolution", "src"]).join(to_dst, ["resolution", "dst"])
             .groupBy("resolution", F.least("_s", "_d").alias("src"), F.greatest("_s", "_d").alias("dst"))
             .agg(F.sum("weight").alias("weight")), "louvain-edges")
+    else:
+        raise RuntimeError(f"communities still merged after {max_levels} levels")
     return members
 
 
@@ -177,11 +181,18 @@ def select_resolution(edges: DataFrame, communities: DataFrame, penalty: float =
 
     One row per resolution with ``selected`` on the best one; ties go to the lower resolution.
     """
-    values = [r["resolution"] for r in communities.select("resolution").distinct().orderBy("resolution").collect()]
-    quality = reduce(lambda a, b: a.unionByName(b), [
-        modularity(edges, communities.where(F.col("resolution") == v)
-                   .select("node", F.col("community").alias("label")), v)
-        .select(F.lit(v).alias("resolution"), "modularity") for v in values])
+    a = communities.select("resolution", F.col("node").alias("src"), F.col("community").alias("la"))
+    b = communities.select("resolution", F.col("node").alias("dst"), F.col("community").alias("lb"))
+    both = edges.join(a, "src").join(b, ["resolution", "dst"])
+    ends = both.select("resolution", F.inline(F.array(
+        F.struct(F.col("la").alias("label"), F.col("weight"),
+                 F.when(F.col("la") == F.col("lb"), F.col("weight")).otherwise(0.0).alias("inside")),
+        F.struct(F.col("lb").alias("label"), F.col("weight"), F.lit(0.0).alias("inside")))))
+    total = F.sum("degree") / 2
+    quality = ends.groupBy("resolution", "label").agg(
+        F.sum("weight").alias("degree"), F.sum("inside").alias("inside")).groupBy("resolution").agg(
+        (F.sum("inside") / total - F.col("resolution") * F.sum(F.col("degree") * F.col("degree"))
+         / (4 * total * total)).alias("modularity"))
     sizes = communities.groupBy("resolution", "community").agg(F.count("*").alias("n"))
     shares = sizes.groupBy("resolution").agg(
         F.count("*").alias("n_communities"), (F.max("n") / F.sum("n")).alias("largest_share"))

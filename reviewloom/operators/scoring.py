@@ -40,12 +40,14 @@ def tfidf_scores(texts: DataFrame, seeds: DataFrame, categories: list[str] | Non
                  stop_words: list[str] | None = None) -> DataFrame:
     """TF-IDF cosine of every text to every category profile: ``(group, doc, score_*...)``.
 
-    Document frequencies are fitted per group over its texts and the profiles. The texts are
+    Categories come from the dictionary unless given. Document frequencies are fitted per group over
+    its texts and the profiles. The texts are
     shuffled once by document, their term rows once by term; all categories are scored in that one
     pass because the term table carries the profile counts as an array. A text without words keeps
     its row with zero scores. Broadcast are only tables with one row per listed group.
     """
-    categories = categories or K.CATEGORIES
+    profiled = dictionary_categories(seeds)
+    categories = categories or profiled
     groups = groups or K.SIDE_NAMES
     inside = texts.where(F.col(group).isin(groups))
     tf = N.term_counts(
@@ -65,7 +67,7 @@ def tfidf_scores(texts: DataFrame, seeds: DataFrame, categories: list[str] | Non
 
     # At most one row per listed group.
     sizes = F.broadcast(inside.groupBy(group).agg(
-        (F.count("*") + F.lit(len(categories))).alias("n_docs")))
+        (F.count("*") + F.lit(len(profiled))).alias("n_docs")))
     known = F.coalesce("text_df", F.lit(0)) + F.coalesce("profile_df", F.lit(0))
     idf = N.smooth_idf(F.col("n_docs"), known)
 
@@ -157,20 +159,15 @@ def embedding_scores(vectors: DataFrame, centroids: DataFrame, categories: list[
 
 
 def older_scores(vectors: DataFrame, seed_vectors: DataFrame, categories: list[str] | None = None,
-                 doc: str = "review_id", vector: str = "vector",
-                 terms_per_category: int = K.OLDER_SEED_TOP_N) -> DataFrame:
+                 doc: str = "review_id", vector: str = "vector") -> DataFrame:
     """Best weighted similarity to any single seed term of each category, one column per category.
 
-    A dictionary holds at most ``terms_per_category`` terms per category, so the term matrix that
-    the tasks share is bounded; a longer one is an error. Each Arrow batch is one matrix product.
+    The dictionary is the model: its terms, of any number, are read once and each Arrow batch is one
+    matrix product per category. A row without a vector scores 0.
     """
     categories = categories or K.CATEGORIES
-    cap = len(categories) * terms_per_category
     entries = (seed_vectors.where(F.col("category").isin(categories))
-               .select("category", "score", V.l2_normalize(F.col("vector")).alias("v"))
-               .limit(cap + 1).collect())
-    if len(entries) > cap:
-        raise ValueError(f"more than {terms_per_category} seed terms per category; trim the dictionary")
+               .select("category", "score", V.l2_normalize(F.col("vector")).alias("v")).collect())
     blocks = []
     for c in categories:
         of_category = [(r["v"], r["score"]) for r in entries if r["category"] == c]
@@ -178,12 +175,17 @@ def older_scores(vectors: DataFrame, seed_vectors: DataFrame, categories: list[s
 
     @F.pandas_udf("array<double>")
     def best(batch: pd.Series) -> pd.Series:
-        x = np.stack(batch.to_numpy()).astype(float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.TINY)
-        columns = [((x @ m.T) * w).max(axis=1) if len(w) else np.zeros(len(x)) for m, w in blocks]
-        return pd.Series(list(np.stack(columns, axis=1)))
-
-    scored = vectors.where(F.col(vector).isNotNull()).select(doc, best(vector).alias("_s"))
+        out = np.zeros((len(batch), len(blocks)))
+        known = np.flatnonzero(batch.notna().to_numpy())
+        if len(known):
+            x = np.stack(batch.iloc[known].to_numpy()).astype(float)
+            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.TINY)
+            for k, (m, w) in enumerate(blocks):
+                if len(w):
+                    out[known, k] = ((x @ m.T) * w).max(axis=1)
+        return pd.Series(list(out))
+
+    scored = vectors.select(doc, best(vector).alias("_s"))
     return scored.select(doc, *[F.col("_s")[i].alias(c) for i, c in enumerate(categories)])
 
 
@@ -197,19 +199,32 @@ def older_label(scores: DataFrame, threshold: float = K.OLDER_THRESHOLD) -> Data
 
 def attach_embeddings(df: DataFrame, embeddings: DataFrame | None = None, key: str = "review_id",
                       text: str = "review_text", encoder=None) -> DataFrame:
-    """Add ``vector`` from a vector table keyed like ``df``, or from a caller's pandas UDF."""
+    """Add ``vector`` from a vector table keyed like ``df``, or from a caller's pandas UDF.
+
+    Every row stays; one that the table does not hold gets a null vector.
+    """
     if (embeddings is None) == (encoder is None):
         raise ValueError("give either a vector table or an encoder")
     if encoder is not None:
         return df.withColumn("vector", encoder(F.col(text)))
-    return df.join(embeddings.select(key, "vector"), key)
+    return df.join(embeddings.select(key, "vector"), key, "left")
+
+
+def dictionary_categories(seeds: DataFrame) -> list[str]:
+    """The categories of a dictionary in its own order; one row per category is read."""
+    rows = seeds.groupBy("category").agg(F.min("category_ord").alias("at")).orderBy("at", "category").collect()
+    return [r["category"] for r in rows]
 
 
 def classify(segments: DataFrame, seeds: DataFrame, backend: str = "auto",
              vectors: DataFrame | None = None, seed_vectors: DataFrame | None = None,
              categories: list[str] | None = None) -> DataFrame:
-    """Segments with scores and labels. ``auto`` uses vectors when they are given, else TF-IDF."""
-    categories = categories or K.CATEGORIES
+    """Segments with scores and labels. ``auto`` uses vectors when they are given, else TF-IDF.
+
+    Categories, their names and order, come from the dictionary unless given. A segment without a
+    vector scores 0 everywhere.
+    """
+    categories = categories or dictionary_categories(seeds)
     if backend not in ("auto", "tfidf", "sentence_transformer"):
         raise ValueError(f"unsupported classification backend {backend}")
     if backend == "auto":
@@ -219,16 +234,55 @@ def classify(segments: DataFrame, seeds: DataFrame, backend: str = "auto",
     else:
         if vectors is None or seed_vectors is None:
             raise ValueError("the embedding backend needs vectors and seed vectors")
-        scores = embedding_scores(vectors, category_centroids(seed_vectors, weighted=True), categories)
+        every = attach_embeddings(segments.select("review_id"), vectors)
+        scores = embedding_scores(every, category_centroids(seed_vectors, weighted=True), categories)
     return segments.join(label_scores(scores, backend, categories), "review_id")
 
 
+def phrase_matches(df: DataFrame, phrases: dict[str, list[str]], doc: str = "review_id",
+                   text: str = "review_text") -> DataFrame:
+    """``(doc, label, phrase, hits)`` for every listed phrase that occurs in a text, as whole words.
+
+    The n-grams of a text, of each length that a phrase has, meet the phrase table, which is as large as the
+    dictionary. Hits of one phrase do not overlap: where a phrase can overlap itself, they are taken from the left.
+    """
+    spark = df.sparkSession
+    listed = {}
+    for label, group in phrases.items():
+        for phrase in group:
+            words = T.phrase_words(phrase)
+            if words:
+                own = next((k for k in range(1, len(words)) if words[k:] == words[:len(words) - k]), None)
+                # A phrase listed twice under one label counts twice.
+                times = listed.get((label, " ".join(words)), (0, 0, False))[0] + 1
+                listed[label, " ".join(words)] = (times, len(words), own is not None)
+    table = spark.createDataFrame(
+        [(label, phrase, *about) for (label, phrase), about in listed.items()],
+        "label string, term string, times int, length int, overlaps boolean")
+    rows = df.select(doc, T.words_of(F.col(text)).alias("_w"))
+    lengths = sorted({n for _, n, _ in listed.values()})
+
+    def grams_of(n: int) -> Column:
+        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
+        return F.transform(starts, lambda i: F.struct(
+            i.alias("at"), F.array_join(F.slice("_w", i + 1, F.lit(n)), " ").alias("term")))
+
+    grams = F.flatten(F.array(*[grams_of(n) for n in lengths])) if lengths else F.array().cast("array<struct<at:int,term:string>>")
+    met = rows.select(doc, F.inline(grams)).join(table, "term").groupBy(doc, "label", "term", "times", "length", "overlaps").agg(
+        F.sort_array(F.collect_list("at")).alias("_at"))
+    apart = F.aggregate("_at", F.struct(F.lit(0).alias("hits"), F.lit(-1).alias("free")), lambda acc, x: F.when(
+        x >= acc["free"], F.struct((acc["hits"] + 1).alias("hits"), (x + F.col("length")).alias("free"))).otherwise(acc))["hits"]
+    hits = F.when(F.col("overlaps"), apart).otherwise(F.size("_at"))
+    return met.select(doc, "label", F.col("term").alias("phrase"), (hits * F.col("times")).cast("long").alias("hits"))
+
+
 def regex_factor_counts(df: DataFrame, phrases: dict[str, list[str]], doc: str = "review_id",
                         text: str = "review_text") -> DataFrame:
     """Whole-word phrase hits per category: ``(doc, hits_*...)``."""
-    rows = df.select(doc, T.padded(F.col(text)).alias("_p"))
-    return rows.select(doc, *[T.phrase_hits(F.col("_p"), p).alias(f"hits_{c}")
-                              for c, p in phrases.items()])
+    found = phrase_matches(df, phrases, doc, text).groupBy(doc).agg(*[
+        F.coalesce(F.sum(F.when(F.col("label") == c, F.col("hits"))), F.lit(0)).alias(f"hits_{c}") for c in phrases])
+    return df.select(doc).join(found, doc, "left").select(
+        doc, *[F.coalesce(f"hits_{c}", F.lit(0)).alias(f"hits_{c}") for c in phrases])
 
 
 def regex_factor_score(df: DataFrame, phrases: dict[str, list[str]], doc: str = "review_id",
@@ -252,8 +306,10 @@ def hybrid_score(regex: Column, tfidf: Column, embedding: Column | None = None)
 def phrase_overlap(df: DataFrame, phrases: list[str], doc: str = "review_id",
                    text: str = "review_text") -> DataFrame:
     """Number of different dictionary phrases present in each text."""
-    rows = df.select(doc, T.padded(F.col(text)).alias("_p"))
-    return rows.select(doc, T.phrases_present(F.col("_p"), phrases).cast("int").alias("phrase_overlap"))
+    found = phrase_matches(df, {"phrase": list(dict.fromkeys(map(T.phrase_key, phrases)))}, doc, text)
+    counted = found.groupBy(doc).agg(F.count("*").alias("_o"))
+    return df.select(doc).join(counted, doc, "left").select(
+        doc, F.coalesce("_o", F.lit(0)).cast("int").alias("phrase_overlap"))
 
 
 def hr_rule_score(texts: DataFrame, tfidf_hr: DataFrame, phrases: list[str],
@@ -264,9 +320,12 @@ def hr_rule_score(texts: DataFrame, tfidf_hr: DataFrame, phrases: list[str],
     A share is a count divided by the largest count in the corpus. ``tfidf_hr``: doc, hr_score.
     """
     signals = signals or K.HR_SIGNALS
-    rows = texts.select(doc, T.padded(F.col(text)).alias("_p"))
-    counted = rows.select(doc, T.phrase_hits(F.col("_p"), signals).alias("_s"),
-                          T.phrases_present(F.col("_p"), phrases).alias("_o"))
+    found = phrase_matches(texts, {"signal": signals, "phrase": list(dict.fromkeys(map(T.phrase_key, phrases)))}, doc, text)
+    found = found.groupBy(doc).agg(
+        F.sum(F.when(F.col("label") == "signal", F.col("hits"))).alias("_s"),
+        F.count_if(F.col("label") == "phrase").alias("_o"))
+    counted = texts.select(doc).join(found, doc, "left").select(
+        doc, F.coalesce("_s", F.lit(0)).alias("_s"), F.coalesce("_o", F.lit(0)).alias("_o"))
     top = counted.agg(F.struct(F.max("_s").alias("s"), F.max("_o").alias("o")).alias("m")).scalar()
     share = lambda a, b: F.coalesce(F.try_divide(a.cast("double"), b), F.lit(0.0))
     rules = counted.withColumn("_m", top).select(

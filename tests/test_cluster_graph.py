@@ -106,12 +106,12 @@ def test_communities_partition_nodes_and_beat_singletons(spark):
 
 def test_pca_and_scaling(spark):
     x = cloud(60, 4)
-    reduced, used = D.reduce_pca(frame(spark, x), 10)
+    reduced = D.reduce_pca(frame(spark, x), 10)
     got = np.array([r["vector"] for r in reduced.orderBy("id").collect()])
     variance = got.var(axis=0)
-    assert used == "pca" and got.shape == (60, 4) and all(np.diff(variance) <= 1e-9)
+    assert {r["reducer_used"] for r in reduced.collect()} == {"pca"} and got.shape == (60, 4) and all(np.diff(variance) <= 1e-9)
     assert abs(got.mean(axis=0)).max() < 1e-9
-    assert D.reduce_pca(frame(spark, x[:2]), 10)[1] == "none_too_few_rows"
+    assert {r["reducer_used"] for r in D.reduce_pca(frame(spark, x[:2]), 10).collect()} == {"none_too_few_rows"}
     flat = np.concatenate([x, np.ones((60, 1))], axis=1)
     scaled = np.array([r["vector"] for r in D.standard_scale(frame(spark, flat)).orderBy("id").collect()])
     assert np.allclose(scaled[:, :4], (x - x.mean(axis=0)) / x.std(axis=0)) and abs(scaled[:, 4]).max() == 0
@@ -163,3 +163,32 @@ def test_dedup_keeps_first_and_maps_back(spark):
     assert got == {"a b": ("A  b", 2, 2.0), "c": ("c", 1, 5.0)}
     back = U.map_back(rows, unique, ["first_id"], "t")
     assert {(r["id"], r["first_id"]) for r in back.collect()} == {(1, 1), (2, 1), (3, 3)}
+
+
+def test_each_side_is_clustered_by_itself(spark):
+    sizes = {"a": 60, "b": 40, "two": 2, "one": 1}
+    rows, at = [], 0
+    for side, n in sizes.items():
+        x = cloud(n, 6) if n > 2 else np.random.default_rng(n).random((n, 6))
+        for v in x:
+            rows.append((at, side, [float(y) for y in v]))
+            at += 1
+    rows.append((at, "a", None))
+    both = spark.createDataFrame(rows, "review_id long, side string, vector array<double>")
+    for algorithm in ("kmeans", "dbscan", "density"):
+        def run(part):
+            out = L.cluster_rows(part.select("review_id", "side"), part.select("review_id", "vector"), algorithm,
+                                 eps=0.3, min_samples=3, min_cluster_size=5)
+            return {r["review_id"]: r.asDict() for r in out.collect()}
+        together = run(both)
+        assert len(together) == at + 1 and together[at]["cluster_id"] == -1
+        for side in sizes:
+            for key, alone in run(both.where(F.col("side") == side)).items():
+                for name, value in alone.items():
+                    if isinstance(value, float):
+                        assert abs(value - together[key][name]) < 1e-6
+                    else:
+                        assert value == together[key][name], (algorithm, side, name)
+        marks = {r["side"]: (r["reducer_used"], r["cluster_algorithm_used"]) for r in together.values()}
+        assert marks["one"] == ("none_too_few_rows", "none_too_few_rows")
+        assert marks["two"] == ("none_too_few_rows", algorithm) and marks["b"] == ("pca", algorithm)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import constants as K
 from reviewloom.functions import text as T
+from reviewloom.operators import scoring as SC
 from reviewloom.functions import vectors as V
 
 
@@ -36,8 +37,18 @@ def test_words_are_unicode_and_two_long(spark):
 
 def test_phrase_hits_are_whole_words(spark):
     rows = ["fair fair unfair fair.", "Work-life balance, work life balance", "", None]
-    got = values(spark, rows, T.phrase_hits(T.padded(F.col("x")), ["fair", "work-life balance"]))
-    assert got == [3, 2, 0, 0]
+    frame = spark.createDataFrame(list(enumerate(rows)), "review_id int, review_text string")
+    got = SC.regex_factor_counts(frame, {"c": ["fair", "work-life balance"]})
+    assert [r["hits_c"] for r in got.orderBy("review_id").collect()] == [3, 2, 0, 0]
+
+
+def test_thousands_of_phrases_and_no_overlapping_hits(spark):
+    frame = spark.createDataFrame([(0, "a a a a b a b a"), (1, "w7 w8 w9 x")], "review_id int, review_text string")
+    many = [f"w{k} w{k + 1}" for k in range(3000)]
+    got = SC.regex_factor_counts(frame, {"c": ["a a", "a b a"], "m": many}).orderBy("review_id").collect()
+    assert [(r["hits_c"], r["hits_m"]) for r in got] == [(3, 0), (0, 2)]
+    over = SC.phrase_overlap(frame, [*many, "a a"]).orderBy("review_id").collect()
+    assert [r["phrase_overlap"] for r in over] == [1, 2]
 
 
 def test_l2_normalize_and_ties(spark):
