@@ -156,13 +156,14 @@ def train(documents: DataFrame, id_column: str = "doc_id", text_column: str = "t
               .where(F.col("rank") <= fitted).orderBy("rank", "order", "lang").limit(fitted).select("lang", "order").distinct())
     texts = rows.withColumn("order", F.xxhash64("text", F.lit(17))).join(F.broadcast(chosen), ["lang", "order"])
     texts = texts.select("lang", "order", "text").dropDuplicates(["lang", "order"])
-    fit = texts.mapInArrow(_sparse, "lang string, order long, used array<int>, times array<float>").toPandas()
-    fit = fit.sort_values(["order", "lang"], ignore_index=True)
-    languages = tuple(sorted(set(fit["lang"])))
+    fit = texts.mapInArrow(_sparse, "lang string, order long, used array<int>, times array<float>").toArrow().sort_by(
+        [("order", "ascending"), ("lang", "ascending")])
+    given = fit["lang"].to_pylist()
+    languages = tuple(sorted(set(given)))
     blank = Model(languages, idf, np.zeros((SLOTS, len(languages))), np.zeros(len(languages)), 1.0)
-    at = [np.asarray(u, np.int64) for u in fit["used"]]
-    x = [blank.features(u, np.asarray(t, float)) for u, t in zip(at, fit["times"])]
-    y = np.array([languages.index(v) for v in fit["lang"]])
+    at = [u.values.to_numpy() for u in fit["used"]]
+    x = [blank.features(u, t.values.to_numpy()).astype(np.float32) for u, t in zip(at, fit["times"])]
+    y = np.array([languages.index(v) for v in given])
     kept = np.arange(len(y)) % 5 == 4
     learned = np.flatnonzero(~kept)
     weights, constant = ftrl([(at[i], x[i]) for i in learned], y[learned], len(languages))

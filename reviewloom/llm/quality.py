@@ -182,8 +182,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     given = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("__label")).where(
         F.col("__label").isNotNull() & (cross_fold("id") != 1))
     rows = (sample(stats.join(given, "id"), max_labelled, "key", "__label")
-            .select(*[v.alias(n) for n, v in ratios().items()], "__label")).toPandas()
-    return learn({n: rows[n].to_numpy(float) for n in ratios(F.col)}, rows["__label"].to_numpy() == 1, **options)
+            .select(*[v.alias(n) for n, v in ratios().items()], "__label")).toArrow()
+    return learn({n: rows[n].to_numpy() for n in ratios(F.col)}, rows["__label"].to_numpy() == 1, **options)
 
 
 def quality_verdicts(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id",
