@@ -50,7 +50,6 @@ NULL_CELLS = ["", "NA", "N/A", "n/a", "NaN", "nan", "null", "NULL", "None", "#N/
 # Text-column and keyword-column names, in order of preference.
 TEXT_COLUMNS = ["review_text", "Pros", "Cons", "Likes", "Dislikes", "review", "Review",
                 "phrase", "text", "Text"]
-OLDER_TEXT_COLUMNS = ["Cons", "Pros", "Likes", "Dislikes", "review", "phrase"]
 KEYWORD_COLUMNS = ["keyword", "term", "words", "phrase"]
 
 # Categories in order, with their seed phrases.

@@ -101,10 +101,13 @@ def blocked(points: DataFrame, eps: float, n: int | None = None,
 def within(left: np.ndarray, right: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Index pairs at Euclidean distance ``<= eps`` (to nine digits) and the distances.
 
-    The product form only preselects; the reported distance comes from the differences.
+    The product form only preselects, with a slack that grows with the squares it is a difference of; the
+    reported distance comes from the differences.
     """
-    approx = (left ** 2).sum(axis=1)[:, None] + (right ** 2).sum(axis=1) - 2 * left @ right.T
-    i, j = np.nonzero(approx <= eps * eps + 1e-6)
+    a2, b2 = (left ** 2).sum(axis=1), (right ** 2).sum(axis=1)
+    approx = a2[:, None] + b2 - 2 * left @ right.T
+    slack = 1e-6 + 1e-13 * (a2.max(initial=0.0) + b2.max(initial=0.0))
+    i, j = np.nonzero(approx <= eps * eps + slack)
     keep_i, keep_j, keep_d = [], [], []
     for s in range(0, len(i), 65536):
         a, b = i[s:s + 65536], j[s:s + 65536]
