@@ -174,9 +174,9 @@ class KeyFilter:
                         names=["at", "word"])
 
         merged = (keys.select(F.col(column).cast("long")).mapInArrow(build, "at long, word long")
-                  .groupBy("at").agg(F.bit_or("word").alias("word"))).toPandas()
+                  .groupBy("at").agg(F.bit_or("word").alias("word"))).toArrow()
         bits = np.zeros(size // 8, np.int64)
-        bits[merged["at"].to_numpy(np.int64)] = merged["word"].to_numpy(np.int64)
+        bits[merged["at"].to_numpy()] = merged["word"].to_numpy()
         return KeyFilter(bits.view(np.uint8))
 
 
