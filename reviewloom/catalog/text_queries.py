@@ -315,3 +315,71 @@ def seed_round_trip(spark, sf_dir):
 
     back = J.parse_seed(J.seed_payload(I.corpus_seeds(spark, sf_dir)))
     return back.select("category", "category_ord", "term", "term_ord", "score")
+
+
+@register("non_hr_strict", """
+SELECT doc_id, CASE WHEN quality = 1 THEN 'Non HR' WHEN toxic = 1 THEN ' non hr ' ELSE 'HR' END AS classification
+FROM labels WHERE quality = 1""")
+def non_hr_strict(spark, sf_dir):
+    """Only the plain spelling passes, whatever its case; a padded one does not."""
+    given = F.when(F.col("quality") == 1, "Non HR").when(F.col("toxic") == 1, " non hr ").otherwise("HR")
+    return S.non_hr(I.table(spark, sf_dir, "labels").select("doc_id", given.alias("classification")))
+
+
+@register("score_columns", """
+SELECT doc_id, nullif(CASE WHEN toxic = 1 THEN 'HR' ELSE '' END, '') AS "Classification", quality::DOUBLE AS justice,
+       CAST(NULL AS DOUBLE) AS job_satisfaction FROM labels""")
+def score_columns(spark, sf_dir):
+    rows = I.table(spark, sf_dir, "labels").select(
+        "doc_id", F.when(F.col("toxic") == 1, "HR").otherwise("").alias("Classification"),
+        F.col("quality").cast("double").alias("justice"))
+    return S.ensure_score_columns(rows).select("doc_id", "Classification", "justice", "job_satisfaction")
+
+
+TAGS = ["NOUN", "VERB", "DET", "ADJ", "PROPN", "ADP"]
+
+
+@register("token_filter_texts", f"""
+WITH t AS (SELECT doc_id, unnest(string_split(text, ' ')) AS lemma, generate_subscripts(string_split(text, ' '), 1) AS pos FROM documents)
+SELECT doc_id, md5(coalesce(string_agg(lower(lemma), ' ' ORDER BY pos) FILTER (
+         length(lemma) % 6 IN ({', '.join(str(i) for i, t in enumerate(TAGS) if t not in ('DET', 'ADP'))})
+         AND lemma NOT LIKE '%.' AND length(lemma) <> 7 AND length(lemma) >= 3), '')) AS processed_md5
+FROM t GROUP BY doc_id""")
+def token_filter_texts(spark, sf_dir):
+    """Words of the documents with tags dealt out by length, in place of an annotated token table."""
+    words = I.text_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", " ", -1)).alias("pos", "lemma"))
+    names = F.array(*[F.lit(t) for t in TAGS])
+    tokens = words.select("doc_id", "pos", "lemma", F.get(names, F.length("lemma") % 6).alias("pos_tag"),
+                          (F.length("lemma") == 7).alias("is_stop"), F.col("lemma").endswith(".").alias("is_punct"))
+    return S.token_filter(tokens).select("doc_id", F.md5("processed_text").alias("processed_md5"))
+
+
+FIVE = [*K.CATEGORIES[2:6], "food"]
+FIVE_TFIDF = Q.TFIDF.replace("count(*) + 11", f"count(*) + {len(FIVE)}").replace("FROM seeds)", "FROM five)")
+
+
+@register("five_category_scores", Q.with_(Q.SEGMENTS, Q.KEYWORDS, Q.SEEDS, f"""
+five AS (SELECT CASE WHEN category = '{K.CATEGORIES[6]}' THEN 'food' ELSE category END AS category, term, term_ord, score
+         FROM seeds WHERE category IN ({', '.join(f"'{c}'" for c in K.CATEGORIES[2:7])}))""", FIVE_TFIDF) + f"""
+SELECT s.review_id, {', '.join(f"round(coalesce(max(score) FILTER (category = '{c}'), 0.0), 6) AS score_{c}" for c in FIVE)}
+FROM segments s LEFT JOIN sims USING (side, review_id) GROUP BY s.review_id""")
+def five_category_scores(spark, sf_dir):
+    """A dictionary of five categories, one of them not in the default list: names and order are its own."""
+    seeds = I.corpus_seeds(spark, sf_dir).where(F.col("category").isin(K.CATEGORIES[2:7])).withColumn(
+        "category", F.when(F.col("category") == K.CATEGORIES[6], "food").otherwise(F.col("category")))
+    scored = C.tfidf_scores(I.segments(spark, sf_dir), seeds)
+    return scored.select("review_id", *[F.round(f"score_{c}", 6).alias(f"score_{c}") for c in FIVE])
+
+
+@register("confidence_filters", Q.with_(Q.SEGMENTS, Q.KEYWORDS, Q.SEEDS, Q.TFIDF, Q.LABELLED, FACTORS) + """
+, scored AS (SELECT 0.35 * rs + 0.25 * ro + 0.4 * hr_score AS s FROM factors JOIN labelled USING (review_id)),
+conf AS (SELECT round(greatest(least(greatest(s, 0), 1), 1 - least(greatest(s, 0), 1)), 9) AS c FROM scored)
+SELECT 'confident' AS rows_kept, count(*) FILTER (c >= 0.7) AS n FROM conf
+UNION ALL SELECT 'borderline', count(*) FILTER (c BETWEEN 0.4 AND 0.7) FROM conf""")
+def confidence_filters(spark, sf_dir):
+    segments = I.segments(spark, sf_dir)
+    labelled = C.label_scores(C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir)), "tfidf")
+    scored = C.hr_rule_score(segments, labelled, sum(FACTOR_PHRASES.values(), []), HR_WORDS)
+    conf = scored.select(S.hr_confidence(F.col("hr_rule_score")).alias("classification_confidence"))
+    kept = {"confident": S.confidence_filter(conf), "borderline": S.borderline_queue(conf)}
+    return S.union_sides(*[df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rows_kept"), "n") for name, df in kept.items()])
