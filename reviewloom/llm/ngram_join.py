@@ -116,11 +116,9 @@ def counts_of(drawn: bytes) -> np.ndarray:
     return np.stack([packed >> k & 3 for k in (0, 2, 4, 6)], 1).ravel().astype(np.int8)
 
 
-def fold(counts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts of ``width`` wider ranges, and where they are exact enough to be compared (at their own width all are:
-    3 says "at least", and what differs from it differs at least so much)."""
-    parts = counts.reshape(width, -1)
-    return parts.sum(1, dtype=np.int16), (parts < 3).all(1) | (parts.shape[1] == 1)
+def fold(counts: np.ndarray, width: int) -> np.ndarray:
+    """Counts of ``width`` wider ranges, 3 again for more. Cutting both sides at 3 never widens a difference."""
+    return np.minimum(counts.reshape(width, -1).sum(1, dtype=np.int16), 3).astype(np.int8)
 
 
 def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
@@ -128,8 +126,7 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
     if NUM * max(size_a, size_b) > DEN * min(size_a, size_b):
         return False
     width = min(len(a), len(b))
-    (x, sure_x), (y, sure_y) = fold(a, width), fold(b, width)
-    return int((np.abs(x - y) * (sure_x & sure_y)).sum()) <= difference(size_a, size_b)
+    return int(np.abs(fold(a, width) - fold(b, width)).sum()) <= difference(size_a, size_b)
 
 
 def _read_sets(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -329,8 +326,7 @@ def _pairs_of(rows, runs):
         drawn = [counts_of(s) for s in blobs[lo:hi]]
         # All at the coarsest resolution among them, for a look at many at once.
         width = min(map(len, drawn))
-        folded = [fold(d, width) for d in drawn]
-        coarse, sure = np.array([f for f, _ in folded]), np.array([f for _, f in folded])
+        coarse = np.array([fold(d, width) for d in drawn])
         for i in range(lo, hi):
             rest = np.arange(i + 1, hi)
             rest = rest[(root[rest] != root[i]) & (NUM * np.maximum(size[rest], size[i]) <= DEN * np.minimum(size[rest], size[i]))]
@@ -338,7 +334,7 @@ def _pairs_of(rows, runs):
                 rest = rest[block[rest] != block[i]]
             if not len(rest):
                 continue
-            apart = (np.abs(coarse[rest - lo] - coarse[i - lo]) * (sure[rest - lo] & sure[i - lo])).sum(axis=1)
+            apart = np.abs(coarse[rest - lo] - coarse[i - lo]).sum(axis=1)
             for k in rest[apart <= difference(size[i], size[rest])]:
                 if may_link(drawn[i - lo], drawn[k - lo], int(size[i]), int(size[k])):
                     found.add((int(min(digest[i], digest[k])), int(max(digest[i], digest[k]))))
