@@ -204,8 +204,8 @@ def cluster_kmeans(points: DataFrame, min_cluster_size: int = 15, seed: int = 42
             parts.append(own.select("group_key", "id", F.lit(-1).alias("label")))
             continue
         found = _kmeans(own, kmeans_count(n, min_cluster_size), seed, None, "_k")
-        # A fit may end with fewer clusters than asked for; the numbers stay without gaps.
-        used = [r["_k"] for r in found.select("_k").distinct().orderBy("_k").collect()]
+        # Numbered by their first row; a fit may end with fewer clusters than asked for.
+        used = [r["_k"] for r in found.groupBy("_k").agg(F.min("id").alias("_first")).orderBy("_first").collect()]
         number = F.array_position(F.array(*[F.lit(u) for u in used]), F.col("_k")) - 1
         parts.append(found.select("group_key", "id", number.cast("int").alias("label")))
     return reduce(DataFrame.unionByName, parts)
