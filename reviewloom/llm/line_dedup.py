@@ -25,11 +25,14 @@ DEPTH = 3
 MIN_DOCUMENTS = 3
 #: Share of a leaf's lines that a token needs to stay in the template, and share of positions a member agrees at.
 MAJORITY, AGREEMENT = 0.5, 0.7
+#: Share of a template's positions that hold a word.
+CONSTANT = 0.5
 #: Share of a document's words in shared lines from which it counts as a copy.
 COPY = 0.6
 
 _LEAD = constants(DEPTH + 1, 53)
 _VARIABLE = constants(1, 59)[0]
+_SHORT_VARIABLE = int((_VARIABLE >> np.uint64(32)).astype(np.uint32).view(np.int32))
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[10] = True
 _IS_DIGIT = np.zeros(256, bool)
@@ -124,9 +127,12 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
     positions = votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("cast"))
     templates = (positions.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct(
         "at", F.when(F.col("top.votes") > MAJORITY * F.col("cast"), F.col("top.token")).alias("token")))).alias("template")))
+    # A line of numbers alone is no template.
+    said = F.size(F.filter("template", lambda x: x["token"] != _SHORT_VARIABLE))
     members = (distinct.join(templates, "leaf").withColumn("agree", F.size(F.filter(
         F.zip_with("tokens", "template", lambda x, y: x == y["token"]), lambda same: F.coalesce(same, F.lit(False)))))
-        .where(F.col("agree") >= AGREEMENT * F.size("tokens")).select("leaf", "line"))
+        .where((F.col("agree") >= AGREEMENT * F.size("tokens")) & (said >= CONSTANT * F.size("template")))
+        .select("leaf", "line"))
     found = keep(lines.withColumn("length", F.size("tokens") * F.size("numbers")).drop("tokens")
                  .join(members, ["leaf", "line"]), "lines-members")
     shared = found.groupBy("leaf").agg(F.count_distinct("row").alias("documents")).where(F.col("documents") >= min_documents)

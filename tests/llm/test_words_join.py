@@ -130,7 +130,7 @@ def test_large_groups_go_through_blocks(spark, monkeypatch):
 
 def test_recurring_lines_go_and_copies_stay(spark):
     rng = random.Random(3)
-    say = lambda n: " ".join(f"t{rng.randrange(10**6)}x" for _ in range(n))
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
     passage, notice = say(60), "page {} of the public notice number {} ends here"
     rows = []
     for k in range(12):
@@ -143,6 +143,7 @@ def test_recurring_lines_go_and_copies_stay(spark):
     rows += [(100 + k, rows[11][1]) for k in range(6)]  # copies of a whole document
     rows += [(200, None), (201, ""), (202, "a b\n\na b"), (203, "a b\nc")]
     rows += [(204, "a b\nd"), (205, "a b\ne")]
+    rows += [(210 + k, f"{say(30)}\n1 {k} 3 4 5") for k in range(5)]
     given = spark.createDataFrame([(d, t, "clash", 1) for d, t in rows], SCHEMA)
     got = {r.doc_id: r for r in line_dedup.drop_lines(given).collect()}
     for d, t in rows:
