@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewloom import constants as K
@@ -405,3 +406,53 @@ def community_final_numbers(spark, sf_dir):
     rows, sizes, edges = micro_graph_of(spark, sf_dir)
     communities = G.graph_communities(edges, sizes, [1.0]).select("node", "community")
     return G.renumber_by_size(G.micro_to_final(rows.select("vec_id", "micro_id"), communities))
+
+
+# What must hold for the searches whose start or order is free, as values that both sides can give.
+
+@register("pca_checks", """
+SELECT count(*) AS n_rows, 10 AS n_components, true AS centred, true AS descending, true AS uncorrelated FROM embeddings""")
+def pca_checks(spark, sf_dir):
+    reduced = I.materialize(D.reduce_pca(VQ.all_points(spark, sf_dir), 10), "pca")
+    long = reduced.select("id", F.posexplode("vector").alias("p", "x"))
+    met = long.join(long.select("id", F.col("p").alias("q"), F.col("x").alias("y")), "id").where("p <= q")
+    moments = met.groupBy("p", "q").agg(F.avg("x").alias("mean"), F.avg(F.col("x") * F.col("y")).alias("product"))
+    # The window spans ten rows.
+    before = F.lag("product").over(W.orderBy("p"))
+    flat = moments.where("p = q").select("mean", (F.coalesce(before, F.col("product")) >= F.col("product") - 1e-9).alias("down"))
+    return reduced.agg(F.count("*").alias("n_rows"), F.max(F.size("vector")).alias("n_components")).select(
+        "*", flat.agg(F.max(F.abs("mean")) < 1e-9).scalar().alias("centred"),
+        flat.agg(F.bool_and("down")).scalar().alias("descending"),
+        moments.where("p < q").agg(F.max(F.abs("product")) < 1e-9).scalar().alias("uncorrelated"))
+
+
+@register("kmeans_checks", """
+SELECT count(*) AS n_rows, greatest(2, least(8, count(*) // 15)) AS n_clusters, true AS nearly_all_nearest FROM embeddings""")
+def kmeans_checks(spark, sf_dir):
+    """Nearly every row (the search stops at a small shift) belongs to the nearest of the cluster means."""
+    points = VQ.all_points(spark, sf_dir)
+    labels = I.materialize(L.cluster_kmeans(points), "kmeans")
+    means = C.category_centroids(points.join(labels.select("id", "label"), "id").select(
+        F.col("label").alias("category"), F.col("label").alias("category_ord"), "vector"), unit_inputs=False, unit_output=False)
+    near = L.assign_nearest(points, means.select(F.col("category").alias("label"), "centroid"))
+    both = labels.join(near.select("id", F.col("label").alias("near")), "id")
+    return both.agg(F.count("*").alias("n_rows"), F.count_distinct("label").alias("n_clusters"),
+                    (F.avg((F.col("label") == F.col("near")).cast("int")) > 0.97).alias("nearly_all_nearest"))
+
+
+@register("community_checks", """
+SELECT count(*) AS n_rows, true AS rows_numbered_by_size, true AS better_than_singletons, 1 AS n_selected FROM embeddings""")
+def community_checks(spark, sf_dir):
+    rows, sizes, edges = micro_graph_of(spark, sf_dir)
+    found = I.materialize(G.graph_communities(edges, sizes, [0.5, 1.0]), "communities")
+    one = found.where("resolution = 1.0").select("node", "community")
+    numbered = G.renumber_by_size(G.micro_to_final(rows.select("vec_id", "micro_id"), one))
+    per = numbered.groupBy("cluster_number").agg(F.count("*").alias("n"))
+    # The window spans one row per community.
+    later = F.lead("n").over(W.orderBy("cluster_number"))
+    order = per.select((F.coalesce(later, F.lit(0)) <= F.col("n")).alias("down"), "n")
+    alone = G.modularity(edges, sizes.select(F.col("id").alias("node"), F.col("id").alias("label")))
+    picked = G.select_resolution(edges, found)
+    return order.agg(F.sum("n").alias("n_rows"), F.bool_and("down").alias("rows_numbered_by_size")).select(
+        "*", (picked.where("resolution = 1.0").select("modularity").scalar() >= alone.scalar()).alias("better_than_singletons"),
+        picked.agg(F.count_if("selected").cast("int")).scalar().alias("n_selected"))
