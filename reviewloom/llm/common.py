@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from reviewloom.session import scratch_folder
 
 #: Bytes of text that one round of array work covers; a longer text is taken by itself.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 WORD = r"[^\x20\x09-\x0D]+"
 
 IS_SPACE = np.zeros(256, bool)

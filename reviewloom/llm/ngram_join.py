@@ -135,7 +135,7 @@ def _read_sets(documents: DataFrame, id_column: str, text_column: str) -> DataFr
 
     def run(batches):
         seen = set()
-        for batch in batches:
+        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, len(b), 1024)):
             rows = len(batch)
             n, digest = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             sketches, sigs = [None] * rows, [None] * rows

@@ -67,22 +67,16 @@ def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def _count_pairs(batches):
-    """Word pairs of a batch with their counts, toxic above ordinary in one number."""
+    """Word pairs with their counts, toxic above ordinary in one number, summed over some rows at a time."""
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
-        before, word, counts = [], [], []
         for t in _words(batch.column(0)):
-            key = _pair(t.before, t.word)
             one = np.repeat(np.where(toxic[t.rows.start:t.rows.stop] == 1, 1 << 32, 1), np.diff(t.first))
-            _, at, to = np.unique(key, return_index=True, return_inverse=True)
+            _, at, to = np.unique(_pair(t.before, t.word), return_index=True, return_inverse=True)
             total = np.zeros(len(at), np.int64)
             np.add.at(total, to, one)
-            before.append(t.before[at])
-            word.append(t.word[at])
-            counts.append(total)
-        if before:
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(c).view(np.int64)) for c in (before, word, counts)], names=["u", "w", "n"])
+                [pa.array(c.view(np.int64)) for c in (t.before[at], t.word[at], total)], names=["u", "w", "n"])
 
 
 def _pair_key():
