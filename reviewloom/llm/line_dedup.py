@@ -1,9 +1,10 @@
 """Line deduplication with a log-template tree.
 
 A line is parsed at fixed depth: by its number of tokens, then by its first three tokens, where a token with a
-digit is a variable field. The lines of a leaf are generalised to one template: a position keeps the token that most of
-the leaf's lines have there, or becomes variable. A line belongs to the template if it agrees with it at enough
-positions. Templates that recur across documents are dropped from all of them.
+digit is a variable field. The lines of a leaf are generalised to templates: a position keeps the token that most of
+a group's lines have there, or becomes variable. A line belongs to the template if it agrees with it at enough of the
+positions that are not variable; the lines that do not are grouped anew, so a leaf holds as many templates as recur in
+it. Each line is a template of its own besides. Templates that recur across documents are dropped from all of them.
 
 Copies of whole documents are no evidence of that: a document most of whose words lie in lines that it shares is a
 copy, for a near-duplicate stage to handle, and is not counted. So lines are dropped only where documents that
@@ -23,7 +24,7 @@ from reviewloom.llm.common import LOWER_ASCII, KeyFilter, constants, keep, mix,
 DEPTH = 3
 #: Documents of their own that make a template recurring.
 MIN_DOCUMENTS = 3
-#: Share of a leaf's lines that a token needs to stay in the template, and share of positions a member agrees at.
+#: Share of a group's lines that a token needs to stay in the template, and share of its tokens that a member agrees with.
 MAJORITY, AGREEMENT = 0.5, 0.7
 #: Share of a template's positions that hold a word.
 CONSTANT = 0.5
@@ -109,6 +110,42 @@ def _candidates(passes: KeyFilter):
     return run
 
 
+def _templates(distinct: DataFrame, min_documents: int) -> DataFrame:
+    """``(leaf, line, group)``: lines of ``distinct`` (leaf, line, documents, tokens) by the template they belong to.
+
+    A leaf holds as many templates as it needs. Each round gives every group its majority template and takes out the lines
+    that agree with it; the others form a group again, or, where none agreed, one group for each token at the position
+    whose most frequent token has the most votes. Groups of one line, or in too few documents, are done.
+    """
+    spark = distinct.sparkSession
+    found = spark.createDataFrame([], "leaf long, line long, group long")
+    groups = distinct.withColumn("group", F.col("leaf"))
+    while True:
+        votes = (groups.select("group", "documents", F.posexplode("tokens").alias("at", "token"))
+                 .groupBy("group", "at", "token").agg(F.sum("documents").alias("votes"), F.count("*").alias("lines")))
+        positions = votes.groupBy("group", "at").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("cast"),
+                                                     F.sum("lines").alias("lines"))
+        split = F.when(F.col("top.votes") < F.col("cast"), F.struct(F.col("top.votes").alias("votes"), (-F.col("at")).alias("at")))
+        shapes = (positions.groupBy("group").agg(
+            F.max("cast").alias("cast"), F.max("lines").alias("lines"), F.max(split).alias("split"),
+            F.sort_array(F.collect_list(F.struct("at", F.when(F.col("top.votes") > MAJORITY * F.col("cast"), F.col("top.token"))
+                                                 .alias("token")))).alias("template"))
+            .where((F.col("cast") >= min_documents) & (F.col("lines") > 1)).drop("cast", "lines"))
+        # A position without majority is a variable field: it neither agrees nor disagrees.
+        fixed = F.size(F.filter("template", lambda x: x["token"].isNotNull()))
+        said = F.size(F.filter("template", lambda x: x["token"] != _SHORT_VARIABLE))
+        agree = F.size(F.filter(F.zip_with("tokens", "template", lambda x, y: x == y["token"]), lambda same: F.coalesce(same, F.lit(False))))
+        judged = keep(groups.join(shapes, "group").withColumn("member", (said >= CONSTANT * F.size("template")) & (
+            agree >= AGREEMENT * fixed)).drop("template"), "lines-judged")
+        if judged.isEmpty():
+            return found
+        found = found.unionByName(judged.where("member").select("leaf", "line", "group"))
+        taken = judged.where("member").select("group").distinct().withColumn("taken", F.lit(True))
+        token = F.get("tokens", -F.col("split.at"))
+        groups = judged.where("NOT member").join(taken, "group", "left").where("taken OR split IS NOT NULL").withColumn(
+            "group", F.when(F.col("taken"), F.xxhash64("group")).otherwise(F.xxhash64("group", "split.at", token))).drop("split", "member", "taken")
+
+
 def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``(row, numbers)``: which lines of which rows are dropped (``row``: hash of id and text)."""
@@ -122,26 +159,19 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
     counted = lines.groupBy("leaf", "line").agg(F.count("*").alias("documents"))
     one = lines.select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"])
     distinct = keep(counted.join(one, ["leaf", "line"]), "lines-distinct")
-    votes = (distinct.select("leaf", "documents", F.posexplode("tokens").alias("at", "token"))
-             .groupBy("leaf", "at", "token").agg(F.sum("documents").alias("votes")))
-    positions = votes.groupBy("leaf", "at").agg(F.max(F.struct("votes", "token")).alias("top"), F.sum("votes").alias("cast"))
-    templates = (positions.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct(
-        "at", F.when(F.col("top.votes") > MAJORITY * F.col("cast"), F.col("top.token")).alias("token")))).alias("template")))
-    # A line of numbers alone is no template.
-    said = F.size(F.filter("template", lambda x: x["token"] != _SHORT_VARIABLE))
-    members = (distinct.join(templates, "leaf").withColumn("agree", F.size(F.filter(
-        F.zip_with("tokens", "template", lambda x, y: x == y["token"]), lambda same: F.coalesce(same, F.lit(False)))))
-        .where((F.col("agree") >= AGREEMENT * F.size("tokens")) & (said >= CONSTANT * F.size("template")))
-        .select("leaf", "line"))
+    # A line by itself and the template it belongs to, if there is one. A line of numbers alone is no template.
+    said = F.size(F.filter("tokens", lambda x: x != _SHORT_VARIABLE))
+    keys = distinct.join(_templates(distinct, min_documents), ["leaf", "line"], "left").select("leaf", "line", F.array_compact(
+        F.array(F.when(said >= CONSTANT * F.size("tokens"), F.col("line")), "group")).alias("keys"))
     found = keep(lines.withColumn("length", F.size("tokens") * F.size("numbers")).drop("tokens")
-                 .join(members, ["leaf", "line"]), "lines-members")
-    shared = found.groupBy("leaf").agg(F.count_distinct("row").alias("documents")).where(F.col("documents") >= min_documents)
-    common = found.join(shared.select("leaf"), "leaf")
-    copies = common.groupBy("row").agg(F.sum("length").alias("covered"), F.max("words").alias("words")).withColumn(
-        "copy", F.col("covered") > COPY * F.col("words"))
-    own = (common.select("leaf", "row").distinct().join(copies.where(~F.col("copy")).select("row"), "row")
-           .groupBy("leaf").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents))
-    return (common.join(own.select("leaf"), "leaf").select("row", F.explode("numbers").alias("number")).distinct()
+                 .join(keys, ["leaf", "line"]).withColumn("key", F.explode("keys")).drop("keys"), "lines-members")
+    shared = found.groupBy("key").agg(F.count_distinct("row").alias("documents")).where(F.col("documents") >= min_documents)
+    common = found.join(shared.select("key"), "key")
+    copies = (common.dropDuplicates(["row", "line"]).groupBy("row").agg(F.sum("length").alias("covered"), F.max("words").alias("words"))
+              .withColumn("copy", F.col("covered") > COPY * F.col("words")))
+    own = (common.select("key", "row").distinct().join(copies.where(~F.col("copy")).select("row"), "row")
+           .groupBy("key").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents))
+    return (common.join(own.select("key"), "key").select("row", F.explode("numbers").alias("number")).distinct()
             .groupBy("row").agg(F.collect_list("number").alias("numbers")))
 
 

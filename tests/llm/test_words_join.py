@@ -154,6 +154,23 @@ def test_recurring_lines_go_and_copies_stay(spark):
     assert line_dedup.drop_lines(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def dropped(spark, rows):
+    return {r.doc_id: r.dropped_lines for r in line_dedup.drop_lines(spark.createDataFrame([(d, t, "", 1) for d, t in rows], SCHEMA)).collect()}
+
+
+def test_a_leaf_holds_several_templates(spark):
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    two = ["one two three " + say(7) for _ in range(2)]
+    rows = [(k, f"{say(40)}\n{two[k % 2]}") for k in range(10)]
+    once = "four five six " + say(6)
+    rows += [(100 + k, f"{say(40)}\nfour five six {say(6)}") for k in range(40)] + [(200 + k, f"{say(40)}\n{once}") for k in range(4)]
+    begin, end = "seven eight nine " + say(2), say(2)
+    rows += [(300 + k, f"{say(40)}\n{begin} {say(3)} {end}") for k in range(5)]
+    got = dropped(spark, rows)
+    assert {d for d, n in got.items() if n} == {*range(10), *range(200, 204), *range(300, 305)}
+
+
 # ---- packing
 
 public = pytest.importorskip("public_tokenizers")
