@@ -6,9 +6,10 @@ a group's lines have there, or becomes variable. A line belongs to the template
 positions that are not variable; the lines that do not are grouped anew, so a leaf holds as many templates as recur in
 it. Each line is a template of its own besides. Templates that recur across documents are dropped from all of them.
 
-Copies of whole documents are no evidence of that: a document most of whose words lie in lines that it shares is a
-copy, for a near-duplicate stage to handle, and is not counted. So lines are dropped only where documents that
-are otherwise their own share them.
+Copies of whole documents are no evidence of that: they are for a near-duplicate stage to handle. Documents whose sets of
+five-word shingles are similar from 0.75 on, the similarity which that stage links at, count as one. The similarity is estimated from one
+permutation's minima in 256 parts of the hash range. So lines are dropped only where unlike documents share them. Texts of fewer
+than five words have no shingles to compare and are not counted; their lines go with those of others.
 """
 
 from __future__ import annotations
@@ -28,9 +29,15 @@ MIN_DOCUMENTS = 3
 MAJORITY, AGREEMENT = 0.5, 0.7
 #: Share of a template's positions that hold a word.
 CONSTANT = 0.5
-#: Share of a document's words in shared lines from which it counts as a copy.
-COPY = 0.6
+#: Words of a shingle, minima of a sketch, and similarity of shingle sets from which documents are copies of each other.
+SHINGLE, MINIMA, COPY = 5, 256, 0.75
+#: Unlike documents beyond the needed ones after which no more of a template are looked for.
+SPARE = 5
+#: Templates known to have enough unlike documents that a task remembers.
+REMEMBERED = 1 << 16
 
+_SHINGLE = constants(SHINGLE, 61)
+_NONE = np.uint16(0xFFFF)
 _LEAD = constants(DEPTH + 1, 53)
 _VARIABLE = constants(1, 59)[0]
 _SHORT_VARIABLE = int((_VARIABLE >> np.uint64(32)).astype(np.uint32).view(np.int32))
@@ -45,7 +52,7 @@ def _before(flags: np.ndarray) -> np.ndarray:
 
 
 def _lines(column):
-    """Lines of at least ``DEPTH`` tokens by runs of rows: rows, words of every row, then by line: row within the run, number,
+    """Lines of at least ``DEPTH`` tokens by runs of rows: rows, then by line: row within the run, number,
     leaf, hash, tokens, and where its tokens are among all tokens."""
     for t in texts(column, LOWER_ASCII):
         word = span_hashes(t.data, t.begins, t.ends)
@@ -68,7 +75,7 @@ def _lines(column):
             line = mix((placed[b] - placed[a]) ^ leaf)
         else:
             line = leaf
-        yield t.rows, np.diff(t.first), row, number, mix(leaf).view(np.int64), line.view(np.int64), word, a, b
+        yield t.rows, row, number, mix(leaf).view(np.int64), line.view(np.int64), word, a, b
 
 
 def _before_wrapping(x: np.ndarray) -> np.ndarray:
@@ -80,7 +87,7 @@ def _before_wrapping(x: np.ndarray) -> np.ndarray:
 def _leaves(batches):
     for batch in batches:
         out = []
-        for rows, _, row, _, leaf, *_ in _lines(batch.column(0)):
+        for _, row, _, leaf, *_ in _lines(batch.column(0)):
             if len(leaf):
                 out.append(np.unique(np.column_stack([row, leaf]), axis=0)[:, 1])
         if out:
@@ -88,11 +95,11 @@ def _leaves(batches):
 
 
 def _candidates(passes: KeyFilter):
-    """Distinct lines of every row in leaves that may recur: ``(row, words, leaf, line, numbers, tokens)``."""
+    """Distinct lines of every row in leaves that may recur: ``(row, leaf, line, numbers, tokens)``."""
     def run(batches):
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for rows, words, row, number, leaf, line, word, a, b in _lines(batch.column(0)):
+            for rows, row, number, leaf, line, word, a, b in _lines(batch.column(0)):
                 hit = np.flatnonzero(passes(leaf.view(np.uint64)))
                 if not len(hit):
                     continue
@@ -101,12 +108,11 @@ def _candidates(passes: KeyFilter):
                 first = order[new]
                 short = (word >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows.start + row[first]]), pa.array(words[row[first]].astype(np.int64)),
-                     pa.array(leaf[first]), pa.array(line[first]),
+                    [pa.array(keys[rows.start + row[first]]), pa.array(leaf[first]), pa.array(line[first]),
                      pa.ListArray.from_arrays(np.append(np.flatnonzero(new), len(order)).astype(np.int32),
                                               number[order].astype(np.int32)),
                      pa.array([short[a[k]:b[k]] for k in first], pa.list_(pa.int32()))],
-                    names=["row", "words", "leaf", "line", "numbers", "tokens"])
+                    names=["row", "leaf", "line", "numbers", "tokens"])
     return run
 
 
@@ -146,6 +152,76 @@ def _templates(distinct: DataFrame, min_documents: int) -> DataFrame:
             "group", F.when(F.col("taken"), F.xxhash64("group")).otherwise(F.xxhash64("group", "split.at", token))).drop("split", "member", "taken")
 
 
+def _sketches(batches):
+    """The least hash of every row's shingles in each of ``MINIMA`` parts; rows without a shingle are left out."""
+    for batch in batches:
+        keys = batch.column(1).to_numpy()
+        for t in texts(batch.column(0), LOWER_ASCII):
+            word = span_hashes(t.data, t.begins, t.ends)
+            many = np.maximum(np.diff(t.first) - SHINGLE + 1, 0)
+            has = np.flatnonzero(many)
+            if not len(has):
+                continue
+            row = np.repeat(np.arange(len(has)), many[has])
+            at = np.arange(len(row)) + np.repeat(t.first[has] - (np.cumsum(many[has]) - many[has]), many[has])
+            total = np.zeros(len(at), np.uint64)
+            for d in range(SHINGLE):
+                total += word[at + d] * _SHINGLE[d]
+            total = mix(total)
+            least = np.full(len(has) * MINIMA, _NONE)
+            np.minimum.at(least, row * MINIMA + (total >> np.uint64(56)).astype(np.int64),
+                          np.minimum(((total >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.uint16), _NONE - np.uint16(1)))
+            data = least.tobytes()
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys[t.rows.start + has]), pa.array([data[k:k + 2 * MINIMA] for k in range(0, len(data), 2 * MINIMA)], pa.binary())],
+                names=["row", "sketch"])
+
+
+def _add_unlike(have: list[bytes], sketch: bytes) -> None:
+    """Put ``sketch`` among ``have`` if none of them is a copy of it."""
+    new = np.frombuffer(sketch, np.uint16)
+    if have:
+        old = np.frombuffer(b"".join(have), np.uint16).reshape(-1, MINIMA)
+        same, held = (old == new) & (new != _NONE), (old != _NONE) | (new != _NONE)
+        if (same.sum(1) >= COPY * held.sum(1)).any():
+            return
+    have.append(sketch)
+
+
+def _unlike(enough: int):
+    """Of the documents (row, key, sketch) of every template up to ``enough`` that are no copies of each other, by batch."""
+    def run(batches):
+        done: set[int] = set()
+        for batch in batches:
+            found: dict[int, list[bytes]] = {}
+            key, sketch = batch.column("key").to_pylist(), batch.column("sketch")
+            for k, own in enumerate(key):
+                if own not in done:
+                    have = found.setdefault(own, [])
+                    if len(have) < enough:
+                        _add_unlike(have, sketch[k].as_py())
+            out = [(own, x) for own, have in found.items() for x in have]
+            if len(done) < REMEMBERED:
+                done.update(own for own, have in found.items() if len(have) >= enough)
+            yield pa.RecordBatch.from_arrays([pa.array([own for own, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())],
+                                             names=["key", "sketch"])
+    return run
+
+
+def _documents_of_their_own(enough: int):
+    def run(batches):
+        for batch in batches:
+            many = []
+            for sketches in batch.column("sketches"):
+                have: list[bytes] = []
+                for x in sorted(sketches.as_py()):
+                    if len(have) < enough:
+                        _add_unlike(have, x)
+                many.append(len(have))
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(many, pa.int32())], names=["key", "documents"])
+    return run
+
+
 def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text",
                     min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``(row, numbers)``: which lines of which rows are dropped (``row``: hash of id and text)."""
@@ -153,7 +229,7 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
     leaves = keep(rows.select("text").mapInArrow(_leaves, "leaf long").groupBy("leaf").agg(F.count("*").alias("documents"))
                   .where(F.col("documents") >= min_documents), "lines-leaves")
     lines = keep(rows.mapInArrow(_candidates(KeyFilter.of(leaves, "leaf")),
-                                 "row long, words long, leaf long, line long, numbers array<int>, tokens array<int>")
+                                 "row long, leaf long, line long, numbers array<int>, tokens array<int>")
                  .join(leaves.select("leaf"), "leaf"), "lines-candidates")
     # One row a distinct line, with the number of documents that have it.
     counted = lines.groupBy("leaf", "line").agg(F.count("*").alias("documents"))
@@ -163,14 +239,14 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
     said = F.size(F.filter("tokens", lambda x: x != _SHORT_VARIABLE))
     keys = distinct.join(_templates(distinct, min_documents), ["leaf", "line"], "left").select("leaf", "line", F.array_compact(
         F.array(F.when(said >= CONSTANT * F.size("tokens"), F.col("line")), "group")).alias("keys"))
-    found = keep(lines.withColumn("length", F.size("tokens") * F.size("numbers")).drop("tokens")
-                 .join(keys, ["leaf", "line"]).withColumn("key", F.explode("keys")).drop("keys"), "lines-members")
+    found = keep(lines.drop("tokens").join(keys, ["leaf", "line"]).withColumn("key", F.explode("keys")).drop("keys"), "lines-members")
     shared = found.groupBy("key").agg(F.count_distinct("row").alias("documents")).where(F.col("documents") >= min_documents)
     common = found.join(shared.select("key"), "key")
-    copies = (common.dropDuplicates(["row", "line"]).groupBy("row").agg(F.sum("length").alias("covered"), F.max("words").alias("words"))
-              .withColumn("copy", F.col("covered") > COPY * F.col("words")))
-    own = (common.select("key", "row").distinct().join(copies.where(~F.col("copy")).select("row"), "row")
-           .groupBy("key").agg(F.count("*").alias("documents")).where(F.col("documents") >= min_documents))
+    sketches = rows.mapInArrow(_sketches, "row long, sketch binary").dropDuplicates(["row"])
+    enough = min_documents + SPARE
+    own = (common.select("key", "row").distinct().join(sketches, "row").mapInArrow(_unlike(enough), "key long, sketch binary")
+           .groupBy("key").agg(F.collect_list("sketch").alias("sketches"))
+           .mapInArrow(_documents_of_their_own(enough), "key long, documents int").where(F.col("documents") >= min_documents))
     return (common.join(own.select("key"), "key").select("row", F.explode("numbers").alias("number")).distinct()
             .groupBy("row").agg(F.collect_list("number").alias("numbers")))
 

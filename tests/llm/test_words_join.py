@@ -171,6 +171,19 @@ def test_a_leaf_holds_several_templates(spark):
     assert {d for d, n in got.items() if n} == {*range(10), *range(200, 204), *range(300, 305)}
 
 
+def test_only_copies_of_each_other_count_as_one_document(spark):
+    rng = random.Random(5)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    passage, several, twice = say(60), [say(8) for _ in range(5)], say(40)
+    rows = [(k, f"{say(20)}\n{passage}") for k in range(4)]
+    rows += [(100 + k, "\n".join([*rng.sample(several, 4), say(12)])) for k in range(12)]
+    # Two documents of their own and near copies of one of them.
+    own = [say(60) for _ in range(8)]
+    rows += [(200 + k, "\n".join([*own, f"{say(3)}", twice])) for k in range(6)] + [(300, f"{say(80)}\n{twice}")]
+    got = dropped(spark, rows)
+    assert {d: n for d, n in got.items() if n} == {**{k: 1 for k in range(4)}, **{100 + k: 4 for k in range(12)}}
+
+
 # ---- packing
 
 public = pytest.importorskip("public_tokenizers")
