@@ -25,6 +25,8 @@ from reviewloom.llm.common import LOWER_ASCII, KeyFilter, constants, keep, mix,
 DEPTH = 3
 #: Documents of their own that make a template recurring.
 MIN_DOCUMENTS = 3
+#: Tokens of a line from which two documents of their own are enough, if the line is the same in both.
+LONG, LONG_DOCUMENTS = 50, 2
 #: Share of a group's lines that a token needs to stay in the template, and share of its tokens that a member agrees with.
 MAJORITY, AGREEMENT = 0.5, 0.7
 #: Share of a template's positions that hold a word.
@@ -40,6 +42,7 @@ _SHINGLE = constants(SHINGLE, 61)
 _NONE = np.uint16(0xFFFF)
 _LEAD = constants(DEPTH + 1, 53)
 _VARIABLE = constants(1, 59)[0]
+_SAME = constants(1, 67)[0]
 _SHORT_VARIABLE = int((_VARIABLE >> np.uint64(32)).astype(np.uint32).view(np.int32))
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[10] = True
@@ -53,9 +56,10 @@ def _before(flags: np.ndarray) -> np.ndarray:
 
 def _lines(column):
     """Lines of at least ``DEPTH`` tokens by runs of rows: rows, then by line: row within the run, number,
-    leaf, hash, tokens, and where its tokens are among all tokens."""
+    leaf, hash with digits variable, hash as it is, tokens, and where its tokens are among all tokens."""
     for t in texts(column, LOWER_ASCII):
-        word = span_hashes(t.data, t.begins, t.ends)
+        exact = span_hashes(t.data, t.begins, t.ends)
+        word = exact.copy()
         digits = _before(_IS_DIGIT[t.data])
         word[digits[t.ends] > digits[t.begins]] = _VARIABLE
         begin, end = spans(t.data, _IS_BREAK[t.data], t.bounds)
@@ -71,11 +75,11 @@ def _lines(column):
         if len(a):
             # Each word by its place from the beginning of its line; words of lines that are too short do not count.
             at = np.arange(len(word)) - a[np.maximum(np.searchsorted(a, np.arange(len(word)), "right") - 1, 0)]
-            placed = _before_wrapping(mix(word + at.astype(np.uint64) * _LEAD[0]))
-            line = mix((placed[b] - placed[a]) ^ leaf)
+            line, same = (mix((placed[b] - placed[a]) ^ leaf) for placed in (
+                _before_wrapping(mix(x + at.astype(np.uint64) * _LEAD[0])) for x in (word, exact)))
         else:
-            line = leaf
-        yield t.rows, row, number, mix(leaf).view(np.int64), line.view(np.int64), word, a, b
+            line = same = leaf
+        yield t.rows, row, number, mix(leaf).view(np.int64), line.view(np.int64), mix(same ^ _SAME).view(np.int64), word, a, b
 
 
 def _before_wrapping(x: np.ndarray) -> np.ndarray:
@@ -87,32 +91,33 @@ def _before_wrapping(x: np.ndarray) -> np.ndarray:
 def _leaves(batches):
     for batch in batches:
         out = []
-        for _, row, _, leaf, *_ in _lines(batch.column(0)):
+        for _, row, _, leaf, _, _, _, a, b in _lines(batch.column(0)):
             if len(leaf):
-                out.append(np.unique(np.column_stack([row, leaf]), axis=0)[:, 1])
+                out.append(np.unique(np.column_stack([row, leaf, b - a]), axis=0)[:, 1:])
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(out))], names=["leaf"])
+            out = np.concatenate(out)
+            yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["leaf", "tokens"])
 
 
 def _candidates(passes: KeyFilter):
-    """Distinct lines of every row in leaves that may recur: ``(row, leaf, line, numbers, tokens)``."""
+    """Distinct lines of every row in leaves that may recur: ``(row, leaf, line, same, numbers, tokens)``."""
     def run(batches):
         for batch in batches:
             keys = batch.column(1).to_numpy()
-            for rows, row, number, leaf, line, word, a, b in _lines(batch.column(0)):
+            for rows, row, number, leaf, line, same, word, a, b in _lines(batch.column(0)):
                 hit = np.flatnonzero(passes(leaf.view(np.uint64)))
                 if not len(hit):
                     continue
-                order = hit[np.lexsort((number[hit], line[hit], row[hit]))]
-                new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (line[order][1:] != line[order][:-1])])
+                order = hit[np.lexsort((number[hit], same[hit], row[hit]))]
+                new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (same[order][1:] != same[order][:-1])])
                 first = order[new]
                 short = (word >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys[rows.start + row[first]]), pa.array(leaf[first]), pa.array(line[first]),
+                    [pa.array(keys[rows.start + row[first]]), pa.array(leaf[first]), pa.array(line[first]), pa.array(same[first]),
                      pa.ListArray.from_arrays(np.append(np.flatnonzero(new), len(order)).astype(np.int32),
                                               number[order].astype(np.int32)),
                      pa.array([short[a[k]:b[k]] for k in first], pa.list_(pa.int32()))],
-                    names=["row", "leaf", "line", "numbers", "tokens"])
+                    names=["row", "leaf", "line", "same", "numbers", "tokens"])
     return run
 
 
@@ -226,27 +231,33 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
                     min_documents: int = MIN_DOCUMENTS) -> DataFrame:
     """``(row, numbers)``: which lines of which rows are dropped (``row``: hash of id and text)."""
     rows = documents.select(F.col(text_column).alias("text"), F.xxhash64(id_column, text_column).alias("row"))
-    leaves = keep(rows.select("text").mapInArrow(_leaves, "leaf long").groupBy("leaf").agg(F.count("*").alias("documents"))
-                  .where(F.col("documents") >= min_documents), "lines-leaves")
+    fewest = min(LONG_DOCUMENTS, min_documents)
+    leaves = keep(rows.select("text").mapInArrow(_leaves, "leaf long, tokens long").groupBy("leaf", "tokens").agg(F.count("*").alias("documents"))
+                  .where(F.col("documents") >= F.when(F.col("tokens") >= LONG, fewest).otherwise(min_documents)), "lines-leaves")
     lines = keep(rows.mapInArrow(_candidates(KeyFilter.of(leaves, "leaf")),
-                                 "row long, leaf long, line long, numbers array<int>, tokens array<int>")
+                                 "row long, leaf long, line long, same long, numbers array<int>, tokens array<int>")
                  .join(leaves.select("leaf"), "leaf"), "lines-candidates")
     # One row a distinct line, with the number of documents that have it.
-    counted = lines.groupBy("leaf", "line").agg(F.count("*").alias("documents"))
+    counted = lines.select("row", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("documents"))
     one = lines.select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"])
     distinct = keep(counted.join(one, ["leaf", "line"]), "lines-distinct")
     # A line by itself and the template it belongs to, if there is one. A line of numbers alone is no template.
     said = F.size(F.filter("tokens", lambda x: x != _SHORT_VARIABLE))
     keys = distinct.join(_templates(distinct, min_documents), ["leaf", "line"], "left").select("leaf", "line", F.array_compact(
         F.array(F.when(said >= CONSTANT * F.size("tokens"), F.col("line")), "group")).alias("keys"))
-    found = keep(lines.drop("tokens").join(keys, ["leaf", "line"]).withColumn("key", F.explode("keys")).drop("keys"), "lines-members")
-    shared = found.groupBy("key").agg(F.count_distinct("row").alias("documents")).where(F.col("documents") >= min_documents)
+    # Each line with what it needs to be in: itself, with digits variable, and its template. Two long lines of two documents are compared as they are.
+    long = F.size("tokens") >= LONG
+    itself = lines.select("row", "numbers", F.col("same").alias("key"), F.lit(fewest).alias("needed")).where(long)
+    found = keep(lines.drop("tokens", "same").join(keys, ["leaf", "line"]).select(
+        "row", "numbers", F.explode("keys").alias("key"), F.lit(min_documents).alias("needed")).unionByName(itself), "lines-members")
+    shared = found.groupBy("key", "needed").agg(F.count_distinct("row").alias("documents")).where("documents >= needed")
     common = found.join(shared.select("key"), "key")
     sketches = rows.mapInArrow(_sketches, "row long, sketch binary").dropDuplicates(["row"])
     enough = min_documents + SPARE
     own = (common.select("key", "row").distinct().join(sketches, "row").mapInArrow(_unlike(enough), "key long, sketch binary")
            .groupBy("key").agg(F.collect_list("sketch").alias("sketches"))
-           .mapInArrow(_documents_of_their_own(enough), "key long, documents int").where(F.col("documents") >= min_documents))
+           .mapInArrow(_documents_of_their_own(enough), "key long, documents int")
+           .join(shared.select("key", "needed"), "key").where("documents >= needed"))
     return (common.join(own.select("key"), "key").select("row", F.explode("numbers").alias("number")).distinct()
             .groupBy("row").agg(F.collect_list("number").alias("numbers")))
 

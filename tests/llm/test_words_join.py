@@ -184,6 +184,16 @@ def test_only_copies_of_each_other_count_as_one_document(spark):
     assert {d: n for d, n in got.items() if n} == {**{k: 1 for k in range(4)}, **{100 + k: 4 for k in range(12)}}
 
 
+def test_two_documents_are_enough_for_a_long_line(spark):
+    rng = random.Random(6)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    long, short, whole = say(50), say(49), say(90)
+    rows = [(k, f"{say(60)}\n{long}\n{say(30)}") for k in range(2)] + [(10 + k, f"{say(60)}\n{short}") for k in range(2)]
+    rows += [(20 + k, f"{whole}\n{say(3)}") for k in range(2)]
+    rows += [(30 + k, f"{say(60)}\n{say(3)} {k} {say(56)}") for k in range(2)]
+    assert {d: n for d, n in dropped(spark, rows).items() if n} == {0: 1, 1: 1}
+
+
 # ---- packing
 
 public = pytest.importorskip("public_tokenizers")
