@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import LOWER_ASCII, KeyFilter, constants, keep, mix, span_hashes, spans, texts
 
-#: Leading tokens in the tree, and the fewest tokens of a line that is looked at.
+#: Leading tokens in the tree; a shorter line has end marks for those it lacks.
 DEPTH = 3
 #: Documents of their own that make a template recurring.
 MIN_DOCUMENTS = 3
@@ -29,7 +29,7 @@ MIN_DOCUMENTS = 3
 LONG, LONG_DOCUMENTS = 50, 2
 #: Share of a group's lines that a token needs to stay in the template, and share of its tokens that a member agrees with.
 MAJORITY, AGREEMENT = 0.5, 0.7
-#: Share of a template's positions that hold a word.
+#: Share of a template's positions that hold a word; a line that is the same in all documents needs none.
 CONSTANT = 0.5
 #: Words of a shingle, minima of a sketch, and similarity of shingle sets from which documents are copies of each other.
 SHINGLE, MINIMA, COPY = 5, 256, 0.75
@@ -43,6 +43,7 @@ _NONE = np.uint16(0xFFFF)
 _LEAD = constants(DEPTH + 1, 53)
 _VARIABLE = constants(1, 59)[0]
 _SAME = constants(1, 67)[0]
+_END = constants(1, 71)[0]
 _SHORT_VARIABLE = int((_VARIABLE >> np.uint64(32)).astype(np.uint32).view(np.int32))
 _IS_BREAK = np.zeros(256, bool)
 _IS_BREAK[10] = True
@@ -55,7 +56,7 @@ def _before(flags: np.ndarray) -> np.ndarray:
 
 
 def _lines(column):
-    """Lines of at least ``DEPTH`` tokens by runs of rows: rows, then by line: row within the run, number,
+    """Lines that have a token by runs of rows: rows, then by line: row within the run, number,
     leaf, hash with digits variable, hash as it is, tokens, and where its tokens are among all tokens."""
     for t in texts(column, LOWER_ASCII):
         exact = span_hashes(t.data, t.begins, t.ends)
@@ -64,16 +65,18 @@ def _lines(column):
         word[digits[t.ends] > digits[t.begins]] = _VARIABLE
         begin, end = spans(t.data, _IS_BREAK[t.data], t.bounds)
         a, b = np.searchsorted(t.begins, begin), np.searchsorted(t.begins, end)
-        use = b - a >= DEPTH
+        use = b > a
         begin, a, b = begin[use], a[use], b[use]
         row = np.searchsorted(t.bounds, begin, "right") - 1
         breaks = _before(_IS_BREAK[t.data])
         number = breaks[begin] - breaks[t.bounds[row]]
         leaf = (b - a).astype(np.uint64) * _LEAD[DEPTH]
         for d in range(DEPTH):
-            leaf += word[a + d] * _LEAD[d]
+            has = b - a > d
+            leaf[has] += word[a[has] + d] * _LEAD[d]
+            leaf[~has] += _END * _LEAD[d]
         if len(a):
-            # Each word by its place from the beginning of its line; words of lines that are too short do not count.
+            # Each word by its place from the beginning of its line; words outside lines do not count.
             at = np.arange(len(word)) - a[np.maximum(np.searchsorted(a, np.arange(len(word)), "right") - 1, 0)]
             line, same = (mix((placed[b] - placed[a]) ^ leaf) for placed in (
                 _before_wrapping(mix(x + at.astype(np.uint64) * _LEAD[0])) for x in (word, exact)))
@@ -241,13 +244,15 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
     counted = lines.select("row", "leaf", "line").distinct().groupBy("leaf", "line").agg(F.count("*").alias("documents"))
     one = lines.select("leaf", "line", "tokens").dropDuplicates(["leaf", "line"])
     distinct = keep(counted.join(one, ["leaf", "line"]), "lines-distinct")
-    # A line by itself and the template it belongs to, if there is one. A line of numbers alone is no template.
+    # A line by itself and the template it belongs to, if there is one. Numbers alone are no template.
     said = F.size(F.filter("tokens", lambda x: x != _SHORT_VARIABLE))
     keys = distinct.join(_templates(distinct, min_documents), ["leaf", "line"], "left").select("leaf", "line", F.array_compact(
         F.array(F.when(said >= CONSTANT * F.size("tokens"), F.col("line")), "group")).alias("keys"))
-    # Each line with what it needs to be in: itself, with digits variable, and its template. Two long lines of two documents are compared as they are.
+    # Each line under its keys, with the documents that these must be in: as it is, with digits variable, its template.
+    # As it is matters only for long lines and those of numbers; for others it is within the line with digits variable.
     long = F.size("tokens") >= LONG
-    itself = lines.select("row", "numbers", F.col("same").alias("key"), F.lit(fewest).alias("needed")).where(long)
+    itself = lines.where(long | (said < CONSTANT * F.size("tokens"))).select(
+        "row", "numbers", F.col("same").alias("key"), F.when(long, fewest).otherwise(min_documents).alias("needed"))
     found = keep(lines.drop("tokens", "same").join(keys, ["leaf", "line"]).select(
         "row", "numbers", F.explode("keys").alias("key"), F.lit(min_documents).alias("needed")).unionByName(itself), "lines-members")
     shared = found.groupBy("key", "needed").agg(F.count_distinct("row").alias("documents")).where("documents >= needed")
@@ -266,7 +271,7 @@ def drop_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str
                min_documents: int = MIN_DOCUMENTS, dropped: str = "dropped_lines") -> DataFrame:
     """``documents`` with the recurring lines gone from their texts, and the number of lines dropped.
 
-    Lines are parted by line breaks alone. Lines of fewer than three tokens stay. Null texts stay null, empty ones
+    Lines are parted by line breaks alone. Lines without a token stay. Null texts stay null, empty ones
     empty; a text all of whose lines are dropped becomes empty, its row stays. Repeated rows are treated alike;
     other columns are kept, but one named like ``dropped`` is replaced; an empty table gives no rows.
     """

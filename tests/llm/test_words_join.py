@@ -194,6 +194,14 @@ def test_two_documents_are_enough_for_a_long_line(spark):
     assert {d: n for d, n in dropped(spark, rows).items() if n} == {0: 1, 1: 1}
 
 
+def test_short_lines_and_lines_of_numbers_go(spark):
+    rng = random.Random(7)
+    say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
+    rows = [(k, f"Share\n{say(30)}\n\nRead more\n2024-05-01 12:30 $9.99\n{k} {k + 1} 7") for k in range(4)]
+    rows += [(10 + k, f"{say(30)}\nOnly {'ab'[k]}") for k in range(2)]
+    assert {d: n for d, n in dropped(spark, rows).items() if n} == {k: 3 for k in range(4)}
+
+
 # ---- packing
 
 public = pytest.importorskip("public_tokenizers")
