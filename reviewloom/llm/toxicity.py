@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import LOWER_ASCII, NOT_LETTER, KeyFilter, constants, cross_fold, keep, mix, sample, span_hashes, texts
+from reviewloom.llm.common import LOWER_ASCII, NOT_LETTER, KeyFilter, constants, cross_fold, keep, mix, span_hashes, texts
 
 DISCOUNT = 0.75
 CUT = 5
@@ -36,7 +36,7 @@ HEAD = 1 << 20
 SENT_LABELS = 500_000
 #: About how many rows at most the logistic function is fitted on, chosen by hash.
 FITTED = 20_000
-#: One training text in so many is left out of the counts and used for the fit.
+#: At most one training text in so many is left out of the counts and used for the fit.
 LEFT_OUT = 5
 
 _PAIR = constants(2, 41)
@@ -258,8 +258,12 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_column: str = "d
         given = F.broadcast(given)
     training = (rows.where(~F.col("held_out") & F.col("id").isNotNull()).where(labelled(F.xxhash64("id")))
                 .join(given, "id").withColumn("part", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(LEFT_OUT))))
-    weights, rest = count_expressions(training.where("part <> 0").select("text", (F.col("label") == 1).cast("int").alias("toxic")))
-    left_out = sample(training.where("part = 0"), FITTED, "row")
+    # Equal texts are on one side; what the fit does not use is counted.
+    many = training.where("part = 0").count()
+    bound = (1 << 40) if many <= FITTED else int((1 << 40) * FITTED / many)
+    fits = (F.col("part") == 0) & (F.pmod(F.xxhash64("text", F.lit(29)), F.lit(1 << 40)) < bound)
+    weights, rest = count_expressions(training.where(~fits).select("text", (F.col("label") == 1).cast("int").alias("toxic")))
+    left_out = training.where(fits)
     fitted = _ratios(left_out.select("id", "row", "held_out", "label", "text"), weights, rest, head).select(
         *_features(), (F.col("label") == 1).cast("int").alias("y")).toPandas()
     names = ["top_ratio", "mean_ratio", "length"]

@@ -82,6 +82,15 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.toxicity_scores(docs(spark, []), labels).count() == 0
 
 
+def test_labels_that_the_fit_does_not_use_are_counted(spark, monkeypatch):
+    rows, labels = labelled(spark)
+    counted, count = [], toxicity.count_expressions
+    monkeypatch.setattr(toxicity, "FITTED", 5)
+    monkeypatch.setattr(toxicity, "count_expressions", lambda training: (counted.append(training.count()), count(training))[1])
+    got = toxicity.toxicity_scores(docs(spark, rows), labels).toPandas()
+    assert counted[0] > 0.93 * (~got.held_out).sum()
+
+
 # ---- neighbours
 
 def test_graph_search_finds_neighbours(spark):
