@@ -13,13 +13,16 @@ import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from reviewloom import constants as K
 from reviewloom.functions import vectors as V
 from reviewloom.operators import graph as G
+from reviewloom.operators import hierarchy as H
+from reviewloom.operators import minibatch as MB
 from reviewloom.operators import neighbors as NB
+from reviewloom.operators.joins import null_safe_join
+from reviewloom.operators.ranks import running
 from reviewloom.session import materialize
 
 
@@ -82,11 +85,15 @@ def core_edges(blocks: DataFrame, eps: float, id_type: str, key_type: str) -> Da
 
 
 def _numbered(roots: DataFrame) -> DataFrame:
-    """Cluster numbers per group in the order of the smallest member; one row per cluster."""
+    """Cluster numbers per group in the order of the smallest member; no task sees all clusters of a group."""
     clusters = roots.select("group_key", "root").distinct()
-    order = W.partitionBy("group_key").orderBy("root")
-    return roots.join(
-        clusters.withColumn("label", (F.row_number().over(order) - 1).cast("int")), ["group_key", "root"])
+    return null_safe_join(roots, _in_order(clusters, "root", "label"), ["group_key", "root"])
+
+
+def _in_order(clusters: DataFrame, by: str, name: str) -> DataFrame:
+    """Numbers from 0 per group in the order of ``by``."""
+    counted = running(clusters.withColumn("_one", F.lit(1)), ["group_key"], [F.col(by).asc()], {name: ("_one", "sum")})
+    return counted.withColumn(name, (F.col(name) - 1).cast("int")).drop("_one")
 
 
 def _roots(core: DataFrame, edges: DataFrame) -> DataFrame:
@@ -102,19 +109,18 @@ def cluster_dbscan(points: DataFrame, eps: float = 0.45, min_samples: int = 5,
 
     A core point has ``min_samples`` points within ``eps``, itself included; clusters are the
     components of core points within ``eps`` of each other, numbered by their first core row; a
-    border point takes the lowest-numbered adjacent cluster. A group of one row is noise. ``id``
-    must be unique over all groups.
+    border point takes the lowest-numbered adjacent cluster. A group of one row is noise, and so is a row
+    without a vector; a null ``group_key`` is a group. ``id`` must be unique over all groups.
     """
     id_type = points.schema["id"].dataType.simpleString()
     key_type = points.schema["group_key"].dataType.simpleString()
-    unique = materialize(unique_vectors(points.select("group_key", "id", "vector")), "dbscan-unique")
+    unique = materialize(unique_vectors(points.where(F.col("vector").isNotNull()).select("group_key", "id", "vector")), "dbscan-unique")
     group_rows = points.groupBy("group_key").agg(F.count("*").alias("_rows"))
     blocks = NB.blocked(unique, eps, block_rows=block_rows)
     needed = F.greatest(F.lit(1), F.least(F.lit(min_samples), F.col("_rows")))
     counts = neighbour_counts(blocks, eps, id_type, key_type)
-    # One row per group.
     flagged = materialize(
-        unique.join(counts, ["group_key", "id"]).join(F.broadcast(group_rows), "group_key")
+        null_safe_join(null_safe_join(unique, counts, ["group_key", "id"]), group_rows, ["group_key"])
         .withColumn("is_core", (F.col("n") >= needed) & (F.col("_rows") > 1)), "dbscan-core")
     core = flagged.where("is_core")
     edges = materialize(core_edges(
@@ -137,17 +143,17 @@ def cluster_dbscan(points: DataFrame, eps: float = 0.45, min_samples: int = 5,
         out = out.groupby("id", as_index=False)["label"].min()
         return NB._frame(group_key=[key] * len(out), id=out["id"].to_numpy(), label=out["label"].to_numpy())
 
-    known = flagged.select("group_key", "id", "vector").join(labels, ["group_key", "id"], "left").withColumn(
+    known = null_safe_join(flagged.select("group_key", "id", "vector"), labels, ["group_key", "id"], "left").withColumn(
         "label", F.coalesce("label", F.lit(-1)))
     edge_labels = NB.block_map(NB.blocked(known, eps, block_rows=block_rows), border,
                                f"group_key {key_type}, id {id_type}, label int")
     border_labels = edge_labels.groupBy("group_key", "id").agg(F.min("label").alias("_border"))
-    settled = (flagged.select("group_key", "id", "vector", "is_core")
-               .join(labels, ["group_key", "id"], "left")
-               .join(border_labels, ["group_key", "id"], "left")
-               .select("group_key", "vector", "is_core",
-                       F.coalesce("label", "_border", F.lit(-1)).cast("int").alias("label")))
-    return points.join(settled, ["group_key", "vector"]).select("group_key", "id", "label", "is_core")
+    settled = flagged.select("group_key", "id", "vector", "is_core")
+    for found in (labels, border_labels):
+        settled = null_safe_join(settled, found, ["group_key", "id"], "left")
+    settled = settled.select("group_key", "vector", "is_core", F.coalesce("label", "_border", F.lit(-1)).cast("int").alias("label"))
+    return null_safe_join(points, settled, ["group_key", "vector"], "left").select(
+        "group_key", "id", F.coalesce("label", F.lit(-1)).alias("label"), F.coalesce("is_core", F.lit(False)).alias("is_core"))
 
 
 def cluster_density(points: DataFrame, min_cluster_size: int = 15, min_samples: int = 5,
@@ -163,13 +169,11 @@ def cluster_density(points: DataFrame, min_cluster_size: int = 15, min_samples:
     core_only = labelled.withColumn("label", F.when(F.col("is_core"), F.col("label")).otherwise(-1))
     sizes = core_only.where("label >= 0").groupBy("group_key", "label").agg(
         F.count("*").alias("_n"), F.min("id").alias("_first"))
-    group_rows = F.broadcast(points.groupBy("group_key").agg(F.count("*").alias("_rows")))
+    group_rows = points.groupBy("group_key").agg(F.count("*").alias("_rows"))
     floor = F.greatest(F.lit(2), F.least(F.lit(min_cluster_size), F.col("_rows")))
-    # One row per cluster.
-    order = W.partitionBy("group_key").orderBy("_first")
-    kept = (sizes.join(group_rows, "group_key").where(F.col("_n") >= floor)
-            .select("group_key", "label", (F.row_number().over(order) - 1).cast("int").alias("_new")))
-    return core_only.join(kept, ["group_key", "label"], "left").select(
+    kept = null_safe_join(sizes, group_rows, ["group_key"]).where(F.col("_n") >= floor).select("group_key", "label", "_first")
+    kept = _in_order(kept, "_first", "_new").drop("_first")
+    return null_safe_join(core_only, kept, ["group_key", "label"], "left").select(
         "group_key", "id", F.coalesce("_new", F.lit(-1)).alias("label"))
 
 
@@ -212,13 +216,18 @@ def cluster_kmeans(points: DataFrame, min_cluster_size: int = 15, seed: int = 42
 
 
 def micro_clusters(points: DataFrame, cap: int = 384, seed: int = 42,
-                   weight: str = "review_count") -> DataFrame:
-    """Many small clusters of unique reviews, weighted by how often each occurs; adds ``micro_id``."""
-    n = points.count()
+                   weight: str = "review_count", **batches: int) -> DataFrame:
+    """Many small clusters of unique reviews, weighted by how often each occurs; adds ``micro_id``.
+
+    Mini-batch k-means (:func:`~reviewloom.operators.minibatch.minibatch_centres`, which takes ``batches``) finds the centres; every row
+    then goes to its nearest one. Rows without a vector get no number.
+    """
+    n = points.where(F.col("vector").isNotNull()).count()
     k = min(n, micro_count(n, cap))
     if k < 2:
-        return points.withColumn("micro_id", F.lit(0))
-    return _kmeans(points, k, seed, weight, "micro_id")
+        return points.withColumn("micro_id", F.when(F.col("vector").isNotNull(), F.lit(0)))
+    centres = MB.minibatch_centres(points, k, weight, seed, **batches)
+    return points.withColumn("micro_id", _nearest_label(np.arange(len(centres)), centres)("vector"))
 
 
 def assign_nearest(points: DataFrame, centroids: DataFrame, slice_rows: int = 1024) -> DataFrame:
@@ -231,11 +240,16 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, slice_rows: int = 10
     rows = centroids.select("label", "centroid").orderBy("label").collect()
     labels = np.array([r["label"] for r in rows])
     matrix = np.array([r["centroid"] for r in rows], dtype=float)
+    return points.select("group_key", "id", _nearest_label(labels, matrix, slice_rows)("vector").alias("label"))
+
+
+def _nearest_label(labels: np.ndarray, matrix: np.ndarray, slice_rows: int = 1024):
     own = (matrix ** 2).sum(axis=1)
 
     @F.pandas_udf("int")
     def nearest(batch: pd.Series) -> pd.Series:
-        whole = NB._matrix(batch)
+        known = np.flatnonzero(batch.notna().to_numpy())
+        whole = NB._matrix(batch.iloc[known])
         out = np.zeros(len(whole), dtype="int32")
         for low in range(0, len(whole), slice_rows):
             x = whole[low:low + slice_rows]
@@ -248,9 +262,11 @@ def assign_nearest(points: DataFrame, centroids: DataFrame, slice_rows: int = 10
                 some = np.flatnonzero(near[i])
                 best[i] = some[np.round(((x[i] - matrix[some]) ** 2).sum(axis=1), 9).argmin()]
             out[low:low + slice_rows] = labels[best]
-        return pd.Series(out)
+        if len(known) == len(batch):
+            return pd.Series(out)
+        return pd.Series(out, index=known, dtype="Int32").reindex(range(len(batch)))
 
-    return points.select("group_key", "id", nearest("vector").alias("label"))
+    return nearest
 
 
 CLUSTER_COLUMNS = ["cluster_id", "is_cluster_noise", "cluster_size", "cluster_x", "cluster_y",
@@ -274,7 +290,7 @@ def add_cluster_columns(frame: DataFrame, labels: DataFrame, reduced: DataFrame,
     """
     few = "none_too_few_rows"
     rows = labels.groupBy("group_key").agg(F.count("*").alias("_rows"))
-    sized = (labels.join(cluster_sizes(labels), ["group_key", "label"]).join(rows, "group_key"))
+    sized = null_safe_join(null_safe_join(labels, cluster_sizes(labels), ["group_key", "label"]), rows, ["group_key"])
     used = F.col("reducer_used") if "reducer_used" in reduced.columns else F.lit(None).cast("string")
     spots = reduced.select("id", F.get("vector", F.lit(0)).alias("_x"), F.get("vector", F.lit(1)).alias("_y"),
                            used.alias("_used"))
@@ -319,6 +335,8 @@ def cluster_rows(frame: DataFrame, vectors: DataFrame, algorithm: str = "density
         labels = cluster_dbscan(reduced, eps, min_samples).drop("is_core")
     elif algorithm == "density":
         labels = cluster_density(reduced, min_cluster_size, min_samples, eps)
+    elif algorithm == "hierarchy":
+        labels = H.cluster_hierarchy(reduced.select("group_key", "id", "vector"), min_cluster_size, min_samples)
     else:
         raise ValueError(f"unknown clustering algorithm {algorithm}")
     without = every.where(F.col("vector").isNull()).select("group_key", "id", F.lit(-1).alias("label"))

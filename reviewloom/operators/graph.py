@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from reviewloom import constants as K
 from reviewloom.operators import neighbors as NB
+from reviewloom.operators.ranks import numbered
 from reviewloom.session import discard, materialize
 
 
@@ -210,11 +211,10 @@ def micro_to_final(micro: DataFrame, communities: DataFrame) -> DataFrame:
 
 
 def renumber_by_size(df: DataFrame, column: str = "cluster_number") -> DataFrame:
-    """Cluster numbers 0.. by descending size, then by old number.
+    """Cluster numbers 0.. by descending size, then by old number; rows without a number keep none.
 
-    The ranking runs over one row per cluster; the rows only join the small result.
+    The ranking runs over one row per cluster, dealt to range partitions; the rows only join its result.
     """
-    sizes = df.groupBy(column).agg(F.count("*").alias("_n"))
-    ranked = sizes.select(
-        column, (F.row_number().over(W.orderBy(F.desc("_n"), column)) - 1).alias("_new"))
-    return df.join(ranked, column).drop(column).withColumnRenamed("_new", column)
+    sizes = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.count("*").alias("_n"))
+    ranked = numbered(sizes, [F.desc("_n"), F.asc(column)], "_new").select(column, (F.col("_new") - 1).cast("int").alias("_new"))
+    return df.join(ranked, column, "left").drop(column).withColumnRenamed("_new", column)

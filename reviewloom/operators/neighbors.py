@@ -1,14 +1,19 @@
-"""Exact distance joins over dense vectors.
+"""Distance joins over dense vectors, exact unless asked otherwise.
 
 Every vector belongs to the cell of its nearest pivot and also visits the cells where, by the
-triangle inequality, it may have a neighbour within ``eps``. A cell is cut into blocks of bounded
+triangle inequality, it may have a neighbour within ``eps``, or one of its ``k`` nearest. A cell is cut into blocks of bounded
 size and each pair of blocks is one group, so neither a dense region nor a popular cell ends up in
 one task. A group works on two small matrices and emits results only, never candidate pairs.
+
+The approximate mode takes buckets of random projections for cells, in several tables; a popular bucket is cut into
+blocks in the same way.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -16,8 +21,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from reviewloom.operators.joins import null_safe_join
+from reviewloom.session import materialize
+
 BLOCK_ROWS = 1024
 MAX_PIVOTS = 256
+#: Tables of random projections at most; a copy of every row goes to each.
+MAX_TABLES = 48
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
@@ -77,11 +87,11 @@ def blocked(points: DataFrame, eps: float, n: int | None = None,
             F.transform("_p.visits", lambda c: F.struct(c.alias("cell"), F.lit(1).alias("guest"))))
         cells = placed.select(*points.columns, F.inline(visits))
 
-    # One row per group and pivot: bounded by MAX_PIVOTS per group.
+    # One row per group and pivot.
     blocks = cells.groupBy("group_key", "cell").agg(
         F.ceil(F.sum(1 - F.col("guest")) / block_rows).cast("int").alias("n_home"),
         F.ceil(F.sum("guest") / block_rows).cast("int").alias("n_guest"))
-    sized = cells.join(F.broadcast(blocks), ["group_key", "cell"]).where("n_home > 0")
+    sized = null_safe_join(cells, blocks, ["group_key", "cell"]).where("n_home > 0")
     spread = F.xxhash64("id")
     mine = F.when(F.col("guest") == 0, F.pmod(spread, F.col("n_home"))).otherwise(
         F.col("n_home") + F.pmod(spread, F.col("n_guest"))).cast("int")
@@ -133,16 +143,20 @@ def block_map(blocks: DataFrame, kernel: Callable, schema: str) -> DataFrame:
     return blocks.groupBy("group_key", "cell", "bi", "bj").applyInPandas(run, schema)
 
 
-def eps_join(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def eps_join(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, mode: str = "exact",
+             recall: float = 0.95, seed: int = 42) -> DataFrame:
     """All pairs ``a < b`` of one group at distance ``<= eps``: (group_key, a, b, dist).
 
-    ``points``: group_key, id, vector.
+    ``points``: group_key, id, vector; rows without a vector have no pairs, a null ``group_key`` is a group. With
+    ``mode="approximate"`` a pair is found with probability ``recall`` at least (higher, the closer it is), by
+    random projections drawn from ``seed``; what is returned is measured exactly in both modes.
     """
     id_type = points.schema["id"].dataType.simpleString()
     key_type = points.schema["group_key"].dataType.simpleString()
+    rows = points.where(F.col("vector").isNotNull()).select("group_key", "id", "vector")
+    schema = f"group_key {key_type}, a {id_type}, b {id_type}, dist double"
 
-    def pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        i, j, d = within(_matrix(left["vector"]), _matrix(right["vector"]), eps)
+    def found(left: pd.DataFrame, right: pd.DataFrame, same: bool, i, j, d) -> pd.DataFrame:
         a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
         if same:
             once = a < b
@@ -150,47 +164,234 @@ def eps_join(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS) -> Dat
         low, high = np.where(a < b, a, b), np.where(a < b, b, a)
         return _frame(group_key=left["group_key"].to_numpy()[i], a=low, b=high, dist=d)
 
-    rows = points.select("group_key", "id", "vector")
-    return block_map(blocked(rows, eps, block_rows=block_rows), pairs,
-                     f"group_key {key_type}, a {id_type}, b {id_type}, dist double")
+    def pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        return found(left, right, same, *within(_matrix(left["vector"]), _matrix(right["vector"]), eps))
 
+    def pairs_of_table(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        i, j, d = within(_matrix(left["vector"]), _matrix(right["vector"]), eps)
+        if len(i):
+            # A pair belongs to the first table in which its buckets agree.
+            table = int(left["table"].iloc[0])
+            earlier = np.stack(left["buckets"].to_numpy())[i, :table] == np.stack(right["buckets"].to_numpy())[j, :table]
+            own = ~earlier.any(axis=1)
+            i, j, d = i[own], j[own], d[own]
+        return found(left, right, same, i, j, d)
 
-def knn_join(points: DataFrame, k: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """The ``k`` cosine-nearest other points of every point: (group_key, src, dst, sim, rank).
+    if mode == "exact":
+        return block_map(blocked(rows, eps, block_rows=block_rows), pairs, schema)
+    if mode != "approximate":
+        raise ValueError(f"unknown mode {mode}")
+    rows = materialize(rows, "lsh-points")
+    tables = plan_tables(rows, eps, recall, seed)
+    return block_map(bucketed(rows, tables, block_rows), pairs_of_table, schema)
 
-    Ties go to the smaller id. Each block pair contributes at most ``k`` rows per point, so what is
-    shuffled for the final ranking grows with points times blocks, not with pairs.
-    """
-    from reviewloom.functions import vectors as V
 
-    id_type = points.schema["id"].dataType.simpleString()
-    key_type = points.schema["group_key"].dataType.simpleString()
+class Tables(NamedTuple):
+    """Random projections: ``directions`` (tables, projections, dimensions), ``offsets``, and the width of a bucket."""
+
+    directions: np.ndarray
+    offsets: np.ndarray
+    width: float
+
 
-    def best(sims: np.ndarray, ids: np.ndarray, others: np.ndarray, key) -> pd.DataFrame:
+def same_bucket(distance: np.ndarray, width: float) -> np.ndarray:
+    """Probability that two points at ``distance`` fall into one bucket of one Gaussian projection."""
+    ratio = width / np.maximum(np.asarray(distance, dtype=float), 1e-12)
+    tail = np.array([math.erfc(r / math.sqrt(2)) for r in ratio.ravel()]).reshape(ratio.shape)
+    return np.clip(1 - tail - math.sqrt(2 / math.pi) / ratio * -np.expm1(-ratio ** 2 / 2), 0, 1)
+
+
+def plan_tables(points: DataFrame, eps: float, recall: float = 0.95, seed: int = 42, sample_rows: int = 512) -> Tables:
+    """The cheapest tables that find a pair at distance ``eps`` with probability ``recall``.
+
+    The distances among ``sample_rows`` points (the lowest by hash of their id) say how often points that are not close share a
+    bucket; for every width and number of projections that follows the number of tables, and with it the rows copied and the pairs
+    compared.
+    """
+    if not 0 < recall < 1:
+        raise ValueError("recall lies between 0 and 1")
+    n = points.count()
+    some = points.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vector").collect()
+    x = np.array([r["vector"] for r in some], dtype=float) if some else np.zeros((1, 1))
+    square = (x ** 2).sum(axis=1)
+    gaps = np.sqrt(np.maximum(square[:, None] + square - 2 * x @ x.T, 0))[np.triu_indices(len(x), 1)]
+    best = None
+    for width in (eps, 2 * eps, 4 * eps, 8 * eps, 16 * eps):
+        near = float(same_bucket(np.array([eps]), width)[0])
+        far = same_bucket(gaps, width)
+        for count in range(1, 25):
+            tables = max(1, math.ceil(math.log(1 - recall) / math.log1p(-min(near ** count, 1 - 1e-12))))
+            if tables > MAX_TABLES:
+                break
+            cost = tables * (64 + n * (float((far ** count).mean()) if len(far) else 0.0))
+            if best is None or cost < best[0]:
+                best = cost, width, count, tables
+    _, width, count, tables = best or (0, 16 * eps, 1, MAX_TABLES)
+    rng = np.random.default_rng(seed)
+    return Tables(rng.standard_normal((tables, count, x.shape[1])), rng.uniform(0, width, (tables, count)), width)
+
+
+def bucketed(points: DataFrame, tables: Tables, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows copied to the block pairs of their buckets, as :func:`blocked` does for cells; adds ``table`` and ``buckets``."""
+    directions, offsets, width = tables
+    mixers = np.random.default_rng(7).integers(1, 1 << 62, (directions.shape[1],), dtype=np.int64) | 1
+
+    @F.pandas_udf("array<long>")
+    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            x = _matrix(batch)
+            out = np.zeros((len(x), len(directions)), np.int64)
+            with np.errstate(over="ignore"):
+                for t in range(len(directions)):
+                    cells = np.floor((x @ directions[t].T + offsets[t]) / width).astype(np.int64)
+                    out[:, t] = ((cells + 1) * mixers).sum(axis=1)
+            yield pd.Series(list(out))
+
+    cells = points.withColumn("buckets", hashed("vector")).select("*", F.posexplode("buckets").alias("table", "cell"))
+    # Tables are apart: the cell of a block pair names its table too.
+    return triangles(cells.withColumn("cell", F.struct("table", "cell")), block_rows)
+
+
+def triangles(cells: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows (group_key, id, cell, ...) copied to the block pairs ``bi <= bj`` of their own cell; lone rows have none."""
+    sizes = cells.groupBy("group_key", "cell").agg(F.count("*").alias("_rows")).where("_rows > 1").select(
+        "group_key", "cell", F.ceil(F.col("_rows") / block_rows).cast("int").alias("_n"))
+    own = null_safe_join(cells, sizes, ["group_key", "cell"]).withColumn("_b", F.pmod(F.xxhash64("id"), F.col("_n")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda j: F.struct(
+        F.least(F.col("_b"), j).alias("bi"), F.greatest(F.col("_b"), j).alias("bj"), F.when(j < F.col("_b"), 1).otherwise(0).alias("role")))
+    return own.select(*cells.columns, F.inline(pairs))
+
+
+def _best(k: int):
+    """The ``k`` most similar of ``others`` per row, by similarity to nine digits, then by smaller id."""
+    def best(sims: np.ndarray, ids: np.ndarray, others: np.ndarray, key, floor: np.ndarray | None = None) -> pd.DataFrame:
         rounded = np.round(sims, 9)
         out = []
         for r in range(len(ids)):
-            order = np.lexsort((others, -rounded[r]))
-            order = order[others[order] != ids[r]][:k]
+            near = np.flatnonzero((rounded[r] >= floor[r]) & (others != ids[r])) if floor is not None else np.flatnonzero(others != ids[r])
+            order = near[np.lexsort((others[near], -rounded[r][near]))[:k]]
             out.append((np.repeat(ids[r], len(order)), others[order], sims[r][order]))
         if not out:
             return _frame(group_key=[], src=[], dst=[], sim=[])
         src, dst, sim = (np.concatenate(c) for c in zip(*out))
         return _frame(group_key=[key] * len(src), src=src, dst=dst, sim=sim)
 
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+    return best
+
+
+def _nearest(found: DataFrame, k: int) -> DataFrame:
+    # At most k rows of each block pair that a point takes part in.
+    order = W.partitionBy("group_key", "src").orderBy(F.desc(F.round("sim", 9)), "dst")
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _lifted_gaps(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors to unit pivots, ``sqrt(2 - 2 cosine)``.
+
+    An all-zero row has no direction: it gets an axis of its own, at the distance of similarity 0 to all others.
+    """
+    axis, lift = np.maximum(1 - (x ** 2).sum(axis=1), 0), np.maximum(1 - (pivots ** 2).sum(axis=1), 0)
+    both = x @ pivots.T + np.sqrt(axis)[:, None] * np.sqrt(lift)
+    return np.sqrt(np.maximum(2 - 2 * both, 0))
+
+
+def knn_placed(unit: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """``unit`` with the cell of the nearest pivot and the distance to it (``cell``, ``reach``), written once."""
+    @F.pandas_udf("struct<cell:int,reach:double>")
+    def place(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            gap = _lifted_gaps(_matrix(batch), pivots)
+            yield pd.DataFrame({"cell": gap.argmin(axis=1).astype("int32"), "reach": gap.min(axis=1)})
+
+    return materialize(unit.withColumn("_p", place("vector")).select("*", "_p.cell", "_p.reach").drop("_p"), "knn-placed")
+
+
+def knn_visits(placed: DataFrame, own: DataFrame, pivots: np.ndarray, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Block pairs of points that may have one of their ``k`` nearest in another cell.
+
+    ``own``: the nearest found inside a point's cell (group_key, src, sim, rank). The ``k``-th of them bounds what can still be
+    nearer: a cell is visited only if neither the plane between its pivot and the point's own, nor the range of its members'
+    distances to its pivot, rules it out. A point with fewer than ``k`` so far visits every cell. Role 0 rows ask, with
+    ``floor`` as the least similarity of use; role 1 rows are the members of the cell.
+    """
+    # One row per pivot.
+    ring = {r["cell"]: (r["low"], r["high"]) for r in placed.groupBy("cell").agg(
+        F.min("reach").alias("low"), F.max("reach").alias("high")).collect()}
+    low = np.array([ring.get(c, (np.inf, -np.inf))[0] for c in range(len(pivots))])
+    high = np.array([ring.get(c, (np.inf, -np.inf))[1] for c in range(len(pivots))])
+
+    @F.pandas_udf("array<int>")
+    def visits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for vector, cell, floor in batches:
+            gap = _lifted_gaps(_matrix(vector), pivots)
+            row, home = np.arange(len(gap)), cell.to_numpy()
+            # Similarities are compared to nine digits; distances follow with slack.
+            reach = np.sqrt(np.maximum(2 - 2 * floor.to_numpy(dtype=float), 0) + 4e-9) + 1e-6
+            apart = np.maximum((gap - gap[row, home][:, None]) / 2, np.maximum(gap - high, low - gap))
+            near = (apart <= reach[:, None]) & np.isfinite(low)
+            near[row, home] = False
+            yield pd.Series([np.flatnonzero(r).astype("int32") for r in near])
+
+    kth = own.where(F.col("rank") == k).select("group_key", F.col("src").alias("id"), F.round("sim", 9).alias("floor"))
+    asking = null_safe_join(placed, kth, ["group_key", "id"], "left").withColumn("floor", F.coalesce("floor", F.lit(-2.0)))
+    asking = materialize(asking.select("group_key", "id", "vector", "floor", F.explode(visits("vector", "cell", "floor")).alias("cell")),
+                         "knn-visits")
+    members = placed.select("group_key", "id", "vector", F.lit(0.0).alias("floor"), "cell")
+    sizes = null_safe_join(
+        members.groupBy("group_key", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_home")),
+        asking.groupBy("group_key", "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("n_guest")), ["group_key", "cell"])
+
+    def dealt(rows: DataFrame, role: int) -> DataFrame:
+        mine, others = ("n_home", "n_guest") if role else ("n_guest", "n_home")
+        block = F.pmod(F.xxhash64("id"), F.col(mine)).cast("int")
+        every = null_safe_join(rows, sizes, ["group_key", "cell"]).select(
+            "group_key", "id", "vector", "floor", "cell", block.alias("_mine"), F.explode(F.sequence(F.lit(0), F.col(others) - 1)).alias("_other"))
+        # Blocks that ask and blocks of members are numbered apart: no block meets itself.
+        return every.select("group_key", "id", "vector", "floor", "cell", F.col("_other" if role else "_mine").alias("bi"),
+                            (-1 - F.col("_mine" if role else "_other")).alias("bj"), F.lit(role).alias("role"))
+
+    return dealt(asking, 0).unionByName(dealt(members, 1))
+
+
+def knn_join(points: DataFrame, k: int = 8, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The ``k`` cosine-nearest other points of every point: (group_key, src, dst, sim, rank). Exact.
+
+    Ties go to the smaller id; rows without a vector take no part, a null ``group_key`` is a group. First every point
+    finds its nearest inside its own cell, then it visits the cells that their similarity does not rule out. Each block
+    pair contributes at most ``k`` rows per point.
+    """
+    from reviewloom.functions import vectors as V
+
+    id_type = points.schema["id"].dataType.simpleString()
+    key_type = points.schema["group_key"].dataType.simpleString()
+    schema = f"group_key {key_type}, src {id_type}, dst {id_type}, sim double"
+    best = _best(k)
+
+    def inside(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         sims = _matrix(left["vector"]) @ _matrix(right["vector"]).T if len(right) else np.zeros((len(left), 0))
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         key = left["group_key"].iloc[0] if len(left) else None
         one = best(sims, a, b, key)
         return one if same else pd.concat([one, best(sims.T, b, a, key)])
 
-    unit = points.select("group_key", "id", V.l2_normalize(F.col("vector")).alias("vector"))
-    # Unit vectors are at most 2 apart, so eps 2 lets every pair of a group meet.
-    found = block_map(blocked(unit, 2.0, block_rows=block_rows), kernel,
-                      f"group_key {key_type}, src {id_type}, dst {id_type}, sim double")
-    order = W.partitionBy("group_key", "src").orderBy(F.desc(F.round("sim", 9)), "dst")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    def across(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
+        out = []
+        for s in range(0, len(left), BLOCK_ROWS):
+            part = left.iloc[s:s + BLOCK_ROWS]
+            out.append(best(_matrix(part["vector"]) @ _matrix(right["vector"]).T, part["id"].to_numpy(), right["id"].to_numpy(),
+                            part["group_key"].iloc[0], part["floor"].to_numpy()))
+        return pd.concat(out) if out else _frame(group_key=[], src=[], dst=[], sim=[])
+
+    unit = materialize(points.where(F.col("vector").isNotNull()).select(
+        "group_key", "id", V.l2_normalize(F.col("vector")).alias("vector")), "knn-unit")
+    n = unit.count()
+    if n // block_rows < 2:
+        return _nearest(block_map(triangles(unit.withColumn("cell", F.lit(0)), block_rows), inside, schema), k)
+    pivots = pick_pivots(unit, n, block_rows)
+    placed = knn_placed(unit, pivots)
+    found = materialize(_nearest(block_map(triangles(placed, block_rows), inside, schema), k), "knn-inside")
+    far = block_map(knn_visits(placed, found, pivots, k, block_rows), across, schema)
+    return _nearest(found.drop("rank").unionByName(far), k)
 
 
 def symmetric_edges(knn: DataFrame) -> DataFrame:

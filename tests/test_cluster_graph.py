@@ -57,6 +57,35 @@ def test_groups_never_mix(spark):
     assert {(r["group_key"], r["label"], r["count"]) for r in labels.collect()} == {("a", 0, 4), ("b", 0, 4)}
 
 
+def test_no_row_of_a_null_group_is_lost(spark):
+    x = cloud()
+    groups = [None if i % 2 else "a" for i in range(len(x))]
+    rows = [(groups[i], i, [float(v) for v in r]) for i, r in enumerate(x)] + [(None, 7000, None), ("a", 7001, None)]
+    points = spark.createDataFrame(rows, SCHEMA)
+    got = {r["id"]: r for r in L.cluster_dbscan(points, 0.5, 4, block_rows=16).collect()}
+    assert len(got) == len(rows) and got[7000]["label"] == got[7001]["label"] == -1
+    dense = {r["id"]: r["label"] for r in L.cluster_density(points, 6, 4, 0.5, block_rows=16).collect()}
+    for part in (None, "a"):
+        ids = [i for i in range(len(x)) if groups[i] == part]
+        want, core = brute_dbscan(x[ids], 0.5, 4)
+        assert [(got[i]["label"], got[i]["is_core"]) for i in ids] == list(zip(want, core))
+        assert len(dense) == len(rows) and {dense[i] for i in ids} >= {-1, 0}
+    sized = L.add_cluster_columns(points.select(F.col("id").alias("review_id")), L.cluster_dbscan(points, 0.5, 4).drop("is_core"),
+                                  points.where("vector IS NOT NULL"), "none", "dbscan")
+    assert sized.count() == len(rows)
+
+
+def test_renumbering_keeps_rows_without_a_cluster(spark):
+    rows = [(i, None if i % 4 == 0 else i % 3) for i in range(40)]
+    got = {r.id: r.cluster_number for r in G.renumber_by_size(spark.createDataFrame(rows, "id int, cluster_number int")).collect()}
+    from collections import Counter
+    sizes = Counter(c for _, c in rows if c is not None)
+    want = {c: k for k, c in enumerate(sorted(sizes, key=lambda c: (-sizes[c], c)))}
+    assert got == {i: None if c is None else want[c] for i, c in rows}
+    plan = G.renumber_by_size(spark.createDataFrame(rows, "id int, cluster_number int"))._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan or "__all" in plan
+
+
 @pytest.mark.parametrize("n", [0, 1, 2])
 def test_small_inputs(spark, n):
     rows = L.cluster_dbscan(frame(spark, np.zeros((n, 2))), 0.45, 5).collect()
@@ -84,6 +113,74 @@ def test_eps_join_and_knn_match_brute_force(spark):
         assert [r["dst"] for r in got if r["src"] == i] == want
 
 
+def knn_by_hand(x, k, groups=None):
+    unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    sims = np.round(unit @ unit.T, 9)
+    return {(i, r + 1): j for i in range(len(x)) for r, j in enumerate(sorted(
+        (j for j in range(len(x)) if j != i and (groups is None or groups[i] == groups[j])), key=lambda j: (-sims[i, j], j))[:k])}
+
+
+def clustered_points(n=600, d=4, seed=8):
+    rng = np.random.default_rng(seed)
+    directions = rng.normal(0, 1, (12, d))
+    return np.concatenate([c + rng.normal(0, 0.02, (n // 12, d)) for c in directions])
+
+
+def test_knn_visits_only_cells_that_may_hold_a_neighbour(spark):
+    x = clustered_points()
+    points = frame(spark, x)
+    got = {(r["src"], r["rank"]): r["dst"] for r in NB.knn_join(points, 4, block_rows=32).collect()}
+    assert got == knn_by_hand(x, 4)
+    from reviewloom.functions import vectors as V
+    unit = points.withColumn("vector", V.l2_normalize(F.col("vector"))).cache()
+    pivots = NB.pick_pivots(unit, 600, 32)
+    placed = NB.knn_placed(unit, pivots)
+    inside = NB.triangles(placed, 32)
+    own = spark.createDataFrame([("g", s, d, float(1 - 1e-4), r) for (s, r), d in got.items()], "group_key string, src long, dst long, sim double, rank int")
+    count = lambda df: df.select("group_key", "cell", "bi", "bj").distinct().count()
+    pairs = count(inside) + count(NB.knn_visits(placed, own, pivots, 4, 32))
+    assert 3 * pairs < count(NB.blocked(unit, 2.0, 600, 32))
+
+
+def test_knn_with_zeros_copies_groups_and_missing_vectors(spark):
+    x = np.concatenate([clustered_points(240), np.zeros((9, 4)), np.ones((60, 4)), -np.ones((30, 4))])
+    groups = [None if i % 5 == 0 else "a" if i % 2 else "b" for i in range(len(x))]
+    rows = [(groups[i], i, [float(v) for v in r]) for i, r in enumerate(x)] + [("a", 9000, None), (None, 9001, None)]
+    got = {(r["src"], r["rank"]): r["dst"] for r in NB.knn_join(spark.createDataFrame(rows, SCHEMA), 5, block_rows=24).collect()}
+    assert got == knn_by_hand(x, 5, groups)
+
+
+def pairs_by_hand(x, eps, groups):
+    dist = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).round(9)
+    return {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if dist[i, j] <= eps and groups[i] == groups[j]}
+
+
+def test_null_groups_and_missing_vectors_in_distance_joins(spark):
+    x = cloud(120)
+    groups = [None if i % 3 == 0 else "a" for i in range(len(x))]
+    rows = [(groups[i], i, [float(v) for v in r]) for i, r in enumerate(x)]
+    missing = rows + [(None, 5000, None)]
+    got = {(r["a"], r["b"]) for r in NB.eps_join(spark.createDataFrame(missing, SCHEMA), 0.4, block_rows=16).collect()}
+    assert got == pairs_by_hand(x, 0.4, groups)
+
+
+def test_approximate_pairs_are_true_once_and_nearly_complete(spark):
+    rng = np.random.default_rng(6)
+    x = np.concatenate([c + rng.normal(0, 0.03, (30, 16)) for c in rng.normal(0, 1, (20, 16))] + [np.ones((50, 16))])
+    groups = ["a" if i % 2 else None for i in range(len(x))]
+    points = spark.createDataFrame([(groups[i], i, [float(v) for v in r]) for i, r in enumerate(x)], SCHEMA)
+    got = [(r["a"], r["b"]) for r in NB.eps_join(points, 0.2, block_rows=16, mode="approximate", recall=0.95).collect()]
+    want = pairs_by_hand(x, 0.2, groups)
+    assert len(got) == len(set(got)) and set(got) <= want and len(got) >= 0.9 * len(want) > 1000
+    # Far fewer rows meet than in a comparison of all: buckets are small beside the table.
+    tables = NB.plan_tables(points, 0.2)
+    largest = NB.bucketed(points, tables, 10 ** 6).groupBy("group_key", "cell").count().agg(F.max("count")).first()[0]
+    assert largest <= 100
+    assert NB.eps_join(points.where("false"), 0.2, mode="approximate").count() == 0
+    with pytest.raises(ValueError):
+        NB.eps_join(points, 0.2, mode="nearly")
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(200).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")).where("id % 50 <> 49")
     roots = {r["node"]: r["root"] for r in G.connected_components(edges).collect()}
@@ -156,6 +253,65 @@ def test_near_duplicates_match_brute_force(spark):
         assert got == {(i, j) for i in range(40) for j in range(i + 1, 40) if sims[i, j] >= threshold}
 
 
+def test_near_duplicates_with_a_term_in_every_text(spark):
+    rng = np.random.default_rng(11)
+    x = np.zeros((260, 40))
+    x[:, 0] = 1.0  # in every text, and all that many of them have
+    for i in range(0, 200):
+        x[i, 1 + rng.integers(39, size=2)] = rng.random(2) * (2 if i % 2 else 0.05)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = (x > 0).sum(axis=0)
+    rows = [(i, f"t{j:02d}", float(x[i, j]), int(df[j])) for i in range(260) for j in range(40) if x[i, j]]
+    features = spark.createDataFrame(rows, "doc_id int, term string, weight double, df int")
+    got = {(r["a"], r["b"]): r["sim"] for r in U.near_duplicates(features, 0.95, term_rows=16).collect()}
+    sims = x @ x.T
+    want = {(i, j) for i in range(260) for j in range(i + 1, 260) if round(sims[i, j], 9) >= 0.95}
+    assert set(got) == want and all(abs(s - sims[p]) < 1e-9 for p, s in got.items())
+    # Every pair comes once per shared term, and the blocks of the hot term hold few rows each.
+    heads = features.select(F.col("doc_id").alias("doc"), "term", "weight", F.lit(1.0).alias("carried"), F.lit(9.0).alias("total"), F.lit(1.0).alias("largest"))
+    met = U.term_pairs(heads.where("term = 't00'"), 0.5, 16)
+    assert met.count() == met.select("a", "b").distinct().count() == 260 * 259 // 2
+    plan = U.term_pairs(heads, 0.5, 16)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bi" in plan and met.where("a >= b").count() == 0
+
+
+def test_minibatch_centres_are_close_to_a_full_fit(spark):
+    from reviewloom.operators import minibatch as MB
+    rng = np.random.default_rng(4)
+    x = np.concatenate([c + rng.normal(0, 0.3, (150, 5)) for c in rng.normal(0, 3, (14, 5))])
+    weight = rng.integers(1, 4, len(x))
+    points = spark.createDataFrame([(i, [float(v) for v in r], int(weight[i])) for i, r in enumerate(x)] + [(9999, None, 1)],
+                                   "vec_id long, vector array<double>, review_count long")
+
+    def inertia(centres):
+        return float((((x[:, None] - centres[None]) ** 2).sum(axis=2).min(axis=1) * weight).sum())
+
+    centres = MB.minibatch_centres(points, 14, "review_count", batch_rows=256, batches=60)
+    # Plain Lloyd iterations from the same places.
+    full = centres.copy()
+    for _ in range(50):
+        near = ((x[:, None] - full[None]) ** 2).sum(axis=2).argmin(axis=1)
+        full = np.array([np.average(x[near == c], axis=0, weights=weight[near == c]) if (near == c).any() else full[c] for c in range(len(full))])
+    assert centres.shape == (14, 5) and inertia(centres) <= 1.05 * inertia(full)
+    again = MB.minibatch_centres(points.repartition(7), 14, "review_count", batch_rows=256, batches=60)
+    assert np.allclose(centres, again)
+    micro = L.micro_clusters(points, cap=20, batch_rows=256, batches=20)
+    assert micro.count() == len(x) + 1 and micro.where("micro_id IS NULL").count() == 1
+    assert micro.agg(F.max("micro_id")).first()[0] < 20
+    copies = points.limit(3).crossJoin(spark.range(4)).drop("id")
+    assert {r.micro_id for r in L.micro_clusters(copies.where("vec_id = 0")).collect()} == {0}
+
+
+def test_starved_centres_are_set_anew():
+    from reviewloom.operators import minibatch as MB
+    rng = np.random.default_rng(0)
+    x = np.concatenate([rng.normal(0, 0.1, (200, 2)), rng.normal(5, 0.1, (200, 2))])
+    state = MB.Centres(np.array([[0.0, 0.0], [100.0, 100.0]]), np.random.default_rng(1))
+    for _ in range(30):
+        state.update(x, np.ones(len(x)))
+    assert sorted(np.round(state.at[:, 0] / 5)) == [0, 1]
+
+
 def test_dedup_keeps_first_and_maps_back(spark):
     rows = spark.createDataFrame([(1, "A  b", 1.0), (2, "a B", 3.0), (3, "c", 5.0)], "id int, t string, s double")
     unique = U.dedup_exact(rows, "t", "id", ["s"])
