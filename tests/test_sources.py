@@ -37,6 +37,53 @@ def test_max_rows_and_missing_file(spark, raw_csv):
         IO.read_reviews(spark, raw_csv + ".none", "glassdoor").count()
 
 
+def test_lines_know_whether_a_cell_is_open():
+    from reviewloom.sources.csv_lines import ends_inside
+    for line, inside, want in [("a,b", False, False), ('a,"b', False, True), ('b",c', True, False), ("b,c", True, True), ('a,""', False, False),
+                               ('a,"""', False, True), ('say ""', True, True), ('5" disk,x', False, False), ('"a"b"c,"d', False, True),
+                               ('x","y', True, True), ("", True, True), ('"', False, True), ('",', True, False)]:
+        assert ends_inside(line, inside) == want, line
+
+
+@pytest.mark.parametrize("split", ["1000000", "700"])
+def test_quoted_line_breaks_read_alike_in_any_split(spark, tmp_path, split):
+    import csv
+    import random
+
+    rng = random.Random(1)
+    cells = ["plain", "two\nlines", 'a "quoted" word', "comma, here", "", "\n\nfar\n" * 9, "é😀\r\nx", '"', 'end"', ",", "x" * 300]
+    folder = tmp_path / "many"
+    folder.mkdir()
+    want = []
+    for name in ("a.csv", "b.csv"):
+        rows = [[str(len(want) + k), rng.choice(cells), rng.choice(cells)] for k in range(120)]
+        with open(folder / name, "w", newline="", encoding="utf-8") as out:
+            csv.writer(out, lineterminator="\r\n" if name == "b.csv" else "\n").writerows([["key", "Pros", "a\nb"], *rows])
+            out.write("\n\n")
+        want += rows
+    (folder / "c.csv").write_text('key,Pros,"a\nb"')
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        got = IO.read_reviews(spark, str(folder), "glassdoor")
+        assert got.columns == ["key", "Pros", "a\nb", "source_row_id"]
+        rows = sorted(got.collect(), key=lambda r: r["source_row_id"])
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert [r["source_row_id"] for r in rows] == list(range(240))
+    assert [[r[0], r[1] or "", r[2] or ""] for r in rows] == want
+
+
+def test_an_open_cell_at_the_end_is_an_error(spark, tmp_path):
+    (tmp_path / "bad.csv").write_text('a,b\n1,"open\n2,x\n')
+    with pytest.raises(ValueError, match="inside a quoted cell"):
+        IO.read_reviews(spark, str(tmp_path / "bad.csv"), "glassdoor")
+    (tmp_path / "none.csv").write_text("")
+    with pytest.raises(ValueError, match="no header"):
+        IO.read_reviews(spark, str(tmp_path / "none.csv"), "glassdoor")
+
+
 def test_ordinals_follow_file_order(spark, tmp_path):
     path = tmp_path / "n.csv"
     path.write_text("v\n" + "\n".join(f"row{i:06d}" for i in range(30000)) + "\n")
