@@ -92,7 +92,7 @@ SELECT side, review_id, count(*) AS n_terms, round(sum(weight), 4) AS sum_weight
        round(max(weight), 6) AS max_weight
 FROM w GROUP BY ALL""")
 def tfidf_weights(spark, sf_dir):
-    weights = N.tfidf(I.segments(spark, sf_dir), K.SIDE_NAMES)
+    weights = N.tfidf(I.segments(spark, sf_dir))
     return weights.groupBy("side", "review_id").agg(
         F.count("*").alias("n_terms"), F.round(F.sum("weight"), 4).alias("sum_weight"),
         F.round(F.max("weight"), 6).alias("max_weight"))

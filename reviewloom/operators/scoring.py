@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reviewloom import constants as K
@@ -34,60 +35,111 @@ def profile_documents(seeds: DataFrame) -> DataFrame:
     return placed.groupBy("category").agg(joined.alias("text"))
 
 
-def tfidf_scores(texts: DataFrame, seeds: DataFrame, categories: list[str] | None = None,
-                 groups: list[str] | None = None, group: str = "side", doc: str = "review_id",
-                 text: str = "review_text", ngram_max: int = 3,
-                 stop_words: list[str] | None = None) -> DataFrame:
-    """TF-IDF cosine of every text to every category profile: ``(group, doc, score_*...)``.
+class TfidfModel(NamedTuple):
+    """A fitted model. ``terms``: group, term, idf, counts (per category, null for words of texts alone);
+    ``lengths``: group, one column per category with the length of its profile."""
 
-    Categories come from the dictionary unless given. Document frequencies are fitted per group over
-    its texts and the profiles. The texts are
-    shuffled once by document, their term rows once by term; all categories are scored in that one
-    pass because the term table carries the profile counts as an array. A text without words keeps
-    its row with zero scores. Broadcast are only tables with one row per listed group.
-    """
+    terms: DataFrame
+    lengths: DataFrame
+    categories: list[str]
+    ngram_max: int = 3
+    stop_words: list[str] | None = None
+
+
+def text_terms(texts: DataFrame, group: str, doc: str, text: str, ngram_max: int,
+               stop_words: list[str] | None) -> DataFrame:
+    """Term counts per text; a text without words keeps one row with a null term."""
+    return N.term_counts(
+        N.ngrams(N.by_document(texts, doc, group, text), text, 1, ngram_max, stop_words, keep_empty=True), group, doc)
+
+
+def _fit(keyed: DataFrame, tf: DataFrame, seeds: DataFrame, categories: list[str] | None, group: str, ngram_max: int,
+         stop_words: list[str] | None) -> TfidfModel:
     profiled = dictionary_categories(seeds)
     categories = categories or profiled
-    groups = groups or K.SIDE_NAMES
-    inside = texts.where(F.col(group).isin(groups))
-    tf = N.term_counts(
-        N.ngrams(N.by_document(inside, doc, group, text), text, 1, ngram_max, stop_words,
-                 keep_empty=True),
-        group, doc)
     text_df = tf.where(F.col("term").isNotNull()).groupBy(group, "term").agg(
         F.count("*").alias("text_df"))
-
     profile_tf = N.term_counts(
         N.ngrams(profile_documents(seeds), "text", 1, ngram_max, stop_words), "category")
     profiles = profile_tf.groupBy("term").agg(
         F.count("*").alias("profile_df"),
         F.array(*[F.coalesce(F.sum(F.when(F.col("category") == c, F.col("tf"))), F.lit(0))
                   .cast("double") for c in categories]).alias("counts"))
-    profiles = profiles.withColumn(group, F.explode(F.array(*[F.lit(g) for g in groups])))
-
-    # At most one row per listed group.
-    sizes = F.broadcast(inside.groupBy(group).agg(
-        (F.count("*") + F.lit(len(profiled))).alias("n_docs")))
+    # One row per group.
+    sizes = keyed.groupBy(group).agg((F.count("*") + F.lit(len(profiled))).alias("n_docs"))
+    everywhere = profiles.withColumn(group, F.explode(sizes.agg(F.collect_list(group)).scalar()))
     known = F.coalesce("text_df", F.lit(0)) + F.coalesce("profile_df", F.lit(0))
     idf = N.smooth_idf(F.col("n_docs"), known)
+    terms = (text_df.join(everywhere, [group, "term"], "left").join(sizes, group)
+             .select(group, "term", idf.alias("idf"), "counts"))
+    weighted = (everywhere.join(text_df, [group, "term"], "left").join(sizes, group)
+                .select(group, idf.alias("idf"), "counts"))
+    lengths = weighted.groupBy(group).agg(*[
+        F.sqrt(F.sum(F.pow(F.col("idf") * F.col("counts")[i], F.lit(2.0)))).alias(f"profile{i}")
+        for i in range(len(categories))])
+    return TfidfModel(terms, lengths, categories, ngram_max, stop_words)
+
 
-    lexicon = (text_df.join(profiles, [group, "term"], "left").join(sizes, group)
-               .select(group, "term", idf.alias("idf"), "counts"))
+def _scored(tf: DataFrame, model: TfidfModel, group: str, doc: str) -> DataFrame:
     weight = F.col("tf") * F.col("idf")
     dots = [F.sum(weight * F.col("idf") * F.col("counts")[i]).alias(f"dot{i}")
-            for i in range(len(categories))]
-    per_doc = tf.join(lexicon, [group, "term"], "left").groupBy(group, doc).agg(
+            for i in range(len(model.categories))]
+    per_doc = tf.join(model.terms, [group, "term"], "left").groupBy(group, doc).agg(
         F.sqrt(F.sum(weight * weight)).alias("length"), *dots)
-
-    weighted = (profiles.join(text_df, [group, "term"], "left").join(sizes, group)
-                .select(group, idf.alias("idf"), "counts"))
-    lengths = F.broadcast(weighted.groupBy(group).agg(*[
-        F.sqrt(F.sum(F.pow(F.col("idf") * F.col("counts")[i], F.lit(2.0)))).alias(f"profile{i}")
-        for i in range(len(categories))]))
     scores = [F.coalesce(F.try_divide(F.col(f"dot{i}"), F.col("length") * F.col(f"profile{i}")),
                          F.lit(0.0)).alias(score_column(c))
-              for i, c in enumerate(categories)]
-    return per_doc.join(lengths, group).select(group, doc, *scores)
+              for i, c in enumerate(model.categories)]
+    return per_doc.join(model.lengths, group, "left").select(N.plain_group(group), doc, *scores)
+
+
+def tfidf_scores(texts: DataFrame, seeds: DataFrame, categories: list[str] | None = None,
+                 group: str = "side", doc: str = "review_id",
+                 text: str = "review_text", ngram_max: int = 3,
+                 stop_words: list[str] | None = None) -> DataFrame:
+    """TF-IDF cosine of every text to every category profile: ``(group, doc, score_*...)``.
+
+    Categories come from the dictionary unless given. Document frequencies are fitted per group over
+    its texts and the profiles; the groups are those of the texts, null being one. The texts are
+    shuffled once by document, their term rows once by term; all categories are scored in that one
+    pass because the term table carries the profile counts as an array. A text without words keeps
+    its row with zero scores.
+    """
+    keyed = N.keyed_group(texts, group)
+    tf = text_terms(keyed, group, doc, text, ngram_max, stop_words)
+    return _scored(tf, _fit(keyed, tf, seeds, categories, group, ngram_max, stop_words), group, doc)
+
+
+def freeze_tfidf(texts: DataFrame, seeds: DataFrame, folder: str, categories: list[str] | None = None,
+                 group: str = "side", doc: str = "review_id", text: str = "review_text", ngram_max: int = 3,
+                 stop_words: list[str] | None = None) -> TfidfModel:
+    """Fit on ``texts`` and write the model to ``folder``, so that other texts can be scored without their frequencies."""
+    keyed = N.keyed_group(texts, group)
+    tf = text_terms(keyed, group, doc, text, ngram_max, stop_words)
+    model = _fit(keyed, tf, seeds, categories, group, ngram_max, stop_words)
+    model.terms.write.mode("overwrite").parquet(f"{folder}/terms")
+    model.lengths.write.mode("overwrite").parquet(f"{folder}/lengths")
+    texts.sparkSession.createDataFrame(
+        [(model.categories, ngram_max, stop_words)], "categories array<string>, ngram_max int, stop_words array<string>"
+    ).coalesce(1).write.mode("overwrite").parquet(f"{folder}/about")
+    return load_tfidf(texts.sparkSession, folder)
+
+
+def load_tfidf(spark: SparkSession, folder: str) -> TfidfModel:
+    """The model that :func:`freeze_tfidf` wrote."""
+    about = spark.read.parquet(f"{folder}/about").first()
+    return TfidfModel(spark.read.parquet(f"{folder}/terms"), spark.read.parquet(f"{folder}/lengths"),
+                      about["categories"], about["ngram_max"], about["stop_words"])
+
+
+def frozen_tfidf_scores(texts: DataFrame, model: TfidfModel, group: str = "side", doc: str = "review_id",
+                        text: str = "review_text") -> DataFrame:
+    """Scores of texts by a fitted model: ``(group, doc, score_*...)``.
+
+    Terms that the model does not know count for nothing, not even for a text's length; a text of a group that
+    the model was not fitted on scores 0. What is shuffled is the term rows of these texts and the model, by term.
+    """
+    tf = text_terms(N.keyed_group(texts, group), group, doc, text, model.ngram_max, model.stop_words)
+    return _scored(tf, model, group, doc)
 
 
 def primary_category(df: DataFrame, categories: list[str] | None = None) -> DataFrame:
@@ -121,6 +173,26 @@ def label_scores(scores: DataFrame, backend: str, categories: list[str] | None =
     return hr_label(primary_category(scores, categories), threshold, backend, categories)
 
 
+def label_evidence(labelled: DataFrame, given: str | None = None) -> DataFrame:
+    """``labelled`` with ``classification_confidence``, ``classification_method`` and ``classification_reason``.
+
+    A label given in column ``given`` goes first, with confidence 1 and method ``existing``; the others keep their computed label, with
+    the larger of the clamped HR score and what it lacks to 1, and the backend as method. The reason names the sum and
+    threshold, and the best category if it scored at all.
+    """
+    existing = F.nullif(T.fill_strip(F.col(given).cast("string")), F.lit("")) if given else F.lit(None).cast("string")
+    score = F.least(F.greatest(F.col("hr_score"), F.lit(0.0)), F.lit(1.0))
+    above = F.when(F.round("hr_score", 9) >= F.col("classification_threshold_used"), ">=").otherwise("<")
+    best = F.when(F.col("primary_category_score") > 0, F.concat(F.lit(", best category "), "primary_category")).otherwise(F.lit(""))
+    computed = F.concat(F.format_string("hr_score %.4f ", "hr_score"), above,
+                        F.format_string(" %.2f", "classification_threshold_used"), best)
+    return labelled.withColumns({
+        "classification": F.coalesce(existing, "classification"),
+        "classification_confidence": F.when(existing.isNotNull(), F.lit(1.0)).otherwise(F.greatest(score, 1 - score)),
+        "classification_method": F.when(existing.isNotNull(), F.lit("existing")).otherwise(F.col("classification_backend")),
+        "classification_reason": F.when(existing.isNotNull(), F.lit("given with the row")).otherwise(computed)})
+
+
 def category_centroids(seed_vectors: DataFrame, weighted: bool = False, unit_inputs: bool = True,
                        unit_output: bool = True) -> DataFrame:
     """Mean vector per category: ``(category, category_ord, centroid)``.
@@ -158,37 +230,80 @@ def embedding_scores(vectors: DataFrame, centroids: DataFrame, categories: list[
         .alias(score_column(c)) for c in categories])
 
 
+#: Terms of a dictionary that a task holds at once, and rows that meet a block of a larger dictionary there.
+BLOCK_TERMS, BLOCK_ROWS = 4096, 4096
+
+
 def older_scores(vectors: DataFrame, seed_vectors: DataFrame, categories: list[str] | None = None,
-                 doc: str = "review_id", vector: str = "vector") -> DataFrame:
+                 doc: str = "review_id", vector: str = "vector", block_terms: int = BLOCK_TERMS) -> DataFrame:
     """Best weighted similarity to any single seed term of each category, one column per category.
 
-    The dictionary is the model: its terms, of any number, are read once and each Arrow batch is one
-    matrix product per category. A row without a vector scores 0.
+    A dictionary of up to ``block_terms`` terms is sent to the tasks and each Arrow batch is one matrix product
+    per category. A larger one is cut into blocks that meet chunks of the rows, and the best of a row's blocks is
+    taken afterwards; nothing is gathered then. A row without a vector scores 0. ``doc`` must be unique.
     """
     categories = categories or K.CATEGORIES
-    entries = (seed_vectors.where(F.col("category").isin(categories))
-               .select("category", "score", V.l2_normalize(F.col("vector")).alias("v")).collect())
-    blocks = []
-    for c in categories:
-        of_category = [(r["v"], r["score"]) for r in entries if r["category"] == c]
-        blocks.append((np.array([v for v, _ in of_category]), np.array([s for _, s in of_category])))
+    entries = seed_vectors.where(F.col("category").isin(categories) & F.col("vector").isNotNull()).select(
+        "category", "score", V.l2_normalize(F.col("vector")).alias("v"))
+    few = entries.limit(block_terms + 1).collect()
+    if len(few) > block_terms:
+        return _blocked_older_scores(vectors, entries, categories, doc, vector, block_terms)
+    blocks = _by_category([r["category"] for r in few], [r["v"] for r in few], [r["score"] for r in few], categories)
 
     @F.pandas_udf("array<double>")
     def best(batch: pd.Series) -> pd.Series:
-        out = np.zeros((len(batch), len(blocks)))
-        known = np.flatnonzero(batch.notna().to_numpy())
-        if len(known):
-            x = np.stack(batch.iloc[known].to_numpy()).astype(float)
-            x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.TINY)
-            for k, (m, w) in enumerate(blocks):
-                if len(w):
-                    out[known, k] = ((x @ m.T) * w).max(axis=1)
-        return pd.Series(list(out))
+        return pd.Series(list(np.nan_to_num(_best_terms(batch, blocks), nan=0.0)))
 
     scored = vectors.select(doc, best(vector).alias("_s"))
     return scored.select(doc, *[F.col("_s")[i].alias(c) for i, c in enumerate(categories)])
 
 
+def _by_category(names, rows, weights, categories: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    names = np.asarray(names, dtype=object)
+    out = []
+    for c in categories:
+        own = np.flatnonzero(names == c)
+        out.append((np.array([rows[i] for i in own], dtype=float), np.array([weights[i] for i in own], dtype=float)))
+    return out
+
+
+def _best_terms(batch: pd.Series, blocks: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Best weighted cosine per row and category; nan where there is no vector or no term."""
+    out = np.full((len(batch), len(blocks)), np.nan)
+    known = np.flatnonzero(batch.notna().to_numpy())
+    if len(known):
+        x = np.stack(batch.iloc[known].to_numpy()).astype(float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), V.TINY)
+        for k, (m, w) in enumerate(blocks):
+            if len(w):
+                out[known, k] = ((x @ m.T) * w).max(axis=1)
+    return out
+
+
+def _blocked_older_scores(vectors: DataFrame, entries: DataFrame, categories: list[str], doc: str, vector: str,
+                          block_terms: int) -> DataFrame:
+    n_blocks = -(-entries.count() // block_terms)
+    n_chunks = max(1, -(-vectors.count() // BLOCK_ROWS))
+    kind = vectors.schema[doc].dataType.simpleString()
+    terms = entries.select(
+        "category", "score", "v", F.pmod(F.xxhash64("category", "score", "v"), F.lit(n_blocks)).cast("int").alias("block"),
+        F.explode(F.sequence(F.lit(0), F.lit(n_chunks - 1))).alias("chunk"))
+    rows = vectors.select(
+        F.col(doc).alias("doc"), F.col(vector).alias("vector"), F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"),
+        F.pmod(F.xxhash64(doc), F.lit(n_chunks)).cast("int").alias("chunk"))
+
+    def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        blocks = _by_category(right["category"].to_numpy(), right["v"].to_numpy(), right["score"].to_numpy(), categories)
+        found = _best_terms(left["vector"], blocks)
+        return pd.DataFrame({"doc": left["doc"], **{f"s{i}": found[:, i] for i in range(len(categories))}})
+
+    schema = f"doc {kind}, " + ", ".join(f"s{i} double" for i in range(len(categories)))
+    met = rows.groupBy("block", "chunk").cogroup(terms.groupBy("block", "chunk")).applyInPandas(best, schema)
+    # No term of the category in the block: not a number, which must not win.
+    return met.groupBy("doc").agg(*[F.coalesce(F.max(F.nanvl(f"s{i}", F.lit(None).cast("double"))), F.lit(0.0)).alias(c)
+                                    for i, c in enumerate(categories)]).withColumnRenamed("doc", doc)
+
+
 def older_label(scores: DataFrame, threshold: float = K.OLDER_THRESHOLD) -> DataFrame:
     """``HR`` when the two HR categories together exceed the threshold strictly."""
     present = [c for c in K.OLDER_HR_CATEGORIES if c in scores.columns]
@@ -243,8 +358,9 @@ def phrase_matches(df: DataFrame, phrases: dict[str, list[str]], doc: str = "rev
                    text: str = "review_text") -> DataFrame:
     """``(doc, label, phrase, hits)`` for every listed phrase that occurs in a text, as whole words.
 
-    The n-grams of a text, of each length that a phrase has, meet the phrase table, which is as large as the
-    dictionary. Hits of one phrase do not overlap: where a phrase can overlap itself, they are taken from the left.
+    Only where a word begins some phrase are the n-grams of the phrases' lengths built, and only those that are a phrase
+    leave the text; the phrase list, which the caller holds, is part of the expression. Hits of one phrase do not overlap:
+    where a phrase can overlap itself, they are taken from the left.
     """
     spark = df.sparkSession
     listed = {}
@@ -259,15 +375,19 @@ def phrase_matches(df: DataFrame, phrases: dict[str, list[str]], doc: str = "rev
     table = spark.createDataFrame(
         [(label, phrase, *about) for (label, phrase), about in listed.items()],
         "label string, term string, times int, length int, overlaps boolean")
+    empty = F.array().cast("array<struct<at:int,term:string>>")
     rows = df.select(doc, T.words_of(F.col(text)).alias("_w"))
-    lengths = sorted({n for _, n, _ in listed.values()})
+    terms = list(dict.fromkeys(phrase for _, phrase in listed))
+    begins = F.when(F.size("_w") > 0, F.filter(
+        F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.get("_w", i).isin(list(dict.fromkeys(p.split(" ")[0] for p in terms)))))
+    rows = rows.select(doc, "_w", begins.alias("_i"))
 
     def grams_of(n: int) -> Column:
-        starts = F.when(F.size("_w") >= n, F.sequence(F.lit(0), F.size("_w") - n)).otherwise(F.array().cast("array<int>"))
-        return F.transform(starts, lambda i: F.struct(
-            i.alias("at"), F.array_join(F.slice("_w", i + 1, F.lit(n)), " ").alias("term")))
+        said = F.transform("_i", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("_w", i + 1, F.lit(n)), " ").alias("term")))
+        return F.filter(said, lambda g: g["term"].isin([p for p in terms if p.count(" ") == n - 1]))
 
-    grams = F.flatten(F.array(*[grams_of(n) for n in lengths])) if lengths else F.array().cast("array<struct<at:int,term:string>>")
+    lengths = sorted({n for _, n, _ in listed.values()})
+    grams = F.concat(*[F.coalesce(grams_of(n), empty) for n in lengths]) if lengths else empty
     met = rows.select(doc, F.inline(grams)).join(table, "term").groupBy(doc, "label", "term", "times", "length", "overlaps").agg(
         F.sort_array(F.collect_list("at")).alias("_at"))
     apart = F.aggregate("_at", F.struct(F.lit(0).alias("hits"), F.lit(-1).alias("free")), lambda acc, x: F.when(

@@ -115,24 +115,33 @@ def smooth_idf(n_docs: Column, df: Column) -> Column:
     return F.log((1 + n_docs) / (1 + df)) + 1
 
 
-def tfidf(texts: DataFrame, groups: list[str], group: str = "side", doc: str = "review_id",
+def keyed_group(df: DataFrame, group: str) -> DataFrame:
+    """The group column as a one-field struct, so that null is a group like any other in every join."""
+    return df.withColumn(group, F.struct(F.col(group).alias("value")))
+
+
+def plain_group(group: str) -> Column:
+    return F.col(f"{group}.value").alias(group)
+
+
+def tfidf(texts: DataFrame, group: str = "side", doc: str = "review_id",
           text: str = "review_text", ngram_max: int = 3,
           stop_words: list[str] | None = None) -> DataFrame:
     """Unit-length TF-IDF weights, fitted per group: ``(group, doc, term, weight)``.
 
-    ``groups`` lists the allowed group values, which bounds the table of document counts that is
-    broadcast.
+    The groups are those of the texts; a null one is a group too.
     """
-    inside = texts.where(F.col(group).isin(groups))
+    inside = keyed_group(texts, group)
     grams = ngrams(by_document(inside, doc, group, text), text, 1, ngram_max, stop_words)
     tf = term_counts(grams, group, doc)
     df = tf.groupBy(group, "term").agg(F.count("*").alias("df"))
-    sizes = F.broadcast(inside.groupBy(group).agg(F.count("*").alias("n_docs")))
+    # One row per group.
+    sizes = inside.groupBy(group).agg(F.count("*").alias("n_docs"))
     idf = df.join(sizes, group).select(
         group, "term", smooth_idf(F.col("n_docs"), F.col("df")).alias("idf"))
     raw = tf.join(idf, [group, "term"]).select(
         group, doc, "term", (F.col("tf") * F.col("idf")).alias("raw"))
-    return unit_weights(raw, [group, doc])
+    return unit_weights(raw, [group, doc]).withColumn(group, plain_group(group))
 
 
 def unit_weights(raw: DataFrame, keys: list[str], *extra: str) -> DataFrame:

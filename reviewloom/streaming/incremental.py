@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -55,12 +57,57 @@ def latest_seeds(spark, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/batch={_versions(spark, folder)[-1]}")
 
 
+def _stream_scored(rows: DataFrame, score: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str) -> StreamingQuery:
+    """Score every micro-batch by itself and write it as ``batch=<id>``, which a repeated batch writes again.
+
+    Nothing is kept between batches: ``score`` joins the batch with fixed tables. Read the result with :func:`scored_rows`.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        score(batch).write.mode("overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return (rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
+
+
+def scored_rows(spark, folder: str) -> DataFrame:
+    """All finished batches of a scoring stream."""
+    parts = [f"{folder}/batch={v}" for v in _versions(spark, folder)]
+    if not parts:
+        raise FileNotFoundError(f"no finished batch in {folder}")
+    return spark.read.parquet(*parts)
+
+
+def stream_classify_tfidf(texts: DataFrame, model: C.TfidfModel, folder: str, checkpoint: str, group: str = "side",
+                          doc: str = "review_id", text: str = "review_text", threshold: float | None = None) -> StreamingQuery:
+    """Score and label a stream of texts by a frozen TF-IDF model (:func:`~reviewloom.operators.scoring.freeze_tfidf`).
+
+    A text's scores depend on the model and on itself alone, so how the stream is cut into batches does not matter.
+    """
+    def score(batch: DataFrame) -> DataFrame:
+        scores = C.frozen_tfidf_scores(batch, model, group, doc, text)
+        return C.label_scores(scores, "tfidf", model.categories, threshold)
+
+    return _stream_scored(texts, score, folder, checkpoint)
+
+
+def stream_classify_older(vectors: DataFrame, dictionary: DataFrame, folder: str, checkpoint: str,
+                          categories: list[str] | None = None, doc: str = "review_id",
+                          threshold: float = K.OLDER_THRESHOLD) -> StreamingQuery:
+    """Score and label a stream of vectors by the best single term of each category.
+
+    ``dictionary``: category, score, vector; a fixed table of any size, read anew by every batch.
+    """
+    def score(batch: DataFrame) -> DataFrame:
+        return C.older_label(C.older_scores(batch, dictionary, categories, doc), threshold)
+
+    return _stream_scored(vectors, score, folder, checkpoint)
+
+
 def stream_classify(vectors: DataFrame, centroids: DataFrame, path: str, checkpoint: str,
                     categories: list[str] | None = None, doc: str = "review_id") -> StreamingQuery:
     """Score and label a stream of ``(review_id, vector)`` rows and append them to a table.
 
-    Stateless: the centroids are a fixed model. TF-IDF scores need whole-corpus frequencies and
-    stay batch work.
+    Stateless: the centroids are a fixed model.
     """
     scores = C.embedding_scores(vectors, centroids, categories, doc)
     labelled = C.label_scores(scores, "sentence_transformer", categories)
