@@ -180,6 +180,16 @@ class KeyFilter:
         return KeyFilter(bits.view(np.uint8))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``rows`` at a time; what Arrow holds unused goes back when the task ends, as workers live on."""
+    try:
+        for batch in batches:
+            for lo in range(0, len(batch), rows):
+                yield batch.slice(lo, rows)
+    finally:
+        pa.default_memory_pool().release_unused()
+
+
 def cross_fold(column: str = "doc_id"):
     """Remainder by 3 of the CRC-32 of the id as text; 1 is held out of every training."""
     return F.crc32(F.col(column).cast("string")) % 3

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import LOWER_ASCII, KeyFilter, constants, keep, mix, span_hashes, spans, texts
+from reviewloom.llm.common import LOWER_ASCII, KeyFilter, constants, keep, mix, sliced, span_hashes, spans, texts
 
 #: Leading tokens in the tree; a shorter line has end marks for those it lacks.
 DEPTH = 3
@@ -56,8 +56,8 @@ def _before(flags: np.ndarray) -> np.ndarray:
 
 
 def _lines(column):
-    """Lines that have a token by runs of rows: rows, then by line: row within the run, number,
-    leaf, hash with digits variable, hash as it is, tokens, and where its tokens are among all tokens."""
+    """Lines that have a token by runs of rows: rows, then by line: row within the run, number, leaf, where its tokens are
+    among all tokens; then all tokens with digits variable, and as they are."""
     for t in texts(column, LOWER_ASCII):
         exact = span_hashes(t.data, t.begins, t.ends)
         word = exact.copy()
@@ -74,15 +74,17 @@ def _lines(column):
         for d in range(DEPTH):
             has = b - a > d
             leaf[has] += word[a[has] + d] * _LEAD[d]
-            leaf[~has] += _END * _LEAD[d]
-        if len(a):
-            # Each word by its place from the beginning of its line; words outside lines do not count.
-            at = np.arange(len(word)) - a[np.maximum(np.searchsorted(a, np.arange(len(word)), "right") - 1, 0)]
-            line, same = (mix((placed[b] - placed[a]) ^ leaf) for placed in (
-                _before_wrapping(mix(x + at.astype(np.uint64) * _LEAD[0])) for x in (word, exact)))
-        else:
-            line = same = leaf
-        yield t.rows, row, number, mix(leaf).view(np.int64), line.view(np.int64), mix(same ^ _SAME).view(np.int64), word, a, b
+            leaf[~has] += np.multiply(_END, _LEAD[d:d + 1])
+        yield t.rows, row, number, mix(leaf).view(np.int64), a, b, word, exact
+
+
+def _whole(leaf: np.ndarray, a: np.ndarray, b: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """A hash of each line ``[a, b)`` of tokens: each token by its place in the line."""
+    many = b - a
+    start = np.cumsum(many) - many
+    at = np.arange(int(many.sum()), dtype=np.int64) - np.repeat(start, many)
+    placed = _before_wrapping(mix(token[np.repeat(a, many) + at] + at.astype(np.uint64) * _LEAD[0]))
+    return mix((placed[start + many] - placed[start]) ^ leaf.view(np.uint64))
 
 
 def _before_wrapping(x: np.ndarray) -> np.ndarray:
@@ -92,11 +94,12 @@ def _before_wrapping(x: np.ndarray) -> np.ndarray:
 
 
 def _leaves(batches):
-    for batch in batches:
+    for batch in sliced(batches, 4096):
         out = []
-        for _, row, _, leaf, _, _, _, a, b in _lines(batch.column(0)):
+        for _, row, _, leaf, a, b, _, _ in _lines(batch.column(0)):
             if len(leaf):
-                out.append(np.unique(np.column_stack([row, leaf, b - a]), axis=0)[:, 1:])
+                _, at = np.unique(mix(leaf.view(np.uint64) + row.astype(np.uint64) * _LEAD[1]), return_index=True)
+                out.append(np.column_stack([leaf[at], (b - a)[at]]))
         if out:
             out = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1])], names=["leaf", "tokens"])
@@ -105,13 +108,15 @@ def _leaves(batches):
 def _candidates(passes: KeyFilter):
     """Distinct lines of every row in leaves that may recur: ``(row, leaf, line, same, numbers, tokens)``."""
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keys = batch.column(1).to_numpy()
-            for rows, row, number, leaf, line, same, word, a, b in _lines(batch.column(0)):
-                hit = np.flatnonzero(passes(leaf.view(np.uint64)))
-                if not len(hit):
+            for rows, row, number, leaf, a, b, word, exact in _lines(batch.column(0)):
+                hit = passes(leaf.view(np.uint64))
+                if not hit.any():
                     continue
-                order = hit[np.lexsort((number[hit], same[hit], row[hit]))]
+                row, number, leaf, a, b = (x[hit] for x in (row, number, leaf, a, b))
+                line, same = _whole(leaf, a, b, word).view(np.int64), mix(_whole(leaf, a, b, exact) ^ _SAME).view(np.int64)
+                order = np.lexsort((number, same, row))
                 new = np.concatenate([[True], (row[order][1:] != row[order][:-1]) | (same[order][1:] != same[order][:-1])])
                 first = order[new]
                 short = (word >> np.uint64(32)).astype(np.uint32).view(np.int32)
@@ -162,7 +167,7 @@ def _templates(distinct: DataFrame, min_documents: int) -> DataFrame:
 
 def _sketches(batches):
     """The least hash of every row's shingles in each of ``MINIMA`` parts; rows without a shingle are left out."""
-    for batch in batches:
+    for batch in sliced(batches):
         keys = batch.column(1).to_numpy()
         for t in texts(batch.column(0), LOWER_ASCII):
             word = span_hashes(t.data, t.begins, t.ends)
@@ -256,8 +261,17 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
     found = keep(lines.drop("tokens", "same").join(keys, ["leaf", "line"]).select(
         "row", "numbers", F.explode("keys").alias("key"), F.lit(min_documents).alias("needed")).unionByName(itself), "lines-members")
     shared = found.groupBy("key", "needed").agg(F.count_distinct("row").alias("documents")).where("documents >= needed")
-    common = found.join(shared.select("key"), "key")
-    sketches = rows.mapInArrow(_sketches, "row long, sketch binary").dropDuplicates(["row"])
+    common = keep(found.join(shared.select("key"), "key"), "lines-common")
+    # Only texts that share a line are compared.
+    named = KeyFilter.of(common, "row")
+
+    @F.pandas_udf("boolean")
+    def shares(row):
+        import pandas as pd
+
+        return pd.Series(named(row.to_numpy().view(np.uint64)))
+
+    sketches = rows.where(shares("row")).mapInArrow(_sketches, "row long, sketch binary").dropDuplicates(["row"])
     enough = min_documents + SPARE
     own = (common.select("key", "row").distinct().join(sketches, "row").mapInArrow(_unlike(enough), "key long, sketch binary")
            .groupBy("key").agg(F.collect_list("sketch").alias("sketches"))
@@ -279,7 +293,10 @@ def drop_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str
     columns = [c for c in documents.columns if c != dropped]
     rows = documents.select(*columns).withColumn("__row", F.xxhash64(id_column, text_column)).join(
         gone.withColumnsRenamed({"row": "__row", "numbers": "__gone"}), "__row", "left")
-    text = F.array_join(F.filter(F.split(text_column, "\n", -1), lambda _, k: ~F.array_contains("__gone", k)), "\n")
+    rows = rows.withColumn("__lines", F.split(text_column, "\n", -1))
+    # Set difference of line numbers and one look-up a line, however many lines go.
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__lines") - 1), F.col("__gone"))
+    text = F.array_join(F.transform(kept, lambda k: F.get("__lines", k)), "\n")
     text = F.when(F.col("__gone").isNull() | F.col(text_column).isNull(), F.col(text_column)).otherwise(text)
     return rows.select(*[text.alias(c) if c == text_column else F.col(c) for c in columns],
                        F.coalesce(F.size("__gone"), F.lit(0)).alias(dropped))
