@@ -4,9 +4,9 @@ from __future__ import annotations
 
 
 def _modules():
-    from reviewloom.catalog import summary_queries, text_queries, vector_queries
+    from reviewloom.catalog import run_queries, summary_queries, text_queries, vector_queries
 
-    return [text_queries, vector_queries, summary_queries]
+    return [text_queries, vector_queries, summary_queries, run_queries]
 
 
 def queries() -> dict:

@@ -394,6 +394,20 @@ def micro_clusters(spark, sf_dir):
     return rows.select("vec_id", "micro_id", "review_count")
 
 
+@register("micro_cluster_checks", """
+SELECT count(*) AS n_rows, CAST(sum(1 + vec_id % 3) AS BIGINT) AS total_weight,
+       CAST(greatest(12, least(384, floor(sqrt(count(*) / 2)))) AS INTEGER) AS k, true AS numbers_below_k, true AS most_numbers_used
+FROM embeddings""")
+def micro_cluster_checks(spark, sf_dir):
+    rows = I.materialize(L.micro_clusters(blocks_of(spark, sf_dir).withColumn("vector", F.col("semantic"))).select(
+        "vec_id", "micro_id", "review_count"), "micro")
+    k = L.micro_count(rows.count())
+    sizes = rows.groupBy("micro_id").agg(F.count("*").alias("n"), F.sum("review_count").alias("weight"))
+    return sizes.agg(
+        F.sum("n").alias("n_rows"), F.sum("weight").alias("total_weight"), F.lit(k).alias("k"),
+        ((F.min("micro_id") >= 0) & (F.max("micro_id") < k)).alias("numbers_below_k"), (F.count("*") > 0.9 * k).alias("most_numbers_used"))
+
+
 @register("community_model_selection")
 def community_model_selection(spark, sf_dir):
     _, sizes, edges = micro_graph_of(spark, sf_dir)
