@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import IS_SPACE, constants, cross_fold, mix, sample, span_hashes, spans, texts
+from reviewloom.llm.common import IS_SPACE, constants, cross_fold, mix, sample, sliced, span_hashes, spans, texts
 
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SYMBOLS = np.zeros(256, bool)
@@ -54,7 +54,7 @@ def with_statistics(documents: DataFrame, id_column: str = "doc_id", text_column
     kind = dict(documents.dtypes)[id_column]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             got = statistics(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), *[pa.array(got[f]) for f in FEATURES], batch.column(2)], names=["id", *FEATURES, "key"])
@@ -97,10 +97,11 @@ class DecisionList(NamedTuple):
 
 
 def learn(values: dict[str, np.ndarray], good: np.ndarray, max_rules: int = 24, max_conditions: int = 4,
-          min_precision: float = 0.9, min_cover: int = 5, seed: int = 7) -> DecisionList:
+          min_precision: float = 0.9, min_cover: int = 5, seed: int = 7, key: np.ndarray | None = None) -> DecisionList:
     """Sequential covering of the bad rows.
 
-    A rule is grown on two thirds of the rows that no rule holds for yet, by the threshold of the largest
+    A rule is grown on two thirds of the rows (by a hash of ``key``, where one is given, so that the order of the rows does not
+    matter) that no rule holds for yet, by the threshold of the largest
     information gain, then pruned on the last third: final conditions go while the worth (bad - good) / covered does
     not fall. It is kept if at least ``min_precision`` of what it covers in both parts is bad. A list that finds no
     rule, or has no labels, passes everything.
@@ -108,7 +109,11 @@ def learn(values: dict[str, np.ndarray], good: np.ndarray, max_rules: int = 24,
     names = list(values)
     x = np.column_stack([values[n] for n in names]) if len(good) else np.zeros((0, len(names)))
     bad = ~np.asarray(good, bool)
-    grow = np.random.default_rng(seed).random(len(bad)) < 2 / 3
+    if key is None:
+        grow = np.random.default_rng(seed).random(len(bad)) < 2 / 3
+    else:
+        with np.errstate(over="ignore"):
+            grow = mix(mix(np.asarray(key, np.uint64)) + constants(seed, 79)[-1]) % np.uint64(3) < 2
     left = np.ones(len(bad), bool)
     rules: list[Rule] = []
 
@@ -182,8 +187,10 @@ def learn_rules(stats: DataFrame, labels: DataFrame, id_column: str = "doc_id",
     given = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("__label")).where(
         F.col("__label").isNotNull() & (cross_fold("id") != 1))
     rows = (sample(stats.join(given, "id"), max_labelled, "key", "__label")
-            .select(*[v.alias(n) for n, v in ratios().items()], "__label")).toArrow()
-    return learn({n: rows[n].to_numpy() for n in ratios(F.col)}, rows["__label"].to_numpy() == 1, **options)
+            .select(*[v.alias(n) for n, v in ratios().items()], "__label", "key")).toArrow()
+    good, key = rows["__label"].to_numpy() == 1, rows["key"].to_numpy().view(np.uint64)
+    # A text that is labelled both ways lies in one part with each label by itself.
+    return learn({n: rows[n].to_numpy() for n in ratios(F.col)}, good, key=key ^ good.astype(np.uint64), **options)
 
 
 def quality_verdicts(documents: DataFrame, labels: DataFrame, id_column: str = "doc_id",

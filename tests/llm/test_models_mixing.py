@@ -218,6 +218,15 @@ def test_verdicts(spark):
     assert empty.count() == 0
 
 
+def test_rules_do_not_depend_on_the_order_of_the_rows(spark):
+    rng = random.Random(8)
+    rows = [(k, " ".join(rng.choice(["a", "bb", "###", "long" * 3]) for _ in range(rng.randrange(40, 160))), None, None) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(rng.random() < 0.3 or len(t) % 7 > 3)) for k, t, _, _ in rows], "doc_id long, quality int")
+    lists = [quality.learn_rules(quality.with_statistics(docs(spark, rows).repartition(n)), labels.repartition(n), min_precision=0.5)
+             for n in (1, 5, 13)]
+    assert lists[0] == lists[1] == lists[2] and lists[0].rules
+
+
 # ---- languages
 
 def test_languages(spark):
