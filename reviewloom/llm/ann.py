@@ -143,7 +143,7 @@ def _vectors(table: DataFrame, id_column: str, vector_column: str) -> DataFrame:
 
 def build_index(table: DataFrame, id_column: str = "vec_id", vector_column: str = "embedding", equal: int = 11,
                 shard_nodes: int = SHARD_NODES) -> DataFrame:
-    """``(shard, width, nodes, ids, vectors, graph, start)``: one row per shard and vector length.
+    """``(shard, width, nodes, equal, ids, held, vectors, graph, start)``: one row per shard and vector length.
 
     Every usable row is in it: a node stands for all rows of one vector and names the ``equal`` smallest ids of them,
     which is what a search for ``equal - 1`` neighbours can return (ties go to the smaller id). Null and unusable
@@ -162,23 +162,28 @@ def build_index(table: DataFrame, id_column: str = "vec_id", vector_column: str
         for k, own in enumerate(group["ids"]):
             ids[k, :len(own)] = own
             held[k, :len(own)] = True
-        graph, start = build_graph(x)
-        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "width": [x.shape[1]], "nodes": [len(x)], "ids": [ids.tobytes()],
+        # Distances in the graph are single-precision: numbers of any size are brought to 1 first.
+        graph, start = build_graph(x / np.abs(x).max())
+        return pd.DataFrame({"shard": [group["shard"].iloc[0]], "width": [x.shape[1]], "nodes": [len(x)], "equal": [equal], "ids": [ids.tobytes()],
                              "held": [np.packbits(held).tobytes()], "vectors": [x.tobytes()], "graph": [graph.tobytes()], "start": [start]})
 
     dealt = nodes.select(F.pmod(F.xxhash64("vector"), F.lit(shards)).alias("shard"), F.size("vector").alias("width"),
                          F.get("ids", F.lit(0)).alias("first"), "vector", "ids")
     return keep(dealt.groupBy("shard", "width").applyInPandas(
-        build, "shard long, width long, nodes long, ids binary, held binary, vectors binary, graph binary, start long"), "ann-index")
+        build, "shard long, width long, nodes long, equal long, ids binary, held binary, vectors binary, graph binary, start long"), "ann-index")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding",
-           beam: int = BEAM, equal: int = 11, block: int = QUERY_BLOCK) -> DataFrame:
+           beam: int = BEAM, block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the ``k`` nearest found to each usable query, its own id left out.
 
     ``score`` is the Euclidean distance in double precision on the original vectors; ties go to the smaller id. Queries go in
-    blocks, so neither side of a task grows with their number.
+    blocks, so neither side of a task grows with their number. A ``k`` for which the index holds too few ids of equal vectors is an
+    error: build it with ``equal`` of ``k + 1`` at least.
     """
+    held = index.agg(F.min("equal")).first()[0]
+    if held is not None and k >= held:
+        raise ValueError(f"the index names {held} rows of a vector; {k} neighbours need {k + 1}")
     asked = keep(_vectors(queries, id_column, vector_column).dropDuplicates(["id", "vector"]), "ann-queries")
     blocks = max(1, -(-asked.count() // block))
     asked = asked.select("id", "vector", F.size("vector").cast("long").alias("width"),
@@ -193,12 +198,15 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10, id_column: str = "
         if len(part) and len(own):
             row = part.iloc[0]
             x = np.frombuffer(row["vectors"], np.float64).reshape(row["nodes"], row["width"])
+            equal = int(row["equal"])
             ids = np.frombuffer(row["ids"], np.int64).reshape(row["nodes"], equal)
             held = np.unpackbits(np.frombuffer(row["held"], np.uint8), count=ids.size).reshape(ids.shape).astype(bool)
             graph = np.frombuffer(row["graph"], np.int32).reshape(row["nodes"] + 1, -1)
-            single = x.astype(np.float32)
+            scale = np.abs(x).max()
+            single = (x / scale).astype(np.float32)
             q = np.array(own["vector"].tolist(), np.float64)
-            found, _ = _search(single, (single * single).sum(1), graph, int(row["start"]), q.astype(np.float32), beam)
+            found, _ = _search(single, (single * single).sum(1), graph, int(row["start"]),
+                               np.clip(q / scale, -1e9, 1e9).astype(np.float32), beam)
             for k_, (near, query) in enumerate(zip(found, own["id"])):
                 near = near[near >= 0]
                 exact = np.sqrt(((x[near] - q[k_]) ** 2).sum(1))
