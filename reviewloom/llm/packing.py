@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,15 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import keep
+from reviewloom.llm.common import keep, sliced
 
 CAPACITY = 4096
 END_ID = 1
 #: Ranges the pieces of one length are numbered in, so that a frequent length is not one task's work.
 DEALT = 64
-#: Search nodes after which the best packing so far is taken, and fillings tried per node.
-NODES, FILLINGS = 4_000, 8
-#: Distinct words whose ids a Python worker remembers.
+#: Steps of the search (fillings tried, and items tried for them) once a first packing is known; then the best so far is taken.
+NODES = 200_000
+#: Distinct words whose ids a task remembers.
 REMEMBERED = 200_000
 
 
@@ -31,7 +32,8 @@ class Words(dict):
     Sound for tokenizers whose pre-tokenizer never joins across ASCII white space and drops it: the ids of a text are those
     of its words one after another. A word is put through the tokenizer itself when it is met, unless it is a Latin
     letter run in another case or before punctuation, for a tokenizer that ignores case and parts letters from
-    punctuation; ``REMEMBERED`` words are remembered, the first met, which hold the frequent ones.
+    punctuation. A lower-case Latin letter run is handed to the tokenizer's model at once, where the steps before the model do
+    nothing to it. ``REMEMBERED`` words are remembered, the first met, which hold the frequent ones, for as long as the task runs.
     """
 
     def __init__(self, path: str):
@@ -42,9 +44,27 @@ class Words(dict):
         # Letters parted from punctuation, case ignored: checked on the tokenizer rather than assumed.
         parts = self.tokenizer.encode_batch(["Ab", "ab", "ab,.", ",."], add_special_tokens=False)
         self.simple = parts[0].ids == parts[1].ids and parts[2].ids == parts[1].ids + parts[3].ids
+        # Bytes as the letters that a byte-level model knows them by: printable ones are their own, the others follow from 256 on.
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = iter(range(256, 512))
+        self.letters = {b: chr(b if b in own else next(rest)) for b in range(256)}
+        self.model = self.tokenizer.model
+        # Checked on the tokenizer as well, on words of one and several parts and letters of one and two bytes.
+        some = ["a", "the", "through", "hyperbolically", "xqzvwk", "été", "straße", "größenordnungsmäßig", "ñandú", "ÿ", "ª", "µ"]
+        self.direct = all(self._modelled(w) == self._encoded(w) for w in some)
+
+    def _encoded(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
+    def _modelled(self, word: str) -> bytes:
+        if not word.isascii():
+            word = "".join(map(self.letters.__getitem__, word.encode()))
+        return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _encode(self, word: str) -> bytes:
-        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        if self.direct and word.isalpha() and word.islower() and (word.isascii() or all("\xdf" <= c <= "\xff" for c in word if c > "z")):
+            return self._modelled(word)
+        return self._encoded(word)
 
     def __missing__(self, word: str) -> bytes:
         out = self._composed(word)
@@ -72,15 +92,6 @@ class Words(dict):
         return b"".join(map(self.__getitem__, text.split(" ")))
 
 
-_WORDS: dict[str, Words] = {}
-
-
-def words_of(path: str) -> Words:
-    if path not in _WORDS:
-        _WORDS[path] = Words(path)
-    return _WORDS[path]
-
-
 def cut_pieces(documents: DataFrame, tokenizer: str, id_column: str = "doc_id", text_column: str = "text",
                capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """``(id, row, piece, start, length, ids_crc32[, ids])``: every document's ids and one end mark, cut only if longer
@@ -91,31 +102,29 @@ def cut_pieces(documents: DataFrame, tokenizer: str, id_column: str = "doc_id",
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode = words_of(tokenizer)
+        encode = Words(tokenizer)
         mark = np.array([END_ID], "<u4").tobytes()
-        for batch in batches:
-            for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                at, piece, start, length, crc, ids = [], [], [], [], [], []
-                for k, text in enumerate(part.column(2)):
-                    own = encode.ids(text.as_py() or "") + mark
-                    for number, first in enumerate(range(0, len(own), 4 * capacity)):
-                        cut = own[first:first + 4 * capacity]
-                        at.append(k)
-                        piece.append(number)
-                        start.append(first // 4)
-                        length.append(len(cut) // 4)
-                        crc.append(zlib.crc32(cut))
-                        if with_ids:
-                            ids.append(np.frombuffer(cut, "<u4").astype(np.int32))
-                columns = [part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64())),
-                           pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
-                           pa.array(crc, pa.int64())]
-                names = ["id", "row", "piece", "start", "length", "ids_crc32"]
-                if with_ids:
-                    columns.append(pa.array(ids, pa.list_(pa.int32())))
-                    names.append("ids")
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part in sliced(batches, 512):
+            at, piece, start, length, crc, ids = [], [], [], [], [], []
+            for k, text in enumerate(part.column(2)):
+                own = encode.ids(text.as_py() or "") + mark
+                for number, first in enumerate(range(0, len(own), 4 * capacity)):
+                    cut = own[first:first + 4 * capacity]
+                    at.append(k)
+                    piece.append(number)
+                    start.append(first // 4)
+                    length.append(len(cut) // 4)
+                    crc.append(zlib.crc32(cut))
+                    if with_ids:
+                        ids.append(np.frombuffer(cut, "<u4").astype(np.int32))
+            columns = [part.column(0).take(pa.array(at, pa.int64())), part.column(1).take(pa.array(at, pa.int64())),
+                       pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                       pa.array(crc, pa.int64())]
+            names = ["id", "row", "piece", "start", "length", "ids_crc32"]
+            if with_ids:
+                columns.append(pa.array(ids, pa.list_(pa.int32())))
+                names.append("ids")
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = f"id {kind}, row long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
     return documents.select(F.col(id_column).alias("id"), F.xxhash64(id_column, text_column).alias("row"),
@@ -159,24 +168,51 @@ def _complete(counts: _Counts, filling: list[int], capacity: int) -> list[int]:
     return filling
 
 
-def _fillings(counts: _Counts, first: int, capacity: int, most: int) -> list[list[int]]:
-    """Undominated fillings around ``first``, least waste first.
+class _Budget:
+    """Steps that may still be taken."""
+
+    def __init__(self, steps: int):
+        self.left = steps
+
+    def spend(self) -> bool:
+        self.left -= 1
+        return self.left >= 0
+
+
+def _rests(counts: _Counts, room: int, longest: int, least: int, budget: _Budget) -> Iterator[list[int]]:
+    """Sets of items left, none longer than ``longest``, that fill ``room`` but for at most ``least`` and leave no item that still fits."""
+    length = counts.at_most(min(room, longest))
+    if not length and room <= least and not counts.at_most(room):
+        yield []
+    while length:
+        for many in range(min(room // length, counts.n[length]), 0, -1):
+            if not budget.spend():
+                return
+            counts.add(length, -many)
+            for rest in _rests(counts, room - many * length, length - 1, least, budget):
+                yield [length] * many + rest
+            counts.add(length, many)
+        length = counts.at_most(length - 1)
 
-    Each takes a different second item, the ``most`` largest that fit, and fills the rest with the best fit. A filling
-    is dominated by another of as many items that are at least as long each.
+
+def _fillings(counts: _Counts, first: int, capacity: int, slack: int, but: list[int], budget: _Budget) -> Iterator[list[int]]:
+    """Undominated fillings around ``first`` that waste at most ``slack``, one at a time, but for one that was tried.
+
+    ``counts`` is this search's own. Waste is let up in steps (0, 1, 3, 7, ..), so a filling of one step comes before those of later
+    ones. A filling is dominated by an earlier one of as many items that are at least as long each.
     """
     counts.add(first, -1)
-    seconds, second = [], counts.at_most(capacity - first)
-    while second and len(seconds) < most:
-        seconds.append(second)
-        second = counts.at_most(second - 1)
-    counts.add(first, 1)
-    found = {tuple(sorted(_complete(counts, [first, x], capacity), reverse=True)) for x in seconds} or {(first,)}
-    kept: list[list[int]] = []
-    for f in sorted(found, key=lambda f: (capacity - sum(f), len(f), f)):
-        if not any(len(g) == len(f) and all(x >= y for x, y in zip(g, f)) for g in kept):
-            kept.append(list(f))
-    return kept
+    kept = [but]
+    below, limit = -1, 0
+    while below < slack and budget.left > 0:
+        limit = min(limit, slack)
+        for rest in _rests(counts, capacity - first, first, limit, budget):
+            filling = [first, *rest]
+            if capacity - sum(filling) > below and not any(
+                    len(g) == len(filling) and all(x >= y for x, y in zip(g, filling)) for g in kept):
+                kept.append(filling)
+                yield filling
+        below, limit = limit, 2 * limit + 1
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:
@@ -201,73 +237,67 @@ def bin_completion(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NO
 
     Branch and bound: the sequence of the largest item left is filled in each undominated way, used as often as the
     counts allow; a branch ends when its sequences and the waste bound of what is left cannot beat the
-    incumbent. The first branch is always the best fit, so the first solution is best-fit decreasing; the
-    search ends early at the lower bound, or after ``nodes`` steps with the incumbent.
+    incumbent. The first descent is the best fit, so the first solution is best-fit decreasing; it is free. From then on
+    the last levels are undone first, their fillings come one at a time with the least waste first, and the search ends at the lower
+    bound or after ``nodes`` steps, with the best packing found. The steps do not depend on the number of items.
     """
     counts = np.asarray(counts, np.int64)
     total = int((counts * np.arange(len(counts))).sum())
     floor = lower_bound(counts, capacity)
     state = _Counts(counts.copy())
-    best: list[tuple[list[int], int]] | None = None
-    best_bins = np.inf
-    spent = 0
-
-    def largest() -> int:
-        return state.at_most(capacity)
+    best: list[tuple[list[int], int]] = []
+    best_bins: float = np.inf
+    budget = _Budget(nodes)
+    #: Per level: its filling and how often it is used, the length it is built around, and its other fillings once asked for.
+    stack: list[list] = []
+    bins, left = 0, total
 
-    def times(filling: list[int]) -> int:
-        use: dict[int, int] = {}
+    def use(level: list, filling: list[int]) -> None:
+        nonlocal bins, left
+        need: dict[int, int] = {}
         for x in filling:
-            use[x] = use.get(x, 0) + 1
-        return min(state.n[x] // c for x, c in use.items())
-
-    def take(filling: list[int], t: int) -> None:
+            need[x] = need.get(x, 0) + 1
+        t = min(state.n[x] // c for x, c in need.items())
         for x in filling:
             state.add(x, -t)
+        level[0], level[1] = filling, t
+        bins, left = bins + t, left - t * sum(filling)
 
-    # An explicit stack: each level has its untried fillings and the one in use.
-    stack: list[list] = []
-    bins, left = 0, total
-    done = False
-    while not done:
-        first = largest()
+    def undo(level: list) -> None:
+        nonlocal bins, left
+        for x in level[0]:
+            state.add(x, level[1])
+        bins, left = bins - level[1], left + level[1] * sum(level[0])
+
+    while True:
+        first = state.at_most(capacity)
         if not first:
             if bins < best_bins:
-                best, best_bins = [(f[1], f[2]) for f in stack], bins
-            if best_bins <= floor:
-                break
-        elif bins + -(-left // capacity) < best_bins:
-            options = [_complete(state, [first], capacity)]
-            if best is not None:
-                options += [f for f in _fillings(state, first, capacity, FILLINGS) if sorted(f) != sorted(options[0])]
-            stack.append([options[1:], options[0], 0, best is None])
-            t = times(options[0])
-            stack[-1][2] = t
-            take(options[0], t)
-            bins, left = bins + t, left - t * sum(options[0])
-            spent += 1
-            if spent <= nodes or best is None:
-                continue
-        # Back to the last level with another filling.
-        while True:
-            if not stack or spent > nodes:
-                done = True
-                break
+                best, best_bins = [(f, t) for f, t, _, _ in stack], bins
+        elif bins + -(-left // capacity) < best_bins and (not best or budget.spend()):
+            level = [None, 0, first, None]
+            use(level, _complete(state, [first], capacity))
+            stack.append(level)
+            continue
+        if best_bins <= floor:
+            return best
+        # Back to the last level that has another filling.
+        while stack:
             level = stack[-1]
-            take(level[1], -level[2])
-            bins, left = bins - level[2], left + level[2] * sum(level[1])
-            if level[3]:  # the first descent tried the best fit alone
-                level[0] = [f for f in _fillings(state, largest(), capacity, FILLINGS) if sorted(f) != sorted(level[1])]
-                level[3] = False
-            if level[0]:
-                level[1] = level[0].pop(0)
-                level[2] = t = times(level[1])
-                take(level[1], t)
-                bins, left = bins + t, left - t * sum(level[1])
-                spent += 1
+            undo(level)
+            if budget.left <= 0:
+                return best
+            if level[3] is None:
+                # What a better packing may waste in all, from this level on.
+                slack = int(best_bins - 1 - bins) * capacity - left
+                level[3] = _fillings(_Counts(state.n), level[2], capacity, min(slack, capacity - level[2]), level[0], budget) if slack >= 0 else iter(())
+            other = next(level[3], None)
+            if other is not None:
+                use(level, other)
                 break
             stack.pop()
-    return best or []
+        if not stack:
+            return best
 
 
 class Layout:
