@@ -7,7 +7,6 @@ needs a collision among 2**64 values).
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reviewloom.session import scratch_folder
+from reviewloom.session import materialize
 
 #: Bytes of text that one round of array work covers; a longer text is taken by itself.
 CHUNK_BYTES = 1 << 18
@@ -212,10 +211,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def keep(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends at a table that survives lost executors."""
-    spark = df.sparkSession
-    path = f"{scratch_folder(spark).rstrip('/')}/reviewloom/llm-{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return materialize(df, f"llm-{label}")
 
 
 def arrow(rows: dict[str, np.ndarray | list], types: dict[str, pa.DataType]) -> pa.RecordBatch:

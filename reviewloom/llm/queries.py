@@ -19,6 +19,8 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component and set size of every document. Null and wordless texts have no shingles and stand alone; repeated rows
+    come each, linked; an empty table gives no rows."""
     from reviewloom.llm import ngram_join
 
     return ngram_join.similar_components(table(spark, sf_dir, "documents")).select(
@@ -26,6 +28,8 @@ def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation read back from its formatted string. Null texts and roles are empty, ties go by role and text,
+    rows without a conversation are one of their own; an empty table leaves the added conversation."""
     from reviewloom.llm import chat
 
     said = "\\### Assistant: </turn> ok"
@@ -42,6 +46,8 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document. Null and empty texts score as texts without words; repeated rows score alike; without
+    labels of both classes all scores are the same low one; an empty table gives no rows."""
     from reviewloom.llm import toxicity
 
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).select(
@@ -49,6 +55,8 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document. Null texts stay null (null hash), empty ones empty; repeated rows are treated alike;
+    an empty table gives no rows."""
     from reviewloom.llm import line_dedup
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -58,6 +66,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest of each query found. Null, empty, zero and non-finite vectors take no part; ties go to the smaller
+    id; repeated rows count once; an empty table gives no rows."""
     from reviewloom.llm import ann
 
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
@@ -65,6 +75,8 @@ def op5_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slot and shard of every document. A null id has a place like any other; repeated rows share theirs; an empty table
+    gives no rows."""
     from reviewloom.llm import sharding
 
     documents = table(spark, sf_dir, "documents").select("doc_id")
@@ -72,6 +84,8 @@ def op6_maglev_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document with its place. Null text is empty: the end mark alone; repeated rows are packed each;
+    an empty table gives no rows."""
     from reviewloom.llm import packing
 
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path()).select(
@@ -79,12 +93,16 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document. Null and empty texts have no words and fail; repeated rows get equal
+    verdicts; without labels nothing but the base rules fails; an empty table gives no rows."""
     from reviewloom.llm import quality
 
     return quality.quality_verdicts(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document. ``und`` where the text is null or has no letter, and without any label; ties go to the
+    smaller name; repeated rows get equal results; an empty table gives no rows."""
     from reviewloom.llm import langid
 
     documents = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -92,6 +110,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words the mix takes of every document. Null texts have size 0; a null source comes last; repeated rows are documents
+    of their own; an empty table gives no rows."""
     from reviewloom.llm import mixing
 
     used, sources = mixing.mix_sources(table(spark, sf_dir, "documents"))
