@@ -38,13 +38,19 @@ def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents of toxicity score 0.7 or more."""
+    """Without the documents of toxicity score 0.7 or more.
+
+    Null and empty texts score as texts without words; repeated rows go or stay together; an empty table stays empty.
+    """
     scores = toxicity.toxicity_scores(docs, table(spark, sf_dir, "labels"))
     return _without(docs, scores.where("predicted = 1"))
 
 
 def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without recurring lines; ``n_chars`` follows the text. Every document stays."""
+    """Texts without recurring lines; ``n_chars`` follows the text. Every document stays.
+
+    Null texts stay null, empty ones empty; a text that loses all its lines becomes empty; repeated rows are treated alike.
+    """
     out = line_dedup.drop_lines(docs.select(*COLUMNS))
     return out.withColumn("n_chars", F.when(F.col("dropped_lines") > 0, F.length("text").cast("long")).otherwise(
         F.col("n_chars"))).select(*COLUMNS)
@@ -71,7 +77,11 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix uses it."""
+    """Each document as often as the mix uses it.
+
+    Texts without words (null ones too) take part with size 0; repeated rows are one document and used alike; a null source
+    comes last; an empty table stays empty.
+    """
     used, _ = mixing.mix_sources(docs)
     uses = used.select(F.col("id"), F.col("seeded"), F.col("repeats")).where("repeats > 0")
     uses = keep(uses.groupBy("seeded").agg(F.max("repeats").alias("repeats")), "pipeline-uses")
@@ -81,7 +91,10 @@ def mix_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences of at most 4,096 tokens."""
+    """The pieces of all documents with their sequences of at most 4,096 tokens.
+
+    A null text is empty: its end mark alone. Repeated rows are packed each; no documents, no pieces.
+    """
     return packing.pack_documents(docs, tokenizer_path())
 
 
