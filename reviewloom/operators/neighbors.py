@@ -26,6 +26,8 @@ from reviewloom.session import materialize
 
 BLOCK_ROWS = 1024
 MAX_PIVOTS = 256
+#: Blocks up to which the nearest neighbours are looked for in all of them.
+FEW_BLOCKS = 8
 #: Tables of random projections at most; a copy of every row goes to each.
 MAX_TABLES = 48
 
@@ -385,7 +387,8 @@ def knn_join(points: DataFrame, k: int = 8, block_rows: int = BLOCK_ROWS) -> Dat
     unit = materialize(points.where(F.col("vector").isNotNull()).select(
         "group_key", "id", V.l2_normalize(F.col("vector")).alias("vector")), "knn-unit")
     n = unit.count()
-    if n // block_rows < 2:
+    if n < FEW_BLOCKS * block_rows:
+        # Too few blocks for a cell to be worth leaving out.
         return _nearest(block_map(triangles(unit.withColumn("cell", F.lit(0)), block_rows), inside, schema), k)
     pivots = pick_pivots(unit, n, block_rows)
     placed = knn_placed(unit, pivots)

@@ -383,8 +383,13 @@ def phrase_matches(df: DataFrame, phrases: dict[str, list[str]], doc: str = "rev
     rows = rows.select(doc, "_w", begins.alias("_i"))
 
     def grams_of(n: int) -> Column:
-        said = F.transform("_i", lambda i: F.struct(i.alias("at"), F.array_join(F.slice("_w", i + 1, F.lit(n)), " ").alias("term")))
-        return F.filter(said, lambda g: g["term"].isin([p for p in terms if p.count(" ") == n - 1]))
+        own = [p.split(" ") for p in terms if p.count(" ") == n - 1]
+        # The first two words decide nearly always, before a string is built.
+        begins = F.filter("_i", lambda i: reduce(lambda a, b: a & b, [
+            F.get("_w", i + k).isin(list(dict.fromkeys(p[k] for p in own))) for k in range(min(n, 2))]))
+        said = F.transform(begins, lambda i: F.struct(
+            i.alias("at"), (F.get("_w", i) if n == 1 else F.array_join(F.slice("_w", i + 1, F.lit(n)), " ")).alias("term")))
+        return said if n == 1 else F.filter(said, lambda g: g["term"].isin([" ".join(p) for p in own]))
 
     lengths = sorted({n for _, n, _ in listed.values()})
     grams = F.concat(*[F.coalesce(grams_of(n), empty) for n in lengths]) if lengths else empty
