@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import LOWER_ASCII, NOT_LETTER, KeyFilter, constants, cross_fold, keep, mix, span_hashes, texts
+from reviewloom.llm.common import LOWER_ASCII, NOT_LETTER, KeyFilter, constants, cross_fold, keep, mix, sliced, span_hashes, texts
 
 DISCOUNT = 0.75
 CUT = 5
@@ -66,17 +66,35 @@ def _pair(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * _PAIR[0] + word * _PAIR[1])
 
 
+#: Pairs that a task adds up before it sends them.
+SUMMED = 1 << 18
+
+
 def _count_pairs(batches):
-    """Word pairs with their counts, toxic above ordinary in one number, summed over some rows at a time."""
-    for batch in batches:
+    """Word pairs with their counts, toxic above ordinary in one number, summed over some ``SUMMED`` pairs at a time."""
+    held, many = [], 0
+
+    def summed():
+        before, word, count = (np.concatenate(c) for c in zip(*held))
+        _, at, to = np.unique(_pair(before, word), return_index=True, return_inverse=True)
+        total = np.zeros(len(at), np.int64)
+        np.add.at(total, to, count)
+        return before[at], word[at], total
+
+    def sent(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in rows], names=["u", "w", "n"])
+
+    for batch in sliced(batches):
         toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for t in _words(batch.column(0)):
             one = np.repeat(np.where(toxic[t.rows.start:t.rows.stop] == 1, 1 << 32, 1), np.diff(t.first))
-            _, at, to = np.unique(_pair(t.before, t.word), return_index=True, return_inverse=True)
-            total = np.zeros(len(at), np.int64)
-            np.add.at(total, to, one)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c.view(np.int64)) for c in (t.before[at], t.word[at], total)], names=["u", "w", "n"])
+            held.append((t.before, t.word, one))
+            many += len(one)
+            if many >= SUMMED:
+                yield sent(summed())
+                held, many = [], 0
+    if many:
+        yield sent(summed())
 
 
 def _pair_key():
@@ -153,7 +171,7 @@ def _ratios(documents: DataFrame, weights: DataFrame, rest: float, head: int) ->
     may = KeyFilter.of(rare, "key") if rare is not None else None
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             rows = len(batch)
             n, total = np.zeros(rows, np.int64), np.zeros(rows)
             top, opened = [[]] * rows, [[]] * rows
@@ -245,19 +263,21 @@ def toxicity_scores(documents: DataFrame, labels: DataFrame, id_column: str = "d
                             F.col(text_column).alias("text"))
     given = labels.select(F.col(id_column).alias("id"), F.col(label).cast("int").alias("label")).where(
         F.col("label").isNotNull() & F.col("id").isNotNull() & (cross_fold("id") != 1))
-    may = KeyFilter.of(given.select(F.xxhash64("id").alias("key")), "key")
-
-    @F.pandas_udf("boolean")
-    def labelled(key):
-        import pandas as pd
-
-        return pd.Series(may(key.to_numpy().view(np.uint64)))
-
+    candidates = rows.where(~F.col("held_out") & F.col("id").isNotNull())
     # Labels go to the texts while they are small; beyond that only rows that may have a label move.
     if given.count() <= SENT_LABELS:
         given = F.broadcast(given)
-    training = (rows.where(~F.col("held_out") & F.col("id").isNotNull()).where(labelled(F.xxhash64("id")))
-                .join(given, "id").withColumn("part", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(LEFT_OUT))))
+    else:
+        may = KeyFilter.of(given.select(F.xxhash64("id").alias("key")), "key")
+
+        @F.pandas_udf("boolean")
+        def labelled(key):
+            import pandas as pd
+
+            return pd.Series(may(key.to_numpy().view(np.uint64)))
+
+        candidates = candidates.where(labelled(F.xxhash64("id")))
+    training = (candidates.join(given, "id").withColumn("part", F.pmod(F.xxhash64("text", F.lit(5)), F.lit(LEFT_OUT))))
     # Equal texts are on one side; what the fit does not use is counted.
     many = training.where("part = 0").count()
     bound = (1 << 40) if many <= FITTED else int((1 << 40) * FITTED / many)
