@@ -7,6 +7,7 @@ needs a collision among 2**64 values).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -171,6 +172,7 @@ class KeyFilter:
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(used + lo // 8, pa.int64()), pa.array(words[used], pa.int64())],
                         names=["at", "word"])
+            give_back()
 
         merged = (keys.select(F.col(column).cast("long")).mapInArrow(build, "at long, word long")
                   .groupBy("at").agg(F.bit_or("word").alias("word"))).toArrow()
@@ -180,13 +182,21 @@ class KeyFilter:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    """The same rows, at most ``rows`` at a time; what Arrow holds unused goes back when the task ends, as workers live on."""
+    """The same rows, at most ``rows`` at a time; what the allocators hold unused goes back when the task ends, as workers live on."""
     try:
         for batch in batches:
             for lo in range(0, len(batch), rows):
                 yield batch.slice(lo, rows)
     finally:
-        pa.default_memory_pool().release_unused()
+        give_back()
+
+
+def give_back() -> None:
+    """Return free memory to the system, where the C library can; a worker that waits for its next task needs none."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def cross_fold(column: str = "doc_id"):

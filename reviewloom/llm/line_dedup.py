@@ -165,29 +165,36 @@ def _templates(distinct: DataFrame, min_documents: int) -> DataFrame:
             "group", F.when(F.col("taken"), F.xxhash64("group")).otherwise(F.xxhash64("group", "split.at", token))).drop("split", "member", "taken")
 
 
-def _sketches(batches):
-    """The least hash of every row's shingles in each of ``MINIMA`` parts; rows without a shingle are left out."""
-    for batch in sliced(batches):
-        keys = batch.column(1).to_numpy()
-        for t in texts(batch.column(0), LOWER_ASCII):
-            word = span_hashes(t.data, t.begins, t.ends)
-            many = np.maximum(np.diff(t.first) - SHINGLE + 1, 0)
-            has = np.flatnonzero(many)
-            if not len(has):
-                continue
-            row = np.repeat(np.arange(len(has)), many[has])
-            at = np.arange(len(row)) + np.repeat(t.first[has] - (np.cumsum(many[has]) - many[has]), many[has])
-            total = np.zeros(len(at), np.uint64)
-            for d in range(SHINGLE):
-                total += word[at + d] * _SHINGLE[d]
-            total = mix(total)
-            least = np.full(len(has) * MINIMA, _NONE)
-            np.minimum.at(least, row * MINIMA + (total >> np.uint64(56)).astype(np.int64),
-                          np.minimum(((total >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.uint16), _NONE - np.uint16(1)))
-            data = least.tobytes()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[t.rows.start + has]), pa.array([data[k:k + 2 * MINIMA] for k in range(0, len(data), 2 * MINIMA)], pa.binary())],
-                names=["row", "sketch"])
+def _sketches(named: KeyFilter):
+    """The least hash of each named row's shingles in each of ``MINIMA`` parts; rows without a shingle are left out."""
+    def run(batches):
+        for batch in sliced(batches):
+            keys = batch.column(1).to_numpy()
+            yield from _minima(batch.filter(pa.array(named(keys.view(np.uint64)))))
+    return run
+
+
+def _minima(batch):
+    keys = batch.column(1).to_numpy()
+    for t in texts(batch.column(0), LOWER_ASCII):
+        word = span_hashes(t.data, t.begins, t.ends)
+        many = np.maximum(np.diff(t.first) - SHINGLE + 1, 0)
+        has = np.flatnonzero(many)
+        if not len(has):
+            continue
+        row = np.repeat(np.arange(len(has)), many[has])
+        at = np.arange(len(row)) + np.repeat(t.first[has] - (np.cumsum(many[has]) - many[has]), many[has])
+        total = np.zeros(len(at), np.uint64)
+        for d in range(SHINGLE):
+            total += word[at + d] * _SHINGLE[d]
+        total = mix(total)
+        least = np.full(len(has) * MINIMA, _NONE)
+        np.minimum.at(least, row * MINIMA + (total >> np.uint64(56)).astype(np.int64),
+                      np.minimum(((total >> np.uint64(40)) & np.uint64(0xFFFF)).astype(np.uint16), _NONE - np.uint16(1)))
+        data = least.tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(keys[t.rows.start + has]), pa.array([data[k:k + 2 * MINIMA] for k in range(0, len(data), 2 * MINIMA)], pa.binary())],
+            names=["row", "sketch"])
 
 
 def _add_unlike(have: list[bytes], sketch: bytes) -> None:
@@ -263,15 +270,7 @@ def recurring_lines(documents: DataFrame, id_column: str = "doc_id", text_column
     shared = found.groupBy("key", "needed").agg(F.count_distinct("row").alias("documents")).where("documents >= needed")
     common = keep(found.join(shared.select("key"), "key"), "lines-common")
     # Only texts that share a line are compared.
-    named = KeyFilter.of(common, "row")
-
-    @F.pandas_udf("boolean")
-    def shares(row):
-        import pandas as pd
-
-        return pd.Series(named(row.to_numpy().view(np.uint64)))
-
-    sketches = rows.where(shares("row")).mapInArrow(_sketches, "row long, sketch binary").dropDuplicates(["row"])
+    sketches = rows.mapInArrow(_sketches(KeyFilter.of(common, "row")), "row long, sketch binary").dropDuplicates(["row"])
     enough = min_documents + SPARE
     own = (common.select("key", "row").distinct().join(sketches, "row").mapInArrow(_unlike(enough), "key long, sketch binary")
            .groupBy("key").agg(F.collect_list("sketch").alias("sketches"))
