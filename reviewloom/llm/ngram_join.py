@@ -12,8 +12,8 @@ common. A set with too few non-empty partitions for that also emits single shing
 
 Signature groups are never expanded into pairs while that can be avoided. Rounds of star
 edges (one edge from a set to the centre it shares most signatures with, on sets, then on components) join
-what is similar; then only the pairs of a group that are still in different components are tried, in blocks, after an
-exact lower bound of their difference. Every link is verified on whole texts.
+what is similar; then only the pairs of a group that are still in different components are compared, in blocks, after an
+exact lower bound of their difference, and only links that connect leave a block. Every link is verified on whole sets.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from reviewloom.llm.common import LOWER_ASCII, KeyFilter, arrow, constants, keep, mix, span_hashes, texts
+from reviewloom.llm.common import LOWER_ASCII, KeyFilter, arrow, constants, keep, mix, sliced, span_hashes, texts
 from reviewloom.operators.graph import connected_components
 
 SHINGLE = 5
@@ -38,6 +38,8 @@ STAR_ROUNDS = 3
 PROPOSALS = 4
 #: Most members of a block of a large signature group.
 BLOCK = 1024
+#: Pairs for each row of a block pair that are written; with more of them the rows are compared where they meet.
+SPARSE = 4
 
 _PLACE = constants(SHINGLE, 31)
 _SALT = constants(8, 37)
@@ -88,7 +90,7 @@ def signatures(own: np.ndarray) -> np.ndarray:
         part = ((own >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
         starts = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
         count = np.diff(np.append(starts, size))
-        salt = np.uint64(number + 1) * _SALT[7]
+        salt = np.multiply(np.uint64(number + 1), _SALT[7:8])
         value = mix(np.add.reduceat(mixed, starts) + salt + part[starts] * _SALT[0])
         poor = len(starts) < k + j
         if not poor and len(starts) > k + j:
@@ -99,7 +101,7 @@ def signatures(own: np.ndarray) -> np.ndarray:
             value = mix((value[a] + value[b]) ^ _SALT[1])
         out.append(value)
         if poor:
-            out.append(mix(np.sort(mixed)[:k + 1] ^ (salt + _SALT[2])))
+            out.append(mix(np.sort(mixed)[:k + 1] ^ (salt + _SALT[2:3])))
     return np.concatenate(out)
 
 
@@ -135,7 +137,7 @@ def _read_sets(documents: DataFrame, id_column: str, text_column: str) -> DataFr
 
     def run(batches):
         seen = set()
-        for batch in (b.slice(lo, 1024) for b in batches for lo in range(0, len(b), 1024)):
+        for batch in sliced(batches):
             rows = len(batch)
             n, digest = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
             sketches, sigs = [None] * rows, [None] * rows
@@ -201,32 +203,35 @@ def _sketch_filter(batches):
         yield arrow({"a": a[ok], "b": b[ok]}, {"a": pa.int64(), "b": pa.int64()})
 
 
+def _sets(batches):
+    """``(digest, shingles)`` of texts that have words; sorted distinct hashes."""
+    for batch in sliced(batches):
+        rows, sets = [], []
+        for row, own in shingle_sets(batch.column(1)):
+            rows.append(row)
+            sets.append(own.view(np.int64))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+                                         names=["digest", "shingles"])
+
+
+def linked(s: np.ndarray, t: np.ndarray) -> bool:
+    """Whether two sets (distinct hashes) are as similar as asked for."""
+    if NUM * max(len(s), len(t)) > DEN * min(len(s), len(t)):
+        return False
+    both = np.sort(np.concatenate([s, t]), kind="stable")
+    return (NUM + DEN) * int((both[1:] == both[:-1]).sum()) >= NUM * (len(s) + len(t))
+
+
+def _lists(column: pa.Array) -> list[np.ndarray]:
+    ends, flat = column.offsets.to_numpy(), column.values.to_numpy()
+    return [flat[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def _verify(batches):
-    """Links among ``(a, b, text of a, text of b)`` on the whole sets."""
-    recent: dict[int, np.ndarray] = {}
-
-    def sets(keys, column):
-        need = [i for i, k in enumerate(keys) if k not in recent]
-        own = {}
-        for row, s in shingle_sets(pa.array([column[i].as_py() for i in need], pa.string())):
-            own[keys[need[row]]] = s
-        return own
-
-    for whole in batches:
-        for lo in range(0, len(whole), 256):
-            batch = whole.slice(lo, 256)
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            first = {**recent, **sets(a, batch.column(2))}
-            second = {**first, **sets(b, batch.column(3))}
-            ok = []
-            for x, y in zip(a, b):
-                s, t = second[x], second[y]
-                common = len(s) + len(t) - len(np.union1d(s, t))
-                ok.append((NUM + DEN) * common >= NUM * (len(s) + len(t)))
-            recent = {a[-1]: second[a[-1]]} if a else recent
-            ok = np.array(ok, bool)
-            yield arrow({"a": a, "b": b, "linked": ok},
-                        {"a": pa.int64(), "b": pa.int64(), "linked": pa.bool_()})
+    """Links among ``(a, b, shingles of a, shingles of b)``."""
+    for batch in sliced(batches, 256):
+        ok = np.array([linked(s, t) for s, t in zip(_lists(batch.column(2)), _lists(batch.column(3)))], bool)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok)], names=["a", "b", "linked"])
 
 
 class _Join:
@@ -249,8 +254,15 @@ class _Join:
                .join(about.select(F.col("digest").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
                .select("a", "b", "na", "nb", "sa", "sb"))
         pairs = keep(met.mapInArrow(_sketch_filter, "a long, b long"), "join-pairs")
-        wanted = keep(about.join(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct(), "digest")
-                      .select("digest", "row"), "join-wanted")
+        sets = self.sets_of(pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct())
+        seen = (pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
+                .join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
+                .select("a", "b", "sa", "sb"))
+        return keep(seen.mapInArrow(_verify, "a long, b long, linked boolean"), "join-verified")
+
+    def sets_of(self, digests: DataFrame) -> DataFrame:
+        """``(digest, shingles)`` of some sets, each read once from the row that stands for it."""
+        wanted = keep(self.about.join(digests, "digest").select("digest", "row"), "join-wanted")
         passes = KeyFilter.of(wanted, "row")
 
         @F.pandas_udf("boolean")
@@ -260,12 +272,9 @@ class _Join:
             return pd.Series(passes(row.to_numpy().view(np.uint64)))
 
         rows = self.documents.select(_row_key(self.id, self.text).alias("row"), F.col(self.text).alias("text"))
-        full = rows.where(named("row")).join(wanted, "row").dropDuplicates(["digest"]).select("digest", "text")
-        full = keep(full, "join-texts")
-        seen = (pairs.join(full.select(F.col("digest").alias("a"), F.col("text").alias("ta")), "a")
-                .join(full.select(F.col("digest").alias("b"), F.col("text").alias("tb")), "b")
-                .select("a", "b", "ta", "tb"))
-        return keep(seen.mapInArrow(_verify, "a long, b long, linked boolean"), "join-verified")
+        full = rows.where(named("row")).join(wanted, "row").select("digest", "text")
+        # A repeated row gives its set more than once.
+        return keep(full.mapInArrow(_sets, "digest long, shingles array<long>").dropDuplicates(["digest"]), "join-shingles")
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, digest: str, root: str) -> DataFrame:
@@ -299,61 +308,121 @@ def _stars(opened: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROPOSALS).select("a", "b").distinct()
 
 
-def _block_pairs(batches):
-    """Pairs of different components that the sketches allow, from rows sorted by block key; a key's rows are few."""
-    left = None
-    for batch in batches:
-        rows = batch.to_pandas()
-        if left is not None:
-            import pandas as pd
+BLOCK_KEY = ["sig", "x", "y"]
+BLOCK_ROW = [*BLOCK_KEY, "block", "digest", "root", "n"]
+
 
-            rows = pd.concat([left, rows], ignore_index=True)
-        key = rows[["sig", "x", "y"]].to_numpy()
-        change = np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1
-        cuts = [0, *change]
-        left = rows.iloc[cuts[-1]:]
-        yield from _pairs_of(rows, list(zip(cuts, cuts[1:])))
-    if left is not None and len(left):
-        yield from _pairs_of(left.reset_index(drop=True), [(0, len(left))])
-
-
-def _pairs_of(rows, runs):
-    found = set()
-    digest, root, block = (rows[c].to_numpy() for c in ("digest", "root", "block"))
-    size, blobs = rows["n"].to_numpy(), rows["sketch"].to_numpy()
-    x, y = rows["x"].to_numpy(), rows["y"].to_numpy()
-    for lo, hi in runs:
-        drawn = [counts_of(s) for s in blobs[lo:hi]]
+def _by_block(work):
+    """``work(columns, begin, end)`` for the rows of one block pair at a time, from rows sorted by block key; a key's rows are few."""
+    def run(batches):
+        held = None
+        for batch in sliced(batches):
+            rows = {c: batch.column(c).to_numpy() for c in BLOCK_ROW}
+            rows["sketch"] = batch.column("sketch").to_pylist()
+            if "shingles" in batch.schema.names:
+                rows["shingles"] = _lists(batch.column("shingles"))
+            if held is not None:
+                rows = {c: np.concatenate([held[c], v]) if isinstance(v, np.ndarray) else held[c] + v for c, v in rows.items()}
+            key = np.column_stack([rows[c] for c in BLOCK_KEY])
+            cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                yield from work(rows, lo, hi)
+            held = {c: v[cuts[-1]:] for c, v in rows.items()}
+        if held is not None and len(held["sig"]):
+            yield from work(held, 0, len(held["sig"]))
+
+    return run
+
+
+class _Block:
+    """The rows of a block pair: which of them the sketches let be linked."""
+
+    def __init__(self, rows: dict, lo: int, hi: int):
+        self.size, self.block, self.root, self.digest = (rows[c][lo:hi] for c in ("n", "block", "root", "digest"))
+        self.two = rows["x"][lo] != rows["y"][lo]
+        self.drawn = [counts_of(s) for s in rows["sketch"][lo:hi]]
         # All at the coarsest resolution among them, for a look at many at once.
-        width = min(map(len, drawn))
-        coarse = np.array([fold(d, width) for d in drawn])
-        for i in range(lo, hi):
-            rest = np.arange(i + 1, hi)
-            rest = rest[(root[rest] != root[i]) & (NUM * np.maximum(size[rest], size[i]) <= DEN * np.minimum(size[rest], size[i]))]
-            if x[lo] != y[lo]:
-                rest = rest[block[rest] != block[i]]
-            if not len(rest):
-                continue
-            apart = np.abs(coarse[rest - lo] - coarse[i - lo]).sum(axis=1)
-            for k in rest[apart <= difference(size[i], size[rest])]:
-                if may_link(drawn[i - lo], drawn[k - lo], int(size[i]), int(size[k])):
-                    found.add((int(min(digest[i], digest[k])), int(max(digest[i], digest[k]))))
-    if found:
-        a, b = zip(*found)
-        yield arrow({"a": a, "b": b}, {"a": pa.int64(), "b": pa.int64()})
-
-
-def _remaining(opened: DataFrame, about: DataFrame) -> DataFrame:
-    """All pairs of different components in open groups; a group of many rows is dealt into blocks, pair by pair of blocks."""
+        width = min(map(len, self.drawn))
+        self.coarse = np.array([fold(d, width) for d in self.drawn])
+
+    def later(self, i: int, part: np.ndarray) -> np.ndarray:
+        """Rows after ``i`` in another part (and block, where there are two) that the coarse sketches do not rule out."""
+        rest = np.arange(i + 1, len(self.size))
+        ok = (part[rest] != part[i]) & (NUM * np.maximum(self.size[rest], self.size[i]) <= DEN * np.minimum(self.size[rest], self.size[i]))
+        if self.two:
+            ok &= self.block[rest] != self.block[i]
+        rest = rest[ok]
+        apart = np.abs(self.coarse[rest] - self.coarse[i]).sum(axis=1)
+        return rest[apart <= difference(self.size[i], self.size[rest])]
+
+    def may(self, i: int, k: int) -> bool:
+        return may_link(self.drawn[i], self.drawn[k], int(self.size[i]), int(self.size[k]))
+
+
+def _open_pairs(rows, lo, hi):
+    """The pairs that the sketches allow, if they are few beside the rows; else the rows, to be compared where they meet."""
+    if hi - lo < 2 or (rows["root"][lo:hi] == rows["root"][lo]).all():
+        return
+    block, pairs = _Block(rows, lo, hi), []
+    for i in range(hi - lo - 1):
+        pairs += [(i, k) for k in block.later(i, block.root) if block.may(i, k)]
+        if len(pairs) > SPARSE * (hi - lo):
+            break
+    blank = {c: pa.nulls(len(pairs), pa.int64()) for c in BLOCK_ROW} | {"sketch": pa.nulls(len(pairs), pa.binary())}
+    if len(pairs) > SPARSE * (hi - lo):
+        own = {c: pa.array(rows[c][lo:hi]) for c in BLOCK_ROW} | {"sketch": pa.array(rows["sketch"][lo:hi], pa.binary())}
+        yield pa.RecordBatch.from_pydict({"a": pa.nulls(hi - lo, pa.int64()), "b": pa.nulls(hi - lo, pa.int64())} | own)
+    elif pairs:
+        ends = np.sort(block.digest[np.array(pairs)], axis=1)
+        yield pa.RecordBatch.from_pydict({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])} | blank)
+
+
+def _block_links(rows, lo, hi):
+    """Links of a block pair that join what is not joined yet in it: fewer than its rows, however many pairs are similar."""
+    if hi - lo < 2:
+        return
+    block, sets = _Block(rows, lo, hi), rows["shingles"][lo:hi]
+    part = np.unique(block.root, return_inverse=True)[1]
+    links = []
+    for i in range(hi - lo - 1):
+        for k in block.later(i, part):
+            if part[k] != part[i] and block.may(i, k) and linked(sets[i], sets[k]):
+                part[part == part[k]] = part[i]
+                links.append((i, k))
+    if links:
+        ends = np.sort(block.digest[np.array(links)], axis=1)
+        yield arrow({"a": ends[:, 0], "b": ends[:, 1]}, {"a": pa.int64(), "b": pa.int64()})
+
+
+def _remaining(opened: DataFrame, join: _Join, tried: DataFrame | None) -> DataFrame:
+    """Links (a, b) enough to connect what is similar in open groups and not connected yet.
+
+    A group of many rows is dealt into blocks, pair by pair of blocks. Where the sketches allow few pairs, at most ``SPARSE`` for each row of the
+    block pair, these are verified one by one. Where they allow more, as among many near copies, the rows meet again with
+    their sets and give only links that connect. So what is written grows with the rows, not with their pairs.
+    """
     blocks = F.ceil(F.col("members") / BLOCK)
     rows = (opened.withColumn("blocks", blocks)
             .withColumn("block", F.pmod(F.xxhash64("digest"), "blocks"))
             .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
             .select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "digest", "root")
-            .join(about.select("digest", "n", "sketch"), "digest"))
-    rows = rows.select("sig", "x", "y", "block", "digest", "root", "n", "sketch")
-    return (rows.repartition("sig", "x", "y").sortWithinPartitions("sig", "x", "y")
-            .mapInArrow(_block_pairs, "a long, b long").distinct())
+            .join(join.about.select("digest", "n", "sketch"), "digest"))
+
+    def dealt(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*BLOCK_ROW, "sketch", *more).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "digest")
+
+    kinds = ", ".join(f"{c} long" for c in ["a", "b", *BLOCK_ROW]) + ", sketch binary"
+    found = keep(dealt(rows).mapInArrow(_by_block(_open_pairs), kinds), "join-remaining")
+    pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
+    if tried is not None:
+        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    links = join.verify(pairs).where("linked").select("a", "b")
+    dense = found.where("sig IS NOT NULL").drop("a", "b")
+    if dense.isEmpty():
+        return links
+    sets = join.sets_of(dense.select("digest").distinct())
+    return links.unionByName(keep(
+        dealt(dense.join(sets, "digest"), "shingles").mapInArrow(_by_block(_block_links), "a long, b long"), "join-links"))
 
 
 def similar_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -372,15 +441,12 @@ def similar_components(documents: DataFrame, id_column: str = "doc_id", text_col
     for turn in range(STAR_ROUNDS + 1):
         opened = keep(_open_groups(groups, roots), "join-open")
         if turn < STAR_ROUNDS:
-            pairs = _stars(opened, tried, turn)
+            seen = join.verify(_stars(opened, tried, turn))
+            tried = seen if tried is None else tried.unionByName(seen)
+            links = tried.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
         else:
-            # Written before the join, which would otherwise be applied to the pairs of every signature.
-            pairs = keep(_remaining(opened, join.about), "join-remaining")
-            if tried is not None:
-                pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        seen = join.verify(pairs)
-        tried = seen if tried is None else tried.unionByName(seen)
-        links = tried.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+            more = _remaining(opened, join, tried).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+            links = more if links is None else links.unionByName(more)
         roots = keep(connected_components(links), "join-roots")
     rooted = _rooted(join.sets.where("digest IS NOT NULL").select("id", "row", "n", "digest"), roots, "digest", "root")
     best = rooted.groupBy("root").agg(

@@ -126,8 +126,52 @@ def test_large_groups_go_through_blocks(spark, monkeypatch):
     assert sorted((str(r.id), r.n_shingles, str(r.component)) for r in got.collect()) == brute_components(rows)
 
 
+def test_many_near_copies_give_few_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    rng = random.Random(4)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(500):
+        w = list(base)
+        w[rng.randrange(60)] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    counted = []
+    remaining = ngram_join._remaining
+
+    def counting(*args):
+        found = remaining(*args)
+        counted.append(found.count())
+        return found
+
+    monkeypatch.setattr(ngram_join, "_remaining", counting)
+    got = ngram_join.similar_components(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA))
+    assert sorted((str(r.id), r.n_shingles, str(r.component)) for r in got.collect()) == brute_components(rows)
+    # Fewer links than rows of signature groups, where all pairs would be over 100,000.
+    sets = ngram_join.shingle_sets(pa.array([t for _, t in rows]))
+    rows_of_groups = sum(len(ngram_join.signatures(own)) for _, own in sets)
+    assert len(counted) == 1 and counted[0] < ngram_join.SPARSE * rows_of_groups < 100_000
+
+
 # ---- lines
 
+def test_lines_of_long_texts_null_ids_and_any_partitions(spark):
+    rng = random.Random(12)
+    unlike = lambda n: " ".join(f"v{rng.randrange(10 ** 6)}" for _ in range(n))
+    shared = "this page was printed from the archive of the town library"
+    rows = [(k, f"{unlike(30)}\n{shared}\n{unlike(20)}") for k in range(6)] + [(None, f"{unlike(30)}\n{shared}"), (7, None), (8, "")]
+    rows.append((9, "\n".join([unlike(8) for _ in range(6000)] + [shared])))
+    docs = [(d, t, "x", 1) for d, t in rows]
+    results = []
+    for parts in (1, 6):
+        got = line_dedup.drop_lines(spark.createDataFrame(docs, SCHEMA).repartition(parts)).collect()
+        assert len(got) == len(rows)
+        results.append(sorted((str(r.doc_id), r.text, r.dropped_lines) for r in got))
+    assert results[0] == results[1]
+    for (d, text, dropped), (_, before) in zip(results[0], sorted((str(d), t) for d, t in rows)):
+        assert text == (None if before is None else "\n".join(x for x in before.split("\n") if x != shared))
+        assert dropped == (0 if not before else 1)
+
+
 def test_recurring_lines_go_and_copies_stay(spark):
     rng = random.Random(3)
     say = lambda n: " ".join("".join(rng.choices("abcdefgh", k=7)) for _ in range(n))
@@ -264,5 +308,41 @@ def test_bin_completion_finds_small_optima():
         assert (used == counts).all()
         off += sum(t for _, t in found) - fewest(items, 30)
     assert off <= 1
+    # Many small items of one length, and of no other.
+    assert packing.bin_completion(np.bincount([1] * 5000, minlength=4097)) == [([1] * 4096, 1), ([1] * 904, 1)]
     # Best fit alone needs three sequences here.
     assert sum(t for _, t in packing.bin_completion(np.bincount([5, 4, 4, 3, 2, 2], minlength=11), 10)) == 2
+
+
+def test_the_search_runs_on_large_tables_and_never_ends_worse(monkeypatch):
+    spent = []
+
+    class Counted(packing._Budget):
+        def spend(self):
+            spent.append(1)
+            return super().spend()
+
+    monkeypatch.setattr(packing, "_Budget", Counted)
+    rng = np.random.default_rng(3)
+    counts = np.bincount(np.concatenate([rng.integers(1100, 1500, 900_000), rng.integers(2049, 3000, 100_000)]), minlength=4097)
+    bins = lambda found: sum(t for _, t in found)
+    first = bins(packing.bin_completion(counts, nodes=0))
+    assert len(spent) <= 1
+    found = packing.bin_completion(counts, nodes=20_000)
+    assert 20_000 <= len(spent) <= 21_000 and bins(found) <= first
+    used = np.zeros(4097, np.int64)
+    for filling, times in found:
+        assert sum(filling) <= 4096
+        np.add.at(used, filling, times)
+    assert (used == counts).all()
+
+
+def test_fillings_come_by_rising_waste_and_none_is_dominated():
+    counts = packing._Counts(np.bincount([9, 7, 6, 5, 5, 4, 3, 2, 1], minlength=21))
+    found = list(packing._fillings(counts, 9, 20, 5, [9, 7, 4], packing._Budget(10 ** 6)))
+    assert all(f[0] == 9 and sum(f) <= 20 for f in found) and len(found) == len({tuple(f) for f in found}) > 3
+    steps = [(20 - sum(f)).bit_length() for f in found]
+    assert steps == sorted(steps)
+    for i, f in enumerate(found):
+        assert not any(len(g) == len(f) and all(x >= y for x, y in zip(g, f)) for g in [[9, 7, 4], *found[:i]])
+    assert counts.n[9] == 0 and counts.n[5] == 2
