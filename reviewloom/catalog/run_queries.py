@@ -15,6 +15,7 @@ from reviewloom.catalog import text_queries as TQ
 from reviewloom.catalog import vector_queries as VQ
 from reviewloom.functions import vectors as V
 from reviewloom.operators import cluster as L
+from reviewloom.operators import hierarchy as H
 from reviewloom.operators import neighbors as NB
 from reviewloom.operators import reduce as D
 from reviewloom.operators import scoring as C
@@ -341,3 +342,12 @@ def approximate_pair_checks(spark, sf_dir):
     return exact.agg(F.count("*").alias("n_exact")).select(
         "n_exact", (known == near.agg(F.count("*")).scalar()).alias("all_are_pairs"),
         (known >= 0.9 * F.col("n_exact")).alias("recall_reached"))
+
+
+@register("spanning_forest_checks", Q.with_(VQ.VEC, VQ.dbscan_sql("'all'"), recursive=True) + """
+SELECT count(*) - 1 AS n_edges, count(*) - (SELECT count(DISTINCT root) FROM root) - (count(*) - (SELECT count(*) FROM core)) AS n_edges_within
+FROM pts""")
+def spanning_forest_checks(spark, sf_dir):
+    """The forest of mutual reachability has as many edges up to a radius as joins the components that the graph has there."""
+    forest = H.spanning_forest(VQ.all_points(spark, sf_dir), 5, block_rows=256)
+    return forest.agg(F.count("*").alias("n_edges"), F.count_if(F.round("weight", 9) <= VQ.EPS).alias("n_edges_within"))
