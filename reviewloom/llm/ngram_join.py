@@ -131,6 +131,58 @@ def may_link(a: np.ndarray, b: np.ndarray, size_a: int, size_b: int) -> bool:
     return int(np.abs(fold(a, width) - fold(b, width)).sum()) <= difference(size_a, size_b)
 
 
+class Sketches:
+    """The sketches of some rows, for a look at many pairs at once: the same verdicts as ``may_link`` gives pair by pair.
+
+    Each count from 0 to 3 is written as so many of three bits, so two rows differ by the bits in which they differ. Sizes that
+    may be linked lie within a factor of 2, so the narrower of two sketches meets the other one folded once.
+    """
+
+    def __init__(self, drawn: list[bytes]):
+        self.width = np.array([len(d) for d in drawn], np.int64)
+        self.at: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for w in np.unique(self.width):
+            own, wider = np.flatnonzero(self.width == w), np.flatnonzero(self.width == 2 * w)
+            four = np.frombuffer(b"".join(drawn[i] for i in own), np.uint8).reshape(-1, w)
+            if len(wider):
+                twice = _halved(np.frombuffer(b"".join(drawn[i] for i in wider), np.uint8).reshape(-1, 2 * w))
+                four = np.concatenate([four, twice])
+            place = np.zeros(len(drawn), np.int64)
+            place[np.concatenate([own, wider])] = np.arange(len(four))
+            self.at[int(w)] = _unary(four), place
+
+    def allowed(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """For each pair of rows, whether their sets may be linked."""
+        na, nb = size[a], size[b]
+        ok = NUM * np.maximum(na, nb) <= DEN * np.minimum(na, nb)
+        width, bound = np.minimum(self.width[a], self.width[b]), difference(na, nb)
+        for w in np.unique(width[ok]):
+            bits, place = self.at[int(w)]
+            pairs = np.flatnonzero(ok & (width == w))
+            step = max(1, (1 << 20) // int(w))
+            for lo in range(0, len(pairs), step):
+                some = pairs[lo:lo + step]
+                apart = np.bitwise_count(bits[place[a[some]]] ^ bits[place[b[some]]]).sum(axis=1, dtype=np.int64)
+                ok[some] = apart <= bound[some]
+        return ok
+
+
+def _halved(packed: np.ndarray) -> np.ndarray:
+    """Sketches of half as many ranges: sums of two neighbours, 3 for more."""
+    low, high = (packed >> k & 0x33 for k in (0, 2))
+    both = low + high  # up to 6 in each half of a byte
+    two = [np.minimum(both >> k & 15, 3) for k in (0, 4)]
+    nibble = two[0] | two[1] << 2
+    return nibble[:, ::2] | nibble[:, 1::2] << 4
+
+
+def _unary(packed: np.ndarray) -> np.ndarray:
+    """Rows of words that hold for each two-bit count as many set bits as it says."""
+    one, three = (packed | packed >> 1) & 0x55, packed & packed >> 1 & 0x55
+    out = np.ascontiguousarray(np.concatenate([one | packed & 0xAA, three], axis=1))
+    return out.view(np.uint64 if out.shape[1] % 8 == 0 else np.uint32)
+
+
 def _read_sets(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``(id, row, n, digest, sketch, sigs)`` per input row; the last two only once per set and task."""
     kind = dict(documents.dtypes)[id_column]
@@ -195,11 +247,10 @@ def _shared(batches):
 
 
 def _sketch_filter(batches):
-    for batch in batches:
+    for batch in sliced(batches):
         a, b, na, nb = (batch.column(k).to_numpy() for k in range(4))
-        sa, sb = batch.column(4), batch.column(5)
-        ok = np.array([may_link(counts_of(sa[i].as_py()), counts_of(sb[i].as_py()), int(na[i]), int(nb[i]))
-                       for i in range(len(a))], bool)
+        drawn, here = Sketches(batch.column(4).to_pylist() + batch.column(5).to_pylist()), np.arange(len(a))
+        ok = drawn.allowed(here, here + len(a), np.concatenate([na, nb]))
         yield arrow({"a": a[ok], "b": b[ok]}, {"a": pa.int64(), "b": pa.int64()})
 
 
@@ -313,7 +364,7 @@ BLOCK_ROW = [*BLOCK_KEY, "block", "digest", "root", "n"]
 
 
 def _by_block(work):
-    """``work(columns, begin, end)`` for the rows of one block pair at a time, from rows sorted by block key; a key's rows are few."""
+    """``work(columns, cuts)`` for rows of whole block pairs, which end at the cuts, from rows sorted by block key; a key's rows are few."""
     def run(batches):
         held = None
         for batch in sliced(batches):
@@ -325,11 +376,11 @@ def _by_block(work):
                 rows = {c: np.concatenate([held[c], v]) if isinstance(v, np.ndarray) else held[c] + v for c, v in rows.items()}
             key = np.column_stack([rows[c] for c in BLOCK_KEY])
             cuts = [0, *(np.flatnonzero((key[1:] != key[:-1]).any(axis=1)) + 1)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                yield from work(rows, lo, hi)
+            if len(cuts) > 1:
+                yield from work(rows, cuts)
             held = {c: v[cuts[-1]:] for c, v in rows.items()}
         if held is not None and len(held["sig"]):
-            yield from work(held, 0, len(held["sig"]))
+            yield from work(held, [0, len(held["sig"])])
 
     return run
 
@@ -359,38 +410,52 @@ class _Block:
         return may_link(self.drawn[i], self.drawn[k], int(self.size[i]), int(self.size[k]))
 
 
-def _open_pairs(rows, lo, hi):
-    """The pairs that the sketches allow, if they are few beside the rows; else the rows, to be compared where they meet."""
-    if hi - lo < 2 or (rows["root"][lo:hi] == rows["root"][lo]).all():
-        return
-    block, pairs = _Block(rows, lo, hi), []
-    for i in range(hi - lo - 1):
-        pairs += [(i, k) for k in block.later(i, block.root) if block.may(i, k)]
-        if len(pairs) > SPARSE * (hi - lo):
+def _open_pairs(rows, cuts):
+    """The pairs of a block pair that the sketches allow, if they are few beside its rows; else the rows, to be compared where they meet."""
+    many = np.diff(cuts)
+    key = np.repeat(np.arange(len(many)), many)
+    root, block, size = (rows[c][:cuts[-1]] for c in ("root", "block", "n"))
+    two = rows["x"][:cuts[-1]] != rows["y"][:cuts[-1]]
+    drawn, room, found = Sketches(rows["sketch"][:cuts[-1]]), SPARSE * many, []
+    here = np.arange(cuts[-1])
+    # Each row beside the next one of its key, then the one after that, and so on; keys with too many pairs leave.
+    for step in range(1, many.max()):
+        here = here[here + step < cuts[-1]]
+        here = here[(key[here] == key[here + step]) & (room[key[here]] >= 0)]
+        if not len(here):
             break
-    blank = {c: pa.nulls(len(pairs), pa.int64()) for c in BLOCK_ROW} | {"sketch": pa.nulls(len(pairs), pa.binary())}
-    if len(pairs) > SPARSE * (hi - lo):
-        own = {c: pa.array(rows[c][lo:hi]) for c in BLOCK_ROW} | {"sketch": pa.array(rows["sketch"][lo:hi], pa.binary())}
-        yield pa.RecordBatch.from_pydict({"a": pa.nulls(hi - lo, pa.int64()), "b": pa.nulls(hi - lo, pa.int64())} | own)
-    elif pairs:
-        ends = np.sort(block.digest[np.array(pairs)], axis=1)
+        ok = (root[here] != root[here + step]) & (~two[here] | (block[here] != block[here + step]))
+        pair = here[ok]
+        pair = pair[drawn.allowed(pair, pair + step, size)]
+        room -= np.bincount(key[pair], minlength=len(many))
+        found.append(np.column_stack([pair, pair + step]))
+    pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
+    pairs = pairs[room[key[pairs[:, 0]]] >= 0]
+    if len(pairs):
+        ends = np.sort(rows["digest"][pairs], axis=1)
+        blank = {c: pa.nulls(len(pairs), pa.int64()) for c in BLOCK_ROW} | {"sketch": pa.nulls(len(pairs), pa.binary())}
         yield pa.RecordBatch.from_pydict({"a": pa.array(ends[:, 0]), "b": pa.array(ends[:, 1])} | blank)
+    dense = np.flatnonzero(room[key] < 0)
+    if len(dense):
+        own = {c: pa.array(rows[c][dense]) for c in BLOCK_ROW} | {"sketch": pa.array([rows["sketch"][i] for i in dense], pa.binary())}
+        yield pa.RecordBatch.from_pydict({"a": pa.nulls(len(dense), pa.int64()), "b": pa.nulls(len(dense), pa.int64())} | own)
 
 
-def _block_links(rows, lo, hi):
+def _block_links(rows, cuts):
     """Links of a block pair that join what is not joined yet in it: fewer than its rows, however many pairs are similar."""
-    if hi - lo < 2:
-        return
-    block, sets = _Block(rows, lo, hi), rows["shingles"][lo:hi]
-    part = np.unique(block.root, return_inverse=True)[1]
     links = []
-    for i in range(hi - lo - 1):
-        for k in block.later(i, part):
-            if part[k] != part[i] and block.may(i, k) and linked(sets[i], sets[k]):
-                part[part == part[k]] = part[i]
-                links.append((i, k))
+    for lo, hi in zip(cuts, cuts[1:]):
+        if hi - lo < 2:
+            continue
+        block, sets = _Block(rows, lo, hi), rows["shingles"][lo:hi]
+        part = np.unique(block.root, return_inverse=True)[1]
+        for i in range(hi - lo - 1):
+            for k in block.later(i, part):
+                if part[k] != part[i] and block.may(i, k) and linked(sets[i], sets[k]):
+                    part[part == part[k]] = part[i]
+                    links.append((lo + i, lo + k))
     if links:
-        ends = np.sort(block.digest[np.array(links)], axis=1)
+        ends = np.sort(rows["digest"][np.array(links)], axis=1)
         yield arrow({"a": ends[:, 0], "b": ends[:, 1]}, {"a": pa.int64(), "b": pa.int64()})
 
 

@@ -111,6 +111,50 @@ def test_signatures_of_similar_sets_meet():
             assert ngram_join.may_link(x, y, len(a), len(b))
 
 
+def test_sketches_of_many_pairs_agree_with_one_pair_at_a_time():
+    rng = np.random.default_rng(5)
+    base = np.unique(rng.integers(0, 2**63, 3000, dtype=np.uint64) << np.uint64(1))
+    sets = []
+    for size in [1, 2, 3, 4, 7, 8, 9, 12, 16, 17, 21, 33, 60, 64, 65, 80, 120, 129, 500, 513, 600, 2000]:
+        own = rng.choice(base, size, replace=False)
+        for share in (0, 0.05, 0.12, 0.2, 1):
+            other = rng.random(size) < share
+            sets.append(np.unique(np.where(other, rng.integers(0, 2**63, size, dtype=np.uint64), own)))
+    drawn = [ngram_join.sketch(s) for s in sets]
+    size = np.array([len(s) for s in sets])
+    a, b = np.triu_indices(len(sets), 1)
+    many = ngram_join.Sketches(drawn).allowed(a, b, size)
+    counts = [ngram_join.counts_of(d) for d in drawn]
+    assert many.tolist() == [ngram_join.may_link(counts[i], counts[k], len(sets[i]), len(sets[k])) for i, k in zip(a, b)]
+    assert many.any() and not many.all()
+
+
+def test_open_pairs_equal_a_plain_loop_and_dense_blocks_stay_rows():
+    rng = np.random.default_rng(6)
+    base = [np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64)) for _ in range(8)]
+    rows = {c: [] for c in [*ngram_join.BLOCK_ROW, "sketch"]}
+    cuts = [0]
+    for sig, (members, kinds, two) in enumerate([(1, 1, 0), (6, 6, 0), (40, 8, 1), (60, 1, 0), (3, 1, 1), (20, 5, 0)]):
+        for i in range(members):
+            own = np.unique(np.append(base[i % kinds][rng.random(200) > 0.05], rng.integers(0, 2**63, 5, dtype=np.uint64)))
+            for c, v in zip(rows, [sig, 0, two, rng.integers(0, 1 + two), 1000 * sig + i, rng.integers(0, 30), len(own), ngram_join.sketch(own)]):
+                rows[c].append(v)
+        cuts.append(cuts[-1] + members)
+    rows = {c: v if c == "sketch" else np.array(v) for c, v in rows.items()}
+    pairs, dense = set(), set()
+    for lo, hi in zip(cuts, cuts[1:]):
+        own = {tuple(sorted((rows["digest"][i], rows["digest"][k]))) for i in range(lo, hi) for k in range(i + 1, hi)
+               if rows["root"][i] != rows["root"][k] and (rows["x"][i] == rows["y"][i] or rows["block"][i] != rows["block"][k])
+               and ngram_join.may_link(*(ngram_join.counts_of(rows["sketch"][j]) for j in (i, k)), rows["n"][i], rows["n"][k])}
+        if len(own) > ngram_join.SPARSE * (hi - lo):
+            dense |= set(rows["digest"][lo:hi].tolist())
+        else:
+            pairs |= own
+    out = [r for batch in ngram_join._open_pairs(rows, cuts) for r in batch.to_pylist()]
+    assert pairs and {(r["a"], r["b"]) for r in out if r["a"] is not None} == pairs
+    assert dense and {r["digest"] for r in out if r["sig"] is not None} == dense
+
+
 def test_large_groups_go_through_blocks(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 4)
     monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
