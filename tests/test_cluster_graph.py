@@ -348,3 +348,29 @@ def test_each_side_is_clustered_by_itself(spark):
         marks = {r["side"]: (r["reducer_used"], r["cluster_algorithm_used"]) for r in together.values()}
         assert marks["one"] == ("none_too_few_rows", "none_too_few_rows")
         assert marks["two"] == ("none_too_few_rows", algorithm) and marks["b"] == ("pca", algorithm)
+
+
+def test_copies_of_a_row_are_bounded_whatever_the_number_of_rows(spark):
+    x = np.random.default_rng(4).normal(0, 1, (1500, 3))
+    points = frame(spark, x)
+    # 94 blocks of 16 rows would make up to 94 copies of a row.
+    per_row = NB.triangles(points.withColumn("cell", F.lit(0)), 16).groupBy("id").count().agg(F.max("count")).first()[0]
+    assert per_row == NB.MAX_BLOCKS
+    copies = NB.blocked(points, 10.0, block_rows=16).count()
+    assert copies <= 2 * NB.MAX_BLOCKS * len(x)
+    assert NB.grown(10 ** 9, 16) == NB.LARGEST_BLOCK and NB.grown(160, 16) == 16
+
+
+def test_blocks_of_many_tiles_give_the_same_results(spark, monkeypatch):
+    monkeypatch.setattr(NB, "BLOCK_ROWS", 16)
+    monkeypatch.setattr(NB, "MAX_BLOCKS", 3)
+    monkeypatch.setattr(NB, "HELD_ROWS", 40)
+    x = cloud(160)
+    points = frame(spark, x)
+    got = {(r["a"], r["b"]) for r in NB.eps_join(points, 0.5, block_rows=8).collect()}
+    assert got == pairs_by_hand(x, 0.5, ["g"] * 160)
+    monkeypatch.setattr(NB, "FEW_BLOCKS", 2)
+    assert {(r["src"], r["rank"]): r["dst"] for r in NB.knn_join(points, 5, block_rows=8).collect()} == knn_by_hand(x, 5)
+    want, core = brute_dbscan(x, 0.4, 5)
+    labels = {r["id"]: (r["label"], r["is_core"]) for r in L.cluster_dbscan(points, 0.4, 5, block_rows=8).collect()}
+    assert labels == {i: (want[i], core[i]) for i in range(160)}
