@@ -101,3 +101,20 @@ def test_token_filter(spark):
     entities = spark.createDataFrame([(1, 0, "Acme Corp"), (1, 1, "UK")], "doc_id long, ord int, text string")
     got = {r["doc_id"]: r["processed_text"] for r in S.token_filter(tokens, entities).collect()}
     assert got == {1: "good team acme corp", 2: ""}
+
+
+def test_term_rows_are_shuffled_as_hashes_and_score_the_same(spark):
+    rows = spark.createDataFrame([("a", "x y"), ("b", "x y"), (None, "x y"), ("a", "y"), ("a", None)], "side string, term string")
+    hashed = C._hashed(N.keyed_group(rows, "side"), "side")
+    assert hashed.schema["term"].dataType.simpleString() == "bigint"
+    got = [r["term"] for r in hashed.collect()]
+    assert len(set(got)) == 5 and got[4] is None
+    seeds = spark.createDataFrame([("pay", 0, "good pay", 0, 1.0), ("peers", 1, "kind peers", 0, 0.6)],
+                                  "category string, category_ord int, term string, term_ord int, score double")
+    texts = spark.createDataFrame([("a", "1", "good pay here"), ("a", "2", "kind peers good"), (None, "3", "pay"), ("b", "4", "the")],
+                                  "side string, review_id string, review_text string")
+    keyed = N.keyed_group(texts, "side")
+    tf = C.text_terms(keyed, "side", "review_id", "review_text", 3, None)
+    plain = C._scored(tf, C._fit(keyed, tf, seeds, None, "side", 3, None), "side", "review_id")
+    rounded = lambda df: sorted((r["review_id"], r["side"], round(r["score_pay"], 12), round(r["score_peers"], 12)) for r in df.collect())
+    assert rounded(C.tfidf_scores(texts, seeds)) == rounded(plain)
