@@ -74,11 +74,10 @@ SELECT review_id, CAST(ngram_len AS INTEGER) AS ngram_len, count(*) AS n, count(
        max(term) AS last_term
 FROM g GROUP BY ALL""")
 def ngram_counts(spark, sf_dir):
-    texts = N.by_document(I.segments(spark, sf_dir), "review_id", "review_text")
-    grams = N.ngrams(texts, "review_text", 1, 3)
-    per_term = grams.groupBy("review_id", "ngram_len", "term").agg(F.count("*").alias("tf"))
-    return per_term.groupBy("review_id", "ngram_len").agg(
-        F.sum("tf").alias("n"), F.count("*").alias("n_distinct"), F.max("term").alias("last_term"))
+    # One row per text and length holds its distinct n-grams, so nothing is grouped across rows.
+    lists = N.document_terms(I.segments(spark, sf_dir), "review_id", "review_text", 1, 3)
+    return lists.select("review_id", "ngram_len", F.aggregate("tf", F.lit(0).cast("long"), lambda a, x: a + x).alias("n"),
+                        F.size("terms").cast("long").alias("n_distinct"), F.array_max("terms").alias("last_term"))
 
 
 @register("tfidf_weights", Q.with_(Q.SEGMENTS, Q.grams("g", "segments", "side, review_id", "review_text")) + """
