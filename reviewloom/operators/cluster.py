@@ -51,38 +51,35 @@ def _local_components(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.
         label = following
 
 
-def neighbour_counts(blocks: DataFrame, eps: float, id_type: str, key_type: str) -> DataFrame:
-    """Weighted number of points within ``eps`` of each point, itself included."""
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        i, j, _ = NB.within(NB._matrix(left["vector"]), NB._matrix(right["vector"]), eps)
-        n_left = np.bincount(i, weights=right["weight"].to_numpy()[j], minlength=len(left))
-        parts = [(left["id"].to_numpy(), n_left)]
+def neighbour_counts(points: DataFrame, eps: float, id_type: str, key_type: str, block_rows: int) -> DataFrame:
+    """Weighted number of points within ``eps`` of each point, itself included. ``points``: group_key, id, vector, weight."""
+    def kernel(left: NB.Tile, right: NB.Tile, same: bool) -> pd.DataFrame:
+        i, j, _ = NB.within(left.x, right.x, eps)
+        parts = [(left.ids, np.bincount(i, weights=right.more[j], minlength=len(left.ids)))]
         if not same:
-            n_right = np.bincount(j, weights=left["weight"].to_numpy()[i], minlength=len(right))
-            parts.append((right["id"].to_numpy(), n_right))
+            parts.append((right.ids, np.bincount(j, weights=left.more[i], minlength=len(right.ids))))
         ids, counts = (np.concatenate(c) for c in zip(*parts))
-        key = left["group_key"].iloc[0] if len(left) else (right["group_key"].iloc[0] if len(right) else None)
-        return NB._frame(group_key=[key] * len(ids), id=ids, n=counts.astype("int64"))
+        ids, counts = ids[counts > 0], counts[counts > 0]
+        return NB._frame(group_key=[left.key] * len(ids), id=ids, n=counts.astype("int64"))
 
     def summed(rows: pd.DataFrame) -> pd.DataFrame:
         return rows.groupby(["group_key", "id"], as_index=False, dropna=False, sort=False)["n"].sum()
 
-    found = NB.block_map(blocks, kernel, f"group_key {key_type}, id {id_type}, n long", summed)
+    found = NB.near_map(points, eps, kernel, f"group_key {key_type}, id {id_type}, n long", summed, "weight", block_rows)
     return found.groupBy("group_key", "id").agg(F.sum("n").alias("n"))
 
 
-def core_edges(blocks: DataFrame, eps: float, id_type: str, key_type: str) -> DataFrame:
+def core_edges(points: DataFrame, eps: float, id_type: str, key_type: str, block_rows: int) -> DataFrame:
     """A spanning set of the neighbour relation: at most one edge per point and block pair."""
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        i, j, d = NB.within(NB._matrix(left["vector"]), NB._matrix(right["vector"]), eps)
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    def kernel(left: NB.Tile, right: NB.Tile, same: bool) -> pd.DataFrame:
+        i, j, d = NB.within(left.x, right.x, eps)
+        a, b = left.ids, right.ids
         if not len(i):
             return NB._frame(group_key=[], src=[], dst=[])
         low = _local_components(a, b, i, j, same)
         ids = a if same else np.concatenate([a, b])
         linked = low != ids
-        key = left["group_key"].iloc[0]
-        return NB._frame(group_key=[key] * int(linked.sum()), src=ids[linked], dst=low[linked])
+        return NB._frame(group_key=[left.key] * int(linked.sum()), src=ids[linked], dst=low[linked])
 
     def spanning(rows: pd.DataFrame) -> pd.DataFrame:
         ids, ends = np.unique(np.concatenate([rows["src"].to_numpy(), rows["dst"].to_numpy()]), return_inverse=True)
@@ -90,7 +87,7 @@ def core_edges(blocks: DataFrame, eps: float, id_type: str, key_type: str) -> Da
         linked = low != ids
         return NB._frame(group_key=[rows["group_key"].iloc[0]] * int(linked.sum()), src=ids[linked], dst=low[linked])
 
-    return NB.block_map(blocks, kernel, f"group_key {key_type}, src {id_type}, dst {id_type}", spanning)
+    return NB.near_map(points, eps, kernel, f"group_key {key_type}, src {id_type}, dst {id_type}", spanning, block_rows=block_rows)
 
 
 def _numbered(roots: DataFrame) -> DataFrame:
@@ -125,40 +122,34 @@ def cluster_dbscan(points: DataFrame, eps: float = 0.45, min_samples: int = 5,
     key_type = points.schema["group_key"].dataType.simpleString()
     unique = materialize(unique_vectors(points.where(F.col("vector").isNotNull()).select("group_key", "id", "vector")), "dbscan-unique")
     group_rows = points.groupBy("group_key").agg(F.count("*").alias("_rows"))
-    blocks = NB.blocked(unique, eps, block_rows=block_rows)
     needed = F.greatest(F.lit(1), F.least(F.lit(min_samples), F.col("_rows")))
-    counts = neighbour_counts(blocks, eps, id_type, key_type)
+    counts = neighbour_counts(unique, eps, id_type, key_type, block_rows)
     flagged = materialize(
         null_safe_join(null_safe_join(unique, counts, ["group_key", "id"]), group_rows, ["group_key"])
         .withColumn("is_core", (F.col("n") >= needed) & (F.col("_rows") > 1)), "dbscan-core")
     core = flagged.where("is_core")
-    edges = materialize(core_edges(
-        NB.blocked(core.select("group_key", "id", "vector"), eps, block_rows=block_rows),
-        eps, id_type, key_type), "dbscan-edges")
+    edges = materialize(core_edges(core, eps, id_type, key_type, block_rows), "dbscan-edges")
     labels = materialize(_numbered(_roots(core, edges)).select("group_key", "id", "label"), "dbscan-labels")
 
-    def border(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        i, j, _ = NB.within(NB._matrix(left["vector"]), NB._matrix(right["vector"]), eps)
-        la, lb = left["label"].to_numpy(), right["label"].to_numpy()
-        a, b = left["id"].to_numpy(), right["id"].to_numpy()
+    def border(left: NB.Tile, right: NB.Tile, same: bool) -> pd.DataFrame:
+        i, j, _ = NB.within(left.x, right.x, eps)
+        la, lb, a, b = left.more, right.more, left.ids, right.ids
         take = (la[i] < 0) & (lb[j] >= 0)
         ids, found = [a[i[take]]], [lb[j[take]]]
         if not same:
             give = (lb[j] < 0) & (la[i] >= 0)
             ids.append(b[j[give]])
             found.append(la[i[give]])
-        key = left["group_key"].iloc[0] if len(left) else None
         out = pd.DataFrame({"id": np.concatenate(ids), "label": np.concatenate(found)})
         out = out.groupby("id", as_index=False)["label"].min()
-        return NB._frame(group_key=[key] * len(out), id=out["id"].to_numpy(), label=out["label"].to_numpy())
+        return NB._frame(group_key=[left.key] * len(out), id=out["id"].to_numpy(), label=out["label"].to_numpy())
 
     def lowest(rows: pd.DataFrame) -> pd.DataFrame:
         return rows.groupby(["group_key", "id"], as_index=False, dropna=False, sort=False)["label"].min()
 
     known = null_safe_join(flagged.select("group_key", "id", "vector"), labels, ["group_key", "id"], "left").withColumn(
         "label", F.coalesce("label", F.lit(-1)))
-    edge_labels = NB.block_map(NB.blocked(known, eps, block_rows=block_rows), border,
-                               f"group_key {key_type}, id {id_type}, label int", lowest)
+    edge_labels = NB.near_map(known, eps, border, f"group_key {key_type}, id {id_type}, label int", lowest, "label", block_rows)
     border_labels = edge_labels.groupBy("group_key", "id").agg(F.min("label").alias("_border"))
     settled = flagged.select("group_key", "id", "vector", "is_core")
     for found in (labels, border_labels):

@@ -1,10 +1,11 @@
 """Distance joins over dense vectors, exact unless asked otherwise.
 
-Every vector belongs to the cell of its nearest pivot and also visits the cells where, by the
-triangle inequality, it may have a neighbour within ``eps``, or one of its ``k`` nearest. A cell is cut into blocks
-and each pair of blocks is one group, so neither a dense region nor a popular cell ends up in
-one task. The number of blocks is bounded, so a row is copied a bounded number of times however many rows there are. A group
-works on two small tiles of its blocks at a time and emits results only, never candidate pairs.
+Every vector belongs to the cell of its nearest pivot. A cell is cut into blocks, so neither a dense region nor a popular cell
+ends up in one task. Within a radius (:func:`near_map`) a block is one row that holds its vectors, and the rows of the table of blocks
+meet by a nested loop, which reads that table again and shuffles nothing; blocks that are too far apart by the triangle inequality do
+not meet. For nearest neighbours a vector visits the cells that may hold one of its ``k`` nearest, and each pair of blocks is one group.
+The number of blocks is bounded, so a row is copied a bounded number of times however many rows there are. Two blocks
+are worked on by small tiles and emit results only, never candidate pairs.
 
 The approximate mode takes buckets of random projections for cells, in several tables; a popular bucket is cut into
 blocks in the same way.
@@ -18,6 +19,7 @@ from typing import Any, NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -163,33 +165,180 @@ def block_map(blocks: DataFrame, kernel: Callable, schema: str, reduced: Callabl
 
         left = tiles(frame[frame["role"] == 0])
         right = left if bi == bj else tiles(frame[frame["role"] == 1])
-        held, rows, limit = [], 0, HELD_ROWS
-        for i, a in enumerate(left):
-            for j, b in enumerate(right):
-                if bi == bj and j < i:
-                    continue
-                found = kernel(a, b, bi == bj and i == j)
-                if not len(found):
-                    continue
-                held.append(found)
-                rows += len(found)
-                if rows < limit:
-                    continue
-                whole = pd.concat(held, ignore_index=True)
-                if reduced is None:
-                    yield whole
-                    held, rows = [], 0
-                else:
-                    held = [reduced(whole)]
-                    rows = len(held[0])
-                    limit = max(HELD_ROWS, 2 * rows)
-        if held:
-            whole = pd.concat(held, ignore_index=True)
-            yield whole if reduced is None else reduced(whole)
+        yield from _reduced((kernel(a, b, bi == bj and i == j) for i, a in enumerate(left) for j, b in enumerate(right)
+                             if bi != bj or i <= j), reduced)
 
     return blocks.groupBy("group_key", "cell", "bi", "bj").applyInPandas(run, schema)
 
 
+def _reduced(results: Iterator[pd.DataFrame], reduced: Callable | None) -> Iterator[pd.DataFrame]:
+    """What the calls of a pair of blocks gave, emitted or reduced whenever much of it is held."""
+    held, rows, limit = [], 0, HELD_ROWS
+    for found in results:
+        if not len(found):
+            continue
+        held.append(found)
+        rows += len(found)
+        if rows < limit:
+            continue
+        whole = pd.concat(held, ignore_index=True)
+        if reduced is None:
+            yield whole
+            held, rows = [], 0
+        else:
+            held = [reduced(whole)]
+            rows = len(held[0])
+            limit = max(HELD_ROWS, 2 * rows)
+    if held:
+        whole = pd.concat(held, ignore_index=True)
+        yield whole if reduced is None else reduced(whole)
+
+
+class Tile(NamedTuple):
+    """Some rows of one group: ids, vectors and, where there is one, a number of each."""
+
+    key: Any
+    ids: np.ndarray
+    x: np.ndarray
+    more: np.ndarray | None = None
+
+    def part(self, some) -> Tile:
+        return Tile(self.key, self.ids[some], self.x[some], None if self.more is None else self.more[some])
+
+    def tiles(self) -> list[Tile]:
+        return [self.part(slice(s, s + BLOCK_ROWS)) for s in range(0, len(self.ids), BLOCK_ROWS)]
+
+
+def _gaps(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum((x ** 2).sum(axis=1)[:, None] + (pivots ** 2).sum(axis=1) - 2 * x @ pivots.T, 0))
+
+
+def near_map(points: DataFrame, eps: float, kernel: Callable, schema: str, reduced: Callable | None = None,
+             more: str | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Rows that ``kernel(left, right, same)`` gives for pairs of tiles (:class:`Tile`) of one group.
+
+    Every pair of rows of a group within ``eps`` meets in exactly one call; ``same`` marks a tile with itself. ``points``: group_key, id,
+    vector, and ``more``, a column of whole numbers that tiles carry. ``reduced`` is as in :func:`block_map`. A group of at most a block
+    is one group of rows; larger ones, of which there are no more than blocks, are packed (:func:`packed_blocks`).
+    """
+    rows = points.select("group_key", "id", "vector", *([more] if more else []))
+    n = rows.count()
+    block_rows = grown(n, block_rows)
+    sizes = rows.groupBy("group_key").agg(F.count("*").alias("_rows"))
+    # One row per group of more than a block.
+    large = materialize(sizes.where(F.col("_rows") > block_rows), "large-groups")
+    many = large.agg(F.count("*"), F.coalesce(F.sum("_rows"), F.lit(0))).first()
+    parts = []
+    if many[0]:
+        whole = rows if many[1] == n else null_safe_join(rows, F.broadcast(large), ["group_key"]).drop("_rows")
+        parts.append(_met(packed_blocks(whole, many[1], more, block_rows), eps, kernel, schema, reduced))
+    if many[1] < n or not n:
+        small = null_safe_join(rows, F.broadcast(large), ["group_key"], "left").where("_rows IS NULL").drop("_rows")
+
+        def tile(frame: pd.DataFrame) -> Tile:
+            return Tile(frame["group_key"].iloc[0], frame["id"].to_numpy(), _matrix(frame["vector"]), frame[more].to_numpy() if more else None)
+
+        # One block a group.
+        parts.append(block_map(blocked(small, eps, min(n, 1), block_rows),
+                               lambda left, right, same: kernel(tile(left), tile(right), same), schema, reduced))
+    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+
+class Blocks(NamedTuple):
+    """A table of blocks, a row each, and what the driver knows of them: number, group, cell and radius."""
+
+    table: DataFrame
+    about: list
+    pivots: np.ndarray
+
+
+def packed_blocks(points: DataFrame, n: int, more: str | None, block_rows: int) -> Blocks:
+    """Blocks of at most about ``block_rows`` rows of one group and cell: (no, group_key, cell, ids, data, more, radius).
+
+    A vector is shuffled once. ``data`` holds the vectors in single precision if they are exact in it, else in double.
+    """
+    pivots = pick_pivots(points, n, block_rows)
+
+    @F.pandas_udf("int")
+    def home(batch: pd.Series) -> pd.Series:
+        return pd.Series(_gaps(_matrix(batch), pivots).argmin(axis=1).astype("int32"))
+
+    placed = points.withColumn("cell", home("vector"))
+    # One row per large group and pivot.
+    first, cells = 0, []
+    for r in placed.groupBy("group_key", "cell").agg(F.count("*").alias("n")).collect():
+        pieces = -(-r["n"] // block_rows)
+        cells.append((r["group_key"], r["cell"], first, pieces))
+        first += pieces
+    kinds = {c: points.schema[c].dataType.simpleString() for c in ("group_key", "id")}
+    listed = points.sparkSession.createDataFrame(cells, f"group_key {kinds['group_key']}, cell int, first int, pieces int").coalesce(1)
+    dealt = null_safe_join(placed, F.broadcast(listed), ["group_key", "cell"]).withColumn(
+        "no", (F.col("first") + F.pmod(F.xxhash64("id"), F.col("pieces"))).cast("int")).drop("first", "pieces")
+
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        x = _matrix(table.column("vector").to_pandas())
+        cell = table.column("cell")[0].as_py()
+        radius = float(_gaps(x, pivots[cell:cell + 1]).max())
+        with np.errstate(over="ignore"):
+            single = x.astype(np.float32)
+        data = (single if (single == x).all() else x).tobytes()
+        ends = pa.array([0, len(x)], pa.int32())
+        numbers = table.column(more).chunk(0).cast(pa.int64()) if more else pa.array([], pa.int64())
+        return pa.table([table.column("no").slice(0, 1), table.column("group_key").slice(0, 1), pa.array([cell], pa.int32()),
+                         pa.ListArray.from_arrays(ends, table.column("id").chunk(0)), pa.array([data], pa.binary()),
+                         pa.ListArray.from_arrays(ends if more else pa.array([0, 0], pa.int32()), numbers), pa.array([radius])],
+                        names=["no", "group_key", "cell", "ids", "data", "more", "radius"])
+
+    schema = f"no int, group_key {kinds['group_key']}, cell int, ids array<{kinds['id']}>, data binary, more array<long>, radius double"
+    table = materialize(dealt.groupBy("no").applyInArrow(pack, schema), "blocks")
+    # One row per block.
+    return Blocks(table, table.select("no", "group_key", "cell", "radius").orderBy("no").collect(), pivots)
+
+
+def _met(blocks: Blocks, eps: float, kernel: Callable, schema: str, reduced: Callable | None) -> DataFrame:
+    table, about, pivots = blocks
+    apart = _gaps(pivots, pivots)
+    asks: dict[int, list[int]] = {r["no"]: [] for r in about}
+    for k, a in enumerate(about):
+        for b in about[k:]:
+            reach = a["radius"] + b["radius"] + eps
+            if a["group_key"] == b["group_key"] and (a["cell"] == b["cell"] or not apart[a["cell"], b["cell"]] > reach + 1e-6 * (1 + reach)):
+                # Of two blocks now the one, now the other asks, so that the work spreads over both sides of the loop.
+                one, other = (a, b) if (a["no"] + b["no"]) % 2 else (b, a)
+                asks[one["no"]].append(other["no"])
+    wanted = table.sparkSession.createDataFrame(list(asks.items()), "no int, asks array<int>").coalesce(1)
+    columns = ["no", "cell", "ids", "data", "more", "radius"]
+    left = table.join(F.broadcast(wanted), "no").select("group_key", "asks", *[F.col(c).alias(f"a_{c}") for c in columns])
+    right = table.select(*[F.col(c).alias(f"b_{c}") for c in columns])
+    met = left.join(right, F.array_contains("asks", F.col("b_no"))).drop("asks")
+
+    def block(row, side: str) -> Tile:
+        ids, data, numbers = row[f"{side}_ids"], row[f"{side}_data"], row[f"{side}_more"]
+        kind = np.float32 if len(data) == 4 * len(ids) * pivots.shape[1] else np.float64
+        x = np.frombuffer(data, kind).reshape(len(ids), -1).astype(float)
+        return Tile(row["group_key"], np.asarray(ids), x, np.asarray(numbers) if len(numbers) else None)
+
+    def reaching(rows: Tile, own: int, other: int, radius: float) -> Tile:
+        """The rows that may be near a member of another cell."""
+        gap = _gaps(rows.x, pivots[[own, other]])
+        slack = 1e-6 * (1 + gap.max(initial=0.0))
+        return rows.part(~((gap[:, 1] > radius + eps + slack) | (gap[:, 1] > gap[:, 0] + 2 * eps + slack)))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.to_dict("records"):
+                a, b, same = block(row, "a"), block(row, "b"), row["a_no"] == row["b_no"]
+                if row["a_cell"] != row["b_cell"]:
+                    a, b = (reaching(a, row["a_cell"], row["b_cell"], row["b_radius"]),
+                            reaching(b, row["b_cell"], row["a_cell"], row["a_radius"]))
+                lefts = a.tiles()
+                yield from _reduced((kernel(p, q, same and i == j) for i, p in enumerate(lefts)
+                                     for j, q in enumerate(lefts if same else b.tiles()) if not same or i <= j), reduced)
+
+    return met.mapInPandas(run, schema)
+
+
 def eps_join(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, mode: str = "exact",
              recall: float = 0.95, seed: int = 42) -> DataFrame:
     """All pairs ``a < b`` of one group at distance ``<= eps``: (group_key, a, b, dist).
@@ -203,16 +352,16 @@ def eps_join(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, mode:
     rows = points.where(F.col("vector").isNotNull()).select("group_key", "id", "vector")
     schema = f"group_key {key_type}, a {id_type}, b {id_type}, dist double"
 
-    def found(left: pd.DataFrame, right: pd.DataFrame, same: bool, i, j, d) -> pd.DataFrame:
-        a, b = left["id"].to_numpy()[i], right["id"].to_numpy()[j]
+    def found(key, a: np.ndarray, b: np.ndarray, same: bool, d: np.ndarray) -> pd.DataFrame:
         if same:
             once = a < b
-            a, b, d, i = a[once], b[once], d[once], i[once]
+            a, b, d = a[once], b[once], d[once]
         low, high = np.where(a < b, a, b), np.where(a < b, b, a)
-        return _frame(group_key=left["group_key"].to_numpy()[i], a=low, b=high, dist=d)
+        return _frame(group_key=[key] * len(a), a=low, b=high, dist=d)
 
-    def pairs(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
-        return found(left, right, same, *within(_matrix(left["vector"]), _matrix(right["vector"]), eps))
+    def pairs(left: Tile, right: Tile, same: bool) -> pd.DataFrame:
+        i, j, d = within(left.x, right.x, eps)
+        return found(left.key, left.ids[i], right.ids[j], same, d)
 
     def pairs_of_table(left: pd.DataFrame, right: pd.DataFrame, same: bool) -> pd.DataFrame:
         i, j, d = within(_matrix(left["vector"]), _matrix(right["vector"]), eps)
@@ -222,10 +371,10 @@ def eps_join(points: DataFrame, eps: float, block_rows: int = BLOCK_ROWS, mode:
             earlier = np.stack(left["buckets"].to_numpy())[i, :table] == np.stack(right["buckets"].to_numpy())[j, :table]
             own = ~earlier.any(axis=1)
             i, j, d = i[own], j[own], d[own]
-        return found(left, right, same, i, j, d)
+        return found(left["group_key"].iloc[0], left["id"].to_numpy()[i], right["id"].to_numpy()[j], same, d)
 
     if mode == "exact":
-        return block_map(blocked(rows, eps, block_rows=block_rows), pairs, schema)
+        return near_map(rows, eps, pairs, schema, block_rows=block_rows)
     if mode != "approximate":
         raise ValueError(f"unknown mode {mode}")
     rows = materialize(rows, "lsh-points")

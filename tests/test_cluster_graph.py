@@ -374,3 +374,24 @@ def test_blocks_of_many_tiles_give_the_same_results(spark, monkeypatch):
     want, core = brute_dbscan(x, 0.4, 5)
     labels = {r["id"]: (r["label"], r["is_core"]) for r in L.cluster_dbscan(points, 0.4, 5, block_rows=8).collect()}
     assert labels == {i: (want[i], core[i]) for i in range(160)}
+
+
+@pytest.mark.parametrize("single", [True, False])
+def test_vectors_within_a_radius_are_shuffled_once_and_met_exactly(spark, single):
+    x = np.random.default_rng(5).normal(0, 1, (300, 3))
+    x = x.astype(np.float32).astype(float) if single else x
+    groups = [None if i % 3 else f"small{i // 30}" for i in range(len(x))]
+    rows = [(groups[i], i, [float(v) for v in r]) for i, r in enumerate(x)]
+    points = spark.createDataFrame(rows, SCHEMA)
+    joined = NB.eps_join(points, 0.4, block_rows=16)
+    gap = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2)).round(9)
+    want = {(i, j) for i in range(len(x)) for j in range(i + 1, len(x)) if gap[i, j] <= 0.4 and groups[i] == groups[j]}
+    got = [(r["a"], r["b"]) for r in joined.collect()]
+    assert len(want) > 100 and len(got) == len(want) and set(got) == want
+    packed = NB.packed_blocks(points.where("group_key IS NULL"), 200, None, 16).table
+    assert sorted(i for r in packed.collect() for i in r["ids"]) == [i for i in range(len(x)) if groups[i] is None]
+    # Blocks meet without a copy of their vectors for each pair of blocks.
+    alone = NB.eps_join(points.where("group_key IS NULL"), 0.4, block_rows=16)
+    plan = alone._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" in plan or "Cartesian" in plan
+    assert "hashpartitioning(group_key" not in plan and "Sort [group_key" not in plan
