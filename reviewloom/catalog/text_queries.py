@@ -13,6 +13,7 @@ from reviewloom.operators import scoring as C
 from reviewloom.operators import segments as S
 from reviewloom.operators import terms as N
 from reviewloom.plans import stages as P
+from reviewloom.session import materialize
 
 QUERIES = {}
 ORACLE = {}
@@ -279,8 +280,9 @@ def non_hr_groups(spark, sf_dir):
     rows = segments.join(labelled.select("review_id", F.col("classification").alias("computed")), "review_id")
     rows = rows.select("side", "sentiment_side", S.existing_label_first(given, F.col("computed")).alias("classification"))
     kept = S.non_hr_loose(rows)
-    # All three groupings from one pass: the modes are rows, not separate scans.
-    modes = [S.group_mode(kept.groupBy("side", "sentiment_side").agg(F.count("*").alias("n")), m)
+    # All three groupings from one pass over the scores: they read its few counts.
+    counts = materialize(kept.groupBy("side", "sentiment_side").agg(F.count("*").alias("n")), "side-counts")
+    modes = [S.group_mode(counts, m)
              .groupBy("group_key").agg(F.sum("n").alias("n_rows")).select(F.lit(m).alias("mode"), "group_key", "n_rows")
              for m in ("four_source_groups", "sentiment_side_groups", "full_unified_group")]
     return S.union_sides(*modes)
@@ -379,6 +381,7 @@ def confidence_filters(spark, sf_dir):
     segments = I.segments(spark, sf_dir)
     labelled = C.label_scores(C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir)), "tfidf")
     scored = C.hr_rule_score(segments, labelled, sum(FACTOR_PHRASES.values(), []), HR_WORDS)
-    conf = scored.select(S.hr_confidence(F.col("hr_rule_score")).alias("classification_confidence"))
+    # Written, so that both filters read one pass of scoring.
+    conf = materialize(scored.select(S.hr_confidence(F.col("hr_rule_score")).alias("classification_confidence")), "confidences")
     kept = {"confident": S.confidence_filter(conf), "borderline": S.borderline_queue(conf)}
     return S.union_sides(*[df.agg(F.count("*").alias("n")).select(F.lit(name).alias("rows_kept"), "n") for name, df in kept.items()])
