@@ -353,10 +353,16 @@ def _stars(opened: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
     met = rows.where("root <> hub_root").join(hubs, "sig").select("root", "digest", F.explode("hubs").alias("hub"))
     pairs = met.groupBy("root", "digest", "hub").agg(F.count("*").alias("shared")).select(
         "root", F.least("digest", "hub").alias("a"), F.greatest("digest", "hub").alias("b"), "shared")
-    if tried is not None:
-        pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     order = W.partitionBy("root").orderBy(F.desc("shared"), "a", "b")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROPOSALS).select("a", "b").distinct()
+
+    def best(rows: DataFrame, most: int) -> DataFrame:
+        return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most).drop("rank")
+
+    if tried is None:
+        return best(pairs, PROPOSALS).select("a", "b").distinct()
+    # A component has tried few pairs in each turn, so only as many more are looked up; what a large group shares is not.
+    some = best(pairs, PROPOSALS * (turn + 1)).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    return best(some, PROPOSALS).select("a", "b").distinct()
 
 
 BLOCK_KEY = ["sig", "x", "y"]

@@ -390,3 +390,17 @@ def test_fillings_come_by_rising_waste_and_none_is_dominated():
     for i, f in enumerate(found):
         assert not any(len(g) == len(f) and all(x >= y for x, y in zip(g, f)) for g in [[9, 7, 4], *found[:i]])
     assert counts.n[9] == 0 and counts.n[5] == 2
+
+
+def test_only_the_best_pairs_of_a_component_are_looked_up_among_the_tried(spark):
+    # A component of 40 sets shares a signature with each of 60 members of a larger one.
+    rows = [(s, 1000 + s, 1000, 100) for s in range(60)] + [(s, d, 1, 100) for s in range(60) for d in range(1, 41)]
+    rows += [(s, 2000 + d, 1000, 100) for s in range(60) for d in range(60)]
+    opened = spark.createDataFrame(rows, "sig long, digest long, root long, members long")
+    first = ngram_join._stars(opened, None, 0)
+    tried = first.selectExpr("a", "b", "false AS linked").localCheckpoint()
+    again = ngram_join._stars(opened, tried, 1)
+    assert first.count() == again.count() == ngram_join.PROPOSALS
+    assert again.join(tried, ["a", "b"]).isEmpty()
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" in plan[plan.index("LeftAnti"):]
