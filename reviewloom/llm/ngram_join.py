@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 
 from reviewloom.llm.common import LOWER_ASCII, KeyFilter, arrow, constants, keep, mix, sliced, span_hashes, texts
 from reviewloom.operators.graph import connected_components
+from reviewloom.session import discard
 
 SHINGLE = 5
 #: Jaccard threshold as a fraction.
@@ -40,6 +41,8 @@ PROPOSALS = 4
 BLOCK = 1024
 #: Pairs for each row of a block pair that are written; with more of them the rows are compared where they meet.
 SPARSE = 4
+#: Members from which a signature group is large, and how many large groups of a set are known to all of its rows.
+LARGE, LEADS = 64, 4
 
 _PLACE = constants(SHINGLE, 31)
 _SALT = constants(8, 37)
@@ -309,7 +312,10 @@ class _Join:
         seen = (pairs.join(sets.select(F.col("digest").alias("a"), F.col("shingles").alias("sa")), "a")
                 .join(sets.select(F.col("digest").alias("b"), F.col("shingles").alias("sb")), "b")
                 .select("a", "b", "sa", "sb"))
-        return keep(seen.mapInArrow(_verify, "a long, b long, linked boolean"), "join-verified")
+        verified = keep(seen.mapInArrow(_verify, "a long, b long, linked boolean"), "join-verified")
+        discard(pairs)
+        discard(sets)
+        return verified
 
     def sets_of(self, digests: DataFrame) -> DataFrame:
         """``(digest, shingles)`` of some sets, each read once from the row that stands for it."""
@@ -325,7 +331,9 @@ class _Join:
         rows = self.documents.select(_row_key(self.id, self.text).alias("row"), F.col(self.text).alias("text"))
         full = rows.where(named("row")).join(wanted, "row").select("digest", "text")
         # A repeated row gives its set more than once.
-        return keep(full.mapInArrow(_sets, "digest long, shingles array<long>").dropDuplicates(["digest"]), "join-shingles")
+        sets = keep(full.mapInArrow(_sets, "digest long, shingles array<long>").dropDuplicates(["digest"]), "join-shingles")
+        discard(wanted)
+        return sets
 
 
 def _rooted(rows: DataFrame, roots: DataFrame, digest: str, root: str) -> DataFrame:
@@ -333,6 +341,14 @@ def _rooted(rows: DataFrame, roots: DataFrame, digest: str, root: str) -> DataFr
         root, F.coalesce(root, digest))
 
 
+def _joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """``roots`` (node, root) after more links (a, b): components of the components, so only what is new is worked on."""
+    ends = _rooted(_rooted(links.select("a", "b"), roots, "a", "src"), roots, "b", "dst").select("src", "dst")
+    over = keep(connected_components(ends), "join-over")
+    moved = _rooted(roots.select("node", F.col("root").alias("was")), over, "was", "root").select("node", "root")
+    return keep(moved.unionByName(over.join(roots, "node", "left_anti")), "join-roots")
+
+
 def _open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
     """Rows of the signatures whose sets are not all in one component, with component and the number of rows."""
     rooted = _rooted(groups, roots, "digest", "root")
@@ -340,6 +356,15 @@ def _open_groups(groups: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(counts.where("low <> high"), "sig")
 
 
+def _first_pairs(groups: DataFrame) -> DataFrame:
+    """What ``_stars`` gives while every set is a component of its own: the ``PROPOSALS`` smallest digests of its signatures
+    that a set shares most signatures with."""
+    shared = groups.where("digest <> centre").repartition("digest").groupBy("digest", "centre").agg(F.count("*").alias("shared"))
+    order = W.partitionBy("digest").orderBy(F.desc("shared"), "centre")
+    return shared.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= PROPOSALS).select(
+        F.col("centre").alias("a"), F.col("digest").alias("b"))
+
+
 def _stars(opened: DataFrame, tried: DataFrame | None, turn: int) -> DataFrame:
     """Up to ``PROPOSALS`` untried pairs for every component that is not the largest in one of its signatures: the pairs
     with up to three members of the largest one that share most signatures."""
@@ -378,6 +403,8 @@ def _by_block(work):
             rows["sketch"] = batch.column("sketch").to_pylist()
             if "shingles" in batch.schema.names:
                 rows["shingles"] = _lists(batch.column("shingles"))
+            if "lead" in batch.schema.names:
+                rows["lead"] = batch.column("lead").flatten().to_numpy().reshape(-1, LEADS)
             if held is not None:
                 rows = {c: np.concatenate([held[c], v]) if isinstance(v, np.ndarray) else held[c] + v for c, v in rows.items()}
             key = np.column_stack([rows[c] for c in BLOCK_KEY])
@@ -416,13 +443,19 @@ class _Block:
         return may_link(self.drawn[i], self.drawn[k], int(self.size[i]), int(self.size[k]))
 
 
+def _met_before(lead: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For each pair of rows, whether both have a signature that comes before the one where they meet here."""
+    return ((lead[a][:, :, None] == lead[b][:, None, :]) & (lead[a] != 0)[:, :, None]).any(axis=(1, 2))
+
+
 def _open_pairs(rows, cuts):
-    """The pairs of a block pair that the sketches allow, if they are few beside its rows; else the rows, to be compared where they meet."""
+    """The pairs of a block pair that the sketches allow, if they are few beside its rows; else the rows, to be compared where they meet.
+    Pairs that have met before are no pairs of this block."""
     many = np.diff(cuts)
     key = np.repeat(np.arange(len(many)), many)
     root, block, size = (rows[c][:cuts[-1]] for c in ("root", "block", "n"))
     two = rows["x"][:cuts[-1]] != rows["y"][:cuts[-1]]
-    drawn, room, found = Sketches(rows["sketch"][:cuts[-1]]), SPARSE * many, []
+    drawn, room, found, lead = Sketches(rows["sketch"][:cuts[-1]]), SPARSE * many, [], rows.get("lead")
     here = np.arange(cuts[-1])
     # Each row beside the next one of its key, then the one after that, and so on; keys with too many pairs leave.
     for step in range(1, many.max()):
@@ -432,7 +465,12 @@ def _open_pairs(rows, cuts):
             break
         ok = (root[here] != root[here + step]) & (~two[here] | (block[here] != block[here + step]))
         pair = here[ok]
+        if lead is not None:
+            # Most pairs of near copies are known by their first large group; the others are looked at only if they are allowed.
+            pair = pair[(lead[pair, 0] == 0) | (lead[pair, 0] != lead[pair + step, 0])]
         pair = pair[drawn.allowed(pair, pair + step, size)]
+        if lead is not None:
+            pair = pair[~_met_before(lead, pair, pair + step)]
         room -= np.bincount(key[pair], minlength=len(many))
         found.append(np.column_stack([pair, pair + step]))
     pairs = np.concatenate([np.zeros((0, 2), np.int64), *found])
@@ -465,35 +503,52 @@ def _block_links(rows, cuts):
         yield arrow({"a": ends[:, 0], "b": ends[:, 1]}, {"a": pa.int64(), "b": pa.int64()})
 
 
+def _in_blocks(rows: DataFrame, most: int) -> DataFrame:
+    """Rows of groups (sig, members, digest and more), each once for every pair of blocks of its group that it belongs to."""
+    return (rows.withColumn("blocks", F.ceil(F.col("members") / most))
+            .withColumn("block", F.pmod(F.xxhash64("digest"), "blocks"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            .withColumn("x", F.least("block", "other")).withColumn("y", F.greatest("block", "other")))
+
+
+def _with_leads(opened: DataFrame) -> DataFrame:
+    """``opened`` with ``lead``: which of the first large groups of a row's set come before the row's own, 0 for none.
+
+    Large groups come first, by signature. A pair is compared in the first group that both sets have, and not again where
+    the leads of both show an earlier one: near copies share most of their signatures.
+    """
+    first = F.slice(F.array_sort(F.collect_set("sig")), 1, LEADS)
+    leads = opened.where((F.col("members") >= LARGE) & (F.col("sig") != 0)).groupBy("digest").agg(first.alias("lead"))
+    own = F.transform("lead", lambda s: F.when((F.col("members") < LARGE) | (s < F.col("sig")), s).otherwise(0))
+    filled = F.slice(F.concat(F.coalesce(own, F.array().cast("array<long>")), F.array_repeat(F.lit(0).cast("long"), LEADS)), 1, LEADS)
+    return opened.join(leads, "digest", "left").withColumn("lead", filled)
+
+
 def _remaining(opened: DataFrame, join: _Join, tried: DataFrame | None) -> DataFrame:
     """Links (a, b) enough to connect what is similar in open groups and not connected yet.
 
-    A group of many rows is dealt into blocks, pair by pair of blocks. Where the sketches allow few pairs, at most ``SPARSE`` for each row of the
-    block pair, these are verified one by one. Where they allow more, as among many near copies, the rows meet again with
-    their sets and give only links that connect. So what is written grows with the rows, not with their pairs.
+    A group of many rows is dealt into blocks, pair by pair of blocks, and a pair of sets is compared in one group. Where the sketches allow
+    few pairs, at most ``SPARSE`` for each row of the block pair, these are verified one by one. Where they allow more, as among many near
+    copies, the rows meet again with their sets and give only links that connect. So what is written grows with the rows, not with their pairs.
     """
-    blocks = F.ceil(F.col("members") / BLOCK)
-    rows = (opened.withColumn("blocks", blocks)
-            .withColumn("block", F.pmod(F.xxhash64("digest"), "blocks"))
-            .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-            .select("sig", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "block", "digest", "root")
-            .join(join.about.select("digest", "n", "sketch"), "digest"))
-
     def dealt(df: DataFrame, *more: str) -> DataFrame:
         return df.select(*BLOCK_ROW, "sketch", *more).repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "digest")
 
     kinds = ", ".join(f"{c} long" for c in ["a", "b", *BLOCK_ROW]) + ", sketch binary"
-    found = keep(dealt(rows).mapInArrow(_by_block(_open_pairs), kinds), "join-remaining")
+    rows = _in_blocks(_with_leads(opened), BLOCK).join(join.about.select("digest", "n", "sketch"), "digest")
+    found = keep(dealt(rows, "lead").mapInArrow(_by_block(_open_pairs), kinds), "join-remaining")
     pairs = found.where("a IS NOT NULL").select("a", "b").distinct()
     if tried is not None:
         pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
     links = join.verify(pairs).where("linked").select("a", "b")
-    dense = found.where("sig IS NOT NULL").drop("a", "b")
+    dense = found.where("sig IS NOT NULL").select("sig", "digest", "root", "n", "sketch").distinct()
     if dense.isEmpty():
         return links
+    # These are few groups, so they are dealt anew, into smaller blocks.
+    dense = dense.join(dense.groupBy("sig").agg(F.count("*").alias("members")), "sig")
     sets = join.sets_of(dense.select("digest").distinct())
-    return links.unionByName(keep(
-        dealt(dense.join(sets, "digest"), "shingles").mapInArrow(_by_block(_block_links), "a long, b long"), "join-links"))
+    return links.unionByName(keep(dealt(_in_blocks(dense, max(1, BLOCK // 4)).join(sets, "digest"), "shingles").mapInArrow(
+        _by_block(_block_links), "a long, b long"), "join-links"))
 
 
 def similar_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -506,19 +561,21 @@ def similar_components(documents: DataFrame, id_column: str = "doc_id", text_col
     """
     join = _Join(documents, id_column, text_column)
     groups = join.groups()
-    spark = documents.sparkSession
-    roots = spark.createDataFrame([], "node long, root long")
-    links = tried = None
+    roots = documents.sparkSession.createDataFrame([], "node long, root long")
+    tried = None
     for turn in range(STAR_ROUNDS + 1):
-        opened = keep(_open_groups(groups, roots), "join-open")
+        if turn or not STAR_ROUNDS:
+            # Components only grow, so what is open now was open before.
+            opened = keep(_open_groups(groups, roots), "join-open")
+            discard(groups)
+            groups = opened.select("sig", "digest")
         if turn < STAR_ROUNDS:
-            seen = join.verify(_stars(opened, tried, turn))
+            seen = join.verify(_stars(opened, tried, turn) if turn else _first_pairs(groups))
             tried = seen if tried is None else tried.unionByName(seen)
-            links = tried.where("linked").select(F.col("a").alias("src"), F.col("b").alias("dst"))
+            links = seen.where("linked")
         else:
-            more = _remaining(opened, join, tried).select(F.col("a").alias("src"), F.col("b").alias("dst"))
-            links = more if links is None else links.unionByName(more)
-        roots = keep(connected_components(links), "join-roots")
+            links = _remaining(opened, join, tried)
+        roots = _joined(roots, links)
     rooted = _rooted(join.sets.where("digest IS NOT NULL").select("id", "row", "n", "digest"), roots, "digest", "root")
     best = rooted.groupBy("root").agg(
         F.min("id").alias("component"),

@@ -404,3 +404,60 @@ def test_only_the_best_pairs_of_a_component_are_looked_up_among_the_tried(spark)
     assert again.join(tried, ["a", "b"]).isEmpty()
     plan = again._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" in plan[plan.index("LeftAnti"):]
+
+
+def test_first_pairs_are_the_stars_of_single_sets(spark):
+    rng = random.Random(9)
+    groups = {(s, d) for s in range(40) for d in rng.sample(range(-30, 30), rng.choice([2, 3, 12]))}
+    low = {s: min(d for t, d in groups if t == s) for s, _ in groups}
+    rows = [(s, d, low[s], d, sum(t == s for t, _ in groups)) for s, d in groups]
+    given = spark.createDataFrame(rows, "sig long, digest long, centre long, root long, members long")
+    plain = sorted(map(tuple, ngram_join._stars(given.drop("centre"), None, 0).collect()))
+    assert plain and sorted(map(tuple, ngram_join._first_pairs(given).collect())) == plain
+
+
+def test_near_copies_are_compared_in_one_of_their_groups(spark, monkeypatch):
+    # Near copies of one text, most too far apart to be linked, that share most of their signatures.
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(200)]
+    rows = []
+    for k in range(90):
+        w = list(base)
+        for place in rng.sample(range(0, 196, 6), 5):
+            w[place] = f"x{k}"
+        rows.append((k, " ".join(w)))
+    written, keep = [], ngram_join.keep
+
+    def counting(df, label):
+        kept = keep(df, label)
+        if label == "join-remaining":
+            written.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(ngram_join, "keep", counting)
+    monkeypatch.setattr(ngram_join, "STAR_ROUNDS", 0)
+    for large, block in ((64, 1024), (2, 16)):
+        monkeypatch.setattr(ngram_join, "LARGE", large)
+        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        got = ngram_join.similar_components(spark.createDataFrame([(d, t, "", 0) for d, t in rows], SCHEMA))
+        assert sorted((str(r.id), r.n_shingles, str(r.component)) for r in got.collect()) == brute_components(rows)
+    groups = sum(len(ngram_join.signatures(own)) for _, own in ngram_join.shingle_sets(pa.array([t for _, t in rows])))
+    assert written and written[0] < groups / 2, (written, groups)
+
+
+def test_a_pair_is_a_pair_of_its_first_group_only():
+    rng = np.random.default_rng(8)
+    base = np.unique(rng.integers(0, 2**63, 200, dtype=np.uint64))
+    sketches = [ngram_join.sketch(base[rng.random(200) > 0.02]) for _ in range(4)]
+    rows = {c: [] for c in [*ngram_join.BLOCK_ROW, "sketch", "lead"]}
+    for sig in (3, 5, 9):
+        for i in range(4):
+            # The last set has no part in the first group, and the leads name no group that comes later.
+            if sig == 3 and i == 3:
+                continue
+            lead = [s for s in ((3, 5, 9) if i < 3 else (5, 9)) if s < sig]
+            for c, v in zip(rows, [sig, 0, 0, 0, i, i, 200, sketches[i], lead + [0] * (ngram_join.LEADS - len(lead))]):
+                rows[c].append(v)
+    rows = {c: v if c == "sketch" else np.array(v) for c, v in rows.items()}
+    out = [r for batch in ngram_join._open_pairs(rows, [0, 3, 7, 11]) for r in batch.to_pylist()]
+    assert sorted((r["a"], r["b"]) for r in out) == [(0, 1), (0, 2), (0, 3), (1, 2), (1, 3), (2, 3)]
