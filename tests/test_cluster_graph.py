@@ -275,6 +275,35 @@ def test_near_duplicates_with_a_term_in_every_text(spark):
     assert "bi" in plan and met.where("a >= b").count() == 0
 
 
+def test_texts_that_share_little_are_no_candidates(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = np.zeros((60, 900))
+    x[:, 0] = 1.0  # the rarest term of all that are in two texts, and in all of them
+    for i in range(0, 60, 2):
+        own = rng.choice(np.arange(1, 900), 60, replace=False)
+        x[i, own] = 0.5 + rng.random(60)
+        x[i + 1, own] = x[i, own] * (1 + 0.1 * rng.random(60))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = (x > 0).sum(axis=0)
+    rows = [(i, f"t{j:03d}", float(x[i, j]), 2 if j == 0 else 3 + int(df[j])) for i in range(60) for j in range(900) if x[i, j]]
+    features = spark.createDataFrame(rows, "doc_id int, term string, weight double, df int")
+    written, materialize = {}, U.materialize
+
+    def counting(frame, label="step"):
+        kept = materialize(frame, label)
+        written[label] = kept.count()
+        return kept
+
+    monkeypatch.setattr(U, "materialize", counting)
+    monkeypatch.setattr(U, "RARER", 1, raising=False)
+    got = {(r["a"], r["b"]): r["sim"] for r in U.near_duplicates(features, 0.9).collect()}
+    sims = x @ x.T
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if round(sims[i, j], 9) >= 0.9}
+    assert set(got) == want and len(want) == 30 and all(abs(s - sims[p]) < 1e-9 for p, s in got.items())
+    # All 1,770 pairs share the first term.
+    assert len(want) <= written["met"] < 100
+
+
 def test_minibatch_centres_are_close_to_a_full_fit(spark):
     from reviewloom.operators import minibatch as MB
     rng = np.random.default_rng(4)
