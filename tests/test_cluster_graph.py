@@ -224,6 +224,36 @@ def test_svd_matches_numpy(spark):
     assert np.allclose(np.linalg.norm(got, axis=0), s[:3], rtol=1e-6)
 
 
+def test_products_with_a_basis_are_summed_in_as_many_parts_as_there_are_cores(spark, monkeypatch):
+    monkeypatch.setattr(D, "SLICE", 3)
+    monkeypatch.setattr(D, "PART", 4)
+    rng = np.random.default_rng(5)
+    x = rng.random((40, 10)) * (rng.random((40, 10)) < 0.4)
+    x[7] = 0
+    lists = [([j for j in range(10) if r[j]], [float(v) for v in r if v]) for r in x]
+    # A term that a row has twice counts with the sum of its weights.
+    lists[3] = (lists[3][0] + lists[3][0][:1], lists[3][1] + [0.5])
+    x[3, lists[3][0][0]] += 0.5
+    rows = spark.createDataFrame(lists, "at array<int>, w array<double>").repartition(30)
+    basis = rng.random((10, 3))
+    assert np.allclose(D._gram_product(rows.where("false"), basis), 0)
+    sent, whole = [], type(rows).collect
+    monkeypatch.setattr(type(rows), "collect", lambda df: sent.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    assert np.allclose(D._gram_product(rows, basis), x.T @ (x @ basis))
+    assert "Coalesce 4" in sent[0]
+
+
+def test_products_of_coordinates_come_without_a_join(spark):
+    x = np.random.default_rng(6).random((25, 4))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(99, None)], "id int, vector array<double>").repartition(5)
+    products = D.vector_products(rows)
+    assert "Join" not in products._jdf.queryExecution().executedPlan().toString()
+    got = {(r["p"], r["q"]): r["product"] for r in products.collect()}
+    assert sorted(got) == [(p, q) for p in range(4) for q in range(p, 4)]
+    assert all(np.isclose(v, (x.T @ x)[k]) for k, v in got.items())
+    assert D.vector_products(rows.where("false")).count() == 0
+
+
 def test_cluster_rows_schema_and_sizes(spark):
     x = cloud(40)
     frame_ = spark.createDataFrame([(f"r{i}", "pros_gd" if i % 2 else "cons_gd") for i in range(40)],
