@@ -320,9 +320,7 @@ SELECT count(DISTINCT doc_id) AS n_rows, least(96, count(DISTINCT term)) AS n_co
        true AS no_longer_than_one FROM feats""")
 def svd_checks(spark, sf_dir):
     reduced = materialize(D.reduce_svd(N.text_features(SQ.unique_documents(spark, sf_dir), "doc_id"), "doc_id", 96), "svd")
-    long = reduced.select("doc_id", F.posexplode("vector").alias("p", "x"))
-    met = long.join(long.select("doc_id", F.col("p").alias("q"), F.col("x").alias("y")), "doc_id").where("p <= q")
-    products = materialize(met.groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("product")), "svd-products")
+    products = materialize(D.vector_products(reduced), "svd-products")
     own = products.where("p = q").select("p", "product")
     following = own.join(own.select((F.col("p") - 1).alias("p"), F.col("product").alias("next")), "p")
     return reduced.agg(F.count("*").alias("n_rows"), F.max(F.size("vector")).cast("long").alias("n_components")).select(
