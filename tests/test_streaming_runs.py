@@ -99,6 +99,51 @@ def test_frozen_model_ignores_what_it_does_not_know(spark, tmp_path, dictionary)
     assert again.categories == ["pay", "team"] and again.terms.count() == model.terms.count()
 
 
+def test_frozen_scores_by_ranges_of_hashes_equal_the_joined_ones(spark, tmp_path, dictionary, monkeypatch):
+    from reviewloom.operators import counts as Y
+    from reviewloom.operators import terms as N
+
+    monkeypatch.setattr(Y, "BLOCK_TEXTS", 2)
+    monkeypatch.setattr(Y, "BLOCKS_OF_RANGE", 1)
+    frame = spark.createDataFrame(TEXTS + [(None, "a", "pay"), (None, "a", "good pay")], "review_id string, side string, review_text string")
+    model = C.freeze_tfidf(frame, dictionary, str(tmp_path / "model"))
+    assert model.terms.count() > 1 and dict(model.terms.dtypes)["hashes"] == "binary"
+    late = spark.createDataFrame([("x", "a", "unheard fair pay words friendly"), ("x", "b", "fair pay"), ("y", None, "work culture"), ("z", "new", "fair pay"),
+                                  (None, "a", "good fair pay"), ("w", "a", None)], frame.schema)
+    keyed = lambda df: N.keyed_group(df, "side")
+    tf = lambda df: C.text_terms(keyed(df), "side", "review_id", "review_text", 3, None)
+    plain = C._fit(keyed(frame), tf(frame), dictionary, None, "side", 3, None)
+    for df in (frame, late):
+        got = C.frozen_tfidf_scores(df, model)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "HashAggregate" not in plan
+        assert rows_of(got) == rows_of(C._scored(tf(df), plain, "side", "review_id"))
+    none = C.freeze_tfidf(frame.where("false"), dictionary, str(tmp_path / "none"))
+    assert {(r.score_pay, r.score_team) for r in C.frozen_tfidf_scores(late, none).collect()} == {(0.0, 0.0)}
+
+
+def test_texts_are_read_once_for_their_phrases_and_their_largest_counts(spark, tmp_path):
+    frame = spark.createDataFrame([("r0", "fair pay, fair pay"), ("r1", "fair pay"), ("r2", "pay rise"), ("r3", None)], "review_id string, review_text string")
+    frame.write.parquet(str(tmp_path / "phrases"))
+    stored = spark.read.parquet(str(tmp_path / "phrases"))
+    scored = C.regex_factor_score(stored, {"pay": ["fair pay"], "rise": ["pay rise"]})
+    ruled = C.hr_rule_score(stored, stored.select("review_id", F.lit(0.5).alias("hr_score")), ["fair pay"], ["pay"])
+    for df in (scored, ruled):
+        # The texts are behind what was written.
+        assert "review_text" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.review_id: (r.regex_pay, r.regex_rise) for r in scored.collect()} == {"r0": (1.0, 0.0), "r1": (0.5, 0.0), "r2": (0.0, 1.0), "r3": (0.0, 0.0)}
+    assert {r.review_id: round(r.hr_rule_score, 9) for r in ruled.collect()} == {"r0": 0.8, "r1": 0.625, "r2": 0.375, "r3": 0.2}
+
+
+def test_an_empty_vocabulary_has_no_themes(spark):
+    from reviewloom.operators import terms as N
+
+    texts = spark.createDataFrame([("r0", "alone"), ("r1", None)], "review_id string, review_text string")
+    themes = spark.createDataFrame([("pay", "alone"), ("team", "peers")], "category string, text string")
+    scored = N.theme_scores(texts, themes, ["pay", "team"], "review_id", "review_text")
+    assert sorted((r.review_id, r.theme_pay, r.theme_team) for r in scored.collect()) == [("r0", 0.0, 0.0), ("r1", 0.0, 0.0)]
+
+
 def test_own_and_null_sides_keep_their_rows(spark, dictionary):
     frame = spark.createDataFrame(TEXTS, "review_id string, side string, review_text string")
     got = {r.review_id: r for r in C.classify(frame, dictionary).collect()}
