@@ -166,8 +166,8 @@ def frozen_tfidf_scores(spark, sf_dir):
 @register("streamed_tfidf_scores", STREAMED)
 def streamed_tfidf_scores(spark, sf_dir):
     """The same scores from a stream of files, one micro-batch each."""
-    segments = materialize(I.segments(spark, sf_dir).select("side", "review_id", "review_text"), "stream-segments")
-    model = C.freeze_tfidf(segments, I.corpus_seeds(spark, sf_dir), shared(spark, "model"))
+    segments = I.stored_segments(spark, sf_dir)
+    model = C.freeze_tfidf(segments, I.corpus_seeds(spark, sf_dir, segments), shared(spark, "model"), stored=True)
     source, out = shared(spark, "stream"), shared(spark, "scored")
     segments.repartition(3, "review_id").write.parquet(source)
     stream = spark.readStream.schema(segments.schema).option("maxFilesPerTrigger", 1).parquet(source)

@@ -77,14 +77,15 @@ def scored_rows(spark, folder: str) -> DataFrame:
     return spark.read.parquet(*parts)
 
 
-def stream_classify_tfidf(texts: DataFrame, model: C.TfidfModel, folder: str, checkpoint: str, group: str = "side",
+def stream_classify_tfidf(texts: DataFrame, model: C.FrozenTfidf, folder: str, checkpoint: str, group: str = "side",
                           doc: str = "review_id", text: str = "review_text", threshold: float | None = None) -> StreamingQuery:
     """Score and label a stream of texts by a frozen TF-IDF model (:func:`~reviewloom.operators.scoring.freeze_tfidf`).
 
-    A text's scores depend on the model and on itself alone, so how the stream is cut into batches does not matter.
+    A text's scores depend on the model and on itself alone, so how the stream is cut into batches does not matter. A batch is read
+    from the stream's source by each pass over it.
     """
     def score(batch: DataFrame) -> DataFrame:
-        scores = C.frozen_tfidf_scores(batch, model, group, doc, text)
+        scores = C.frozen_tfidf_scores(batch, model, group, doc, text, stored=True)
         return C.label_scores(scores, "tfidf", model.categories, threshold)
 
     return _stream_scored(texts, score, folder, checkpoint)
