@@ -275,11 +275,11 @@ def backend_choice(spark, sf_dir):
 SELECT review_id, {', '.join(f'round(0.4 * r{i} + 0.3 * score_{c} + 0.3 * e{i}, 6) AS factor_{c}' for i, c in enumerate(VQ.CATS))}
 FROM factors JOIN wide USING (review_id) JOIN ewide USING (review_id)""")
 def hybrid_three_part_scores(spark, sf_dir):
-    segments = I.segments(spark, sf_dir)
+    segments = I.stored_segments(spark, sf_dir)
     cents = C.category_centroids(I.seed_vectors(spark, sf_dir), weighted=True)
     embedded = C.embedding_scores(review_vectors(spark, sf_dir), cents, VQ.CATS)
     embedded = embedded.withColumnsRenamed({f"score_{c}": f"embedding_{c}" for c in VQ.CATS})
-    three = C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir)).join(
+    three = C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir, segments), stored=True).join(
         C.regex_factor_score(segments, TQ.FACTOR_PHRASES), "review_id").join(embedded, "review_id")
     return three.select("review_id", *[F.round(C.hybrid_score(F.col(f"regex_{c}"), F.col(f"score_{c}"), F.col(f"embedding_{c}")), 6)
                                        .alias(f"factor_{c}") for c in VQ.CATS])
