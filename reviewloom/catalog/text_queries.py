@@ -227,8 +227,8 @@ def phrase_overlap(spark, sf_dir):
 SELECT review_id, {', '.join(f'round(0.6 * r{i} + 0.4 * score_{c}, 6) AS factor_{c}' for i, c in enumerate(K.CATEGORIES))}
 FROM factors JOIN wide USING (review_id)""")
 def hybrid_factor_scores(spark, sf_dir):
-    segments = I.segments(spark, sf_dir)
-    both = C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir)).join(
+    segments = I.stored_segments(spark, sf_dir)
+    both = C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir, segments), stored=True).join(
         C.regex_factor_score(segments, FACTOR_PHRASES), "review_id")
     return both.select("review_id", *[
         F.round(C.hybrid_score(F.col(f"regex_{c}"), F.col(f"score_{c}")), 6).alias(f"factor_{c}")
