@@ -243,8 +243,8 @@ SELECT review_id, round(s, 6) AS hr_rule_score, round(confidence, 6) AS confiden
        round(confidence, 9) >= 0.7 AS confident, round(confidence, 9) BETWEEN 0.4 AND 0.7 AS borderline
 FROM conf""")
 def hr_rule_scores(spark, sf_dir):
-    segments = I.segments(spark, sf_dir)
-    labelled = C.label_scores(C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir)), "tfidf")
+    segments = I.stored_segments(spark, sf_dir)
+    labelled = C.label_scores(C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir, segments), stored=True), "tfidf")
     scored = C.hr_rule_score(segments, labelled, sum(FACTOR_PHRASES.values(), []), HR_WORDS)
     conf = scored.withColumn("confidence", S.hr_confidence(F.col("hr_rule_score")))
     return conf.select(
@@ -378,8 +378,8 @@ conf AS (SELECT round(greatest(least(greatest(s, 0), 1), 1 - least(greatest(s, 0
 SELECT 'confident' AS rows_kept, count(*) FILTER (c >= 0.7) AS n FROM conf
 UNION ALL SELECT 'borderline', count(*) FILTER (c BETWEEN 0.4 AND 0.7) FROM conf""")
 def confidence_filters(spark, sf_dir):
-    segments = I.segments(spark, sf_dir)
-    labelled = C.label_scores(C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir)), "tfidf")
+    segments = I.stored_segments(spark, sf_dir)
+    labelled = C.label_scores(C.tfidf_scores(segments, I.corpus_seeds(spark, sf_dir, segments), stored=True), "tfidf")
     scored = C.hr_rule_score(segments, labelled, sum(FACTOR_PHRASES.values(), []), HR_WORDS)
     # Written, so that both filters read one pass of scoring.
     conf = materialize(scored.select(S.hr_confidence(F.col("hr_rule_score")).alias("classification_confidence")), "confidences")
