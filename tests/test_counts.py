@@ -111,3 +111,17 @@ def test_counts_of_a_text_are_one_row_a_length(spark):
     assert "Aggregate" not in plan
     got = {(r["review_id"], r["ngram_len"]): dict(zip(r["terms"], r["tf"])) for r in lists.collect()}
     assert got[1, 2] == {"good pay": 2, "pay good": 2} and (4, 1) not in got and (5, 1) not in got
+
+
+def test_a_settled_vocabulary_is_not_settled_again(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(i, f"good pay w{i % 3}") for i in range(30)] + [(90, None)], "review_id long, review_text string")
+    df.write.parquet(str(tmp_path / "texts"))
+    stored = spark.read.parquet(str(tmp_path / "texts"))
+    themes = spark.createDataFrame([("pay", "good pay"), ("other", "w1")], "category string, text string")
+    known = N.text_vocabulary(stored, max_df=1.0)
+    want = plain(N.text_features(df, max_df=1.0), ["review_id", "term", "weight", "df"]), plain(N.theme_scores(
+        df, themes, ["pay", "other"], max_df=1.0), ["review_id", "theme_pay", "theme_other"])
+    monkeypatch.setattr(N, "feature_vocabulary", None)
+    monkeypatch.setattr(N, "materialize", None)
+    assert plain(N.text_features(stored, known=known), ["review_id", "term", "weight", "df"]) == want[0]
+    assert plain(N.theme_scores(stored, themes, ["pay", "other"], known=known), ["review_id", "theme_pay", "theme_other"]) == want[1]
