@@ -54,7 +54,7 @@ def _local_components(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.
 def neighbour_counts(points: DataFrame, eps: float, id_type: str, key_type: str, block_rows: int) -> DataFrame:
     """Weighted number of points within ``eps`` of each point, itself included. ``points``: group_key, id, vector, weight."""
     def kernel(left: NB.Tile, right: NB.Tile, same: bool) -> pd.DataFrame:
-        i, j, _ = NB.within(left.x, right.x, eps)
+        i, j, _ = NB.within(left.x, right.x, eps, False)
         parts = [(left.ids, np.bincount(i, weights=right.more[j], minlength=len(left.ids)))]
         if not same:
             parts.append((right.ids, np.bincount(j, weights=left.more[i], minlength=len(right.ids))))
@@ -72,7 +72,7 @@ def neighbour_counts(points: DataFrame, eps: float, id_type: str, key_type: str,
 def core_edges(points: DataFrame, eps: float, id_type: str, key_type: str, block_rows: int) -> DataFrame:
     """A spanning set of the neighbour relation: at most one edge per point and block pair."""
     def kernel(left: NB.Tile, right: NB.Tile, same: bool) -> pd.DataFrame:
-        i, j, d = NB.within(left.x, right.x, eps)
+        i, j, _ = NB.within(left.x, right.x, eps, False)
         a, b = left.ids, right.ids
         if not len(i):
             return NB._frame(group_key=[], src=[], dst=[])
@@ -132,14 +132,16 @@ def cluster_dbscan(points: DataFrame, eps: float = 0.45, min_samples: int = 5,
     labels = materialize(_numbered(_roots(core, edges)).select("group_key", "id", "label"), "dbscan-labels")
 
     def border(left: NB.Tile, right: NB.Tile, same: bool) -> pd.DataFrame:
-        i, j, _ = NB.within(left.x, right.x, eps)
-        la, lb, a, b = left.more, right.more, left.ids, right.ids
-        take = (la[i] < 0) & (lb[j] >= 0)
-        ids, found = [a[i[take]]], [lb[j[take]]]
-        if not same:
-            give = (lb[j] < 0) & (la[i] >= 0)
-            ids.append(b[j[give]])
-            found.append(la[i[give]])
+        ids, found = [], []
+        # Only points without a label ask, and only those with one answer.
+        for one, other in ((left, right),) if same else ((left, right), (right, left)):
+            free, held = one.part(one.more < 0), other.part(other.more >= 0)
+            if len(free.ids) and len(held.ids):
+                i, j, _ = NB.within(free.x, held.x, eps, False)
+                ids.append(free.ids[i])
+                found.append(held.more[j])
+        if not ids:
+            return NB._frame(group_key=[], id=[], label=[])
         out = pd.DataFrame({"id": np.concatenate(ids), "label": np.concatenate(found)})
         out = out.groupby("id", as_index=False)["label"].min()
         return NB._frame(group_key=[left.key] * len(out), id=out["id"].to_numpy(), label=out["label"].to_numpy())

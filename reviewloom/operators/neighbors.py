@@ -124,30 +124,26 @@ def blocked(points: DataFrame, eps: float, n: int | None = None,
         F.concat(F.coalesce(as_left, empty), F.coalesce(as_right, empty))))
 
 
-def within(left: np.ndarray, right: np.ndarray, eps: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def within(left: np.ndarray, right: np.ndarray, eps: float, measured: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
     """Index pairs at Euclidean distance ``<= eps`` (to nine digits) and the distances.
 
     The product form only preselects, with a slack that grows with the squares it is a difference of; the
-    reported distance comes from the differences.
+    reported distance comes from the differences. Without ``measured`` no distances are reported, and only pairs within the
+    slack of ``eps`` are measured.
     """
     a2, b2 = (left ** 2).sum(axis=1), (right ** 2).sum(axis=1)
-    approx = left @ right.T
-    approx *= -2
-    approx += a2[:, None]
-    approx += b2
-    slack = 1e-6 + 1e-13 * (a2.max(initial=0.0) + b2.max(initial=0.0))
-    i, j = np.nonzero(approx <= eps * eps + slack)
-    keep_i, keep_j, keep_d = [], [], []
-    for s in range(0, len(i), 65536):
-        a, b = i[s:s + 65536], j[s:s + 65536]
-        d = np.sqrt(((left[a] - right[b]) ** 2).sum(axis=1))
-        near = np.round(d, 9) <= eps
-        keep_i.append(a[near])
-        keep_j.append(b[near])
-        keep_d.append(d[near])
-    if not keep_i:
-        return i, j, np.zeros(0)
-    return np.concatenate(keep_i), np.concatenate(keep_j), np.concatenate(keep_d)
+    # Squares are two more coordinates, so that the matrix is written once.
+    approx = (np.column_stack([-2 * left, a2, np.ones(len(left))]) @ np.column_stack([right, np.ones(len(right)), b2]).T).ravel()
+    slack = 1e-6 + max(1e-13, 1e-15 * left.shape[1]) * (a2.max(initial=0.0) + b2.max(initial=0.0))
+    found = np.flatnonzero(approx <= eps * eps + slack)
+    open_ = np.arange(len(found)) if measured else np.flatnonzero(approx[found] >= eps * eps - slack)
+    i, j = np.divmod(found, max(1, len(right)))
+    near, dist = np.ones(len(found), bool), np.zeros(len(found))
+    for s in range(0, len(open_), 65536):
+        part = open_[s:s + 65536]
+        dist[part] = np.sqrt(((left[i[part]] - right[j[part]]) ** 2).sum(axis=1))
+        near[part] = np.round(dist[part], 9) <= eps
+    return i[near], j[near], dist[near] if measured else None
 
 
 def block_map(blocks: DataFrame, kernel: Callable, schema: str, reduced: Callable | None = None) -> DataFrame:

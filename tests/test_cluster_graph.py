@@ -254,6 +254,19 @@ def test_products_of_coordinates_come_without_a_join(spark):
     assert D.vector_products(rows.where("false")).count() == 0
 
 
+def test_pairs_that_are_surely_within_are_not_measured():
+    rng = np.random.default_rng(7)
+    for x, y in ((rng.normal(0, 1, (60, 5)), rng.normal(0, 1, (40, 5))), (rng.normal(1e4, 1e-3, (60, 3)), rng.normal(1e4, 1e-3, (40, 3))),
+                 (np.arange(30.0)[:, None], np.arange(20.0)[:, None] + 0.5), (np.zeros((0, 2)), np.ones((4, 2))), (np.ones((3, 2)), np.ones((0, 2)))):
+        gap = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+        for eps in (1e-3, 1.5, 2.0):
+            want = np.argwhere(np.round(gap, 9) <= eps).T.tolist()
+            i, j, d = NB.within(x, y, eps)
+            assert [i.tolist(), j.tolist()] == want and (d == gap[i, j]).all()
+            i, j, d = NB.within(x, y, eps, measured=False)
+            assert [i.tolist(), j.tolist()] == want and d is None
+
+
 def test_cluster_rows_schema_and_sizes(spark):
     x = cloud(40)
     frame_ = spark.createDataFrame([(f"r{i}", "pros_gd" if i % 2 else "cons_gd") for i in range(40)],
